@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, quality_rules
+from . import language_id, near_dedup, packing, pii, quality_rules
 from .spark_io import held_out, table, text_columns
 
 
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
@@ -25,5 +33,5 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("score"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bag_minhash, op7_perplexity_rules, op10_cross_parsing)}
+QUERIES = {f.__name__: f for f in (op3_vector_packing, op4_bag_minhash, op6_sanitisation, op7_perplexity_rules, op10_cross_parsing)}
 ORACLE_SQL: dict[str, str] = {}
