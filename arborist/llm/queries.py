@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, pii, quality_rules
+from . import language_id, media, near_dedup, packing, pii, quality_classifier, quality_rules
 from .spark_io import held_out, table, text_columns
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
+    out = quality_classifier.classify(docs, quality_classifier.fit(docs, labels))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.media_columns(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length")
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -33,5 +45,5 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("score"))
 
 
-QUERIES = {f.__name__: f for f in (op3_vector_packing, op4_bag_minhash, op6_sanitisation, op7_perplexity_rules, op10_cross_parsing)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op6_sanitisation, op7_perplexity_rules, op10_cross_parsing)}
 ORACLE_SQL: dict[str, str] = {}
