@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules
+from . import class_lm, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules
 from .spark_io import held_out, table, text_columns
 
 
@@ -29,6 +29,12 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = class_lm.score(docs, *class_lm.fit(docs.where(~held_out(10, 0))))
+    return out.select("doc_id", held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -49,5 +55,5 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op6_sanitisation, op7_perplexity_rules, op9_license_notices, op10_cross_parsing)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op5_brown_classes, op6_sanitisation, op7_perplexity_rules, op9_license_notices, op10_cross_parsing)}
 ORACLE_SQL: dict[str, str] = {}
