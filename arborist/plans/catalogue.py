@@ -1,17 +1,8 @@
-"""All queries of the engine by name, each with its plan and, where SQL can express it, the same in DuckDB's SQL."""
+"""All queries of the engine by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from . import dense_plans, lexical_plans
+from .query import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Query:
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
-
-
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {**lexical_plans.QUERIES, **dense_plans.QUERIES}

@@ -1,0 +1 @@
+"""Sources of the engine's tables."""
