@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import unit_starts
+from .spark_io import documents_only
 from .words import chunks, span_hashes
 
 BLOCK = 1 << 24
@@ -214,7 +215,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     folder = FoldEncoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents_only(docs)
     blocks = docs.mapInArrow(_blocks, "doc_ids array<bigint>, texts array<array<int>>, units array<array<int>>, words array<binary>")
     ids = F.transform("words", folder.encode)
     return blocks.select("doc_ids", "texts", "units", ids.alias("ids")).mapInArrow(_texts, "doc_id bigint, n_tokens bigint, ids_sha256 string, ids array<int>")

@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_io import documents_only, pick
 from .words import chunks
 
 PIECE = 512
@@ -86,7 +87,11 @@ class CrossParser:
             table[:, -1] = at + np.arange(len(moves))
             tables.append(table)
             self.roots.append(at)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        # a last state without a match: before a text, and after a byte that is in no reference and a phrase of its own
+        self.none = sum(map(len, tables))
+        alone = np.full((1, self.width), -1, np.int32)
+        alone[0, -1] = self.none
+        self.table = np.concatenate([*tables, alone]).ravel()
 
     def entropies(self, chunk) -> np.ndarray:
         """Bits a symbol, by row and language; rows without a byte have 0."""
@@ -101,8 +106,8 @@ class CrossParser:
         row, start, size = row[order], start[order], size[order]
         data = np.append(self.code[chunk.data], self.code.dtype.type(self.width - 1))
         roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(row), 1)
-        phrases = np.ones((len(self.langs), len(row)), np.int32)
+        state = np.full((len(self.langs), len(row)), self.none, np.int32)
+        phrases = np.zeros((len(self.langs), len(row)), np.int32)
         live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")
         for step in range(size[0] if len(size) else 0):
             k = live[step]  # pieces longer than step
@@ -111,7 +116,7 @@ class CrossParser:
             miss = to < 0
             phrases[:, :k] += miss
             again = self.table[roots * self.width + sym]
-            state[:, :k] = np.where(miss, np.where(again < 0, roots, again), to)
+            state[:, :k] = np.where(miss, np.where(again < 0, self.none, again), to)
         total = np.stack([np.bincount(row, p, n) for p in phrases]) if len(row) else np.zeros((len(self.langs), n))
         return (total * self.bits[:, None] / np.maximum(sizes, 1)).T
 
@@ -128,6 +133,7 @@ def fit(train: DataFrame, reference_bytes: int = 32_768, all_bytes: int = 262_14
     distinct, joined until there are reference_bytes (or all_bytes shared by the languages, if less).  The max_langs
     most frequent languages are learned.
     """
+    train = pick(train, doc_id="bigint", text="string", lang="string")
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
     if not counts:
@@ -167,7 +173,7 @@ def predict(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> DataF
                 names, score = ["und"] * chunk.n, np.zeros(chunk.n)
             yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0))], ["doc_id", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return documents_only(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 __all__ = ["CrossParser", "fit", "predict", "suffix_automaton"]

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_io import documents_only
 from .words import chunks, per_row, span_hashes
 
 WORD = np.ones(256, bool)
@@ -190,8 +191,7 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> Dat
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "matches", "score"],
             )
 
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(
+    return documents_only(docs).mapInArrow(
         run,
         "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
         "matches array<struct<start:bigint,end:bigint,label:string,edits:bigint,length:bigint>>, score double",

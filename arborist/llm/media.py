@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import new_folder, stored
+from .spark_io import documents_only, new_folder, stored
 from .words import chunks
 
 WIDTH = 576
@@ -131,7 +131,7 @@ def _write(folder: str):
 def store(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
     """Rows (doc_id, n_bytes, digest, shard, offset, length) of docs' texts stored in tar shards, and their folder."""
     folder = folder or new_folder(docs.sparkSession, "media")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents_only(docs)
     schema = "doc_id bigint, n_bytes bigint, digest string, shard string, offset bigint, length bigint"
     return stored(docs.mapInArrow(_write(folder), schema), "media-index"), folder
 

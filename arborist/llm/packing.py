@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .spark_io import documents_only, pick
 from .words import SPACES, chunks, span_hashes
 
 END = 1
@@ -241,7 +241,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKEN
         packer.flush(last=True)
         yield rows()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return documents_only(docs).mapInArrow(run, _SCHEMA)
 
 
 def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, window: int = 4096) -> DataFrame:
@@ -263,4 +263,5 @@ def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEG
                     at += 1
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sequence)], ["id", "sequence_id"])
 
-    return examples.select(F.col("id").cast("bigint").alias("id"), *(F.col(c).cast("bigint").alias(c) for c in ("tokens", "segments", "loss"))).mapInArrow(run, "id bigint, sequence_id bigint")
+    examples = pick(examples, id="bigint", tokens="bigint", segments="bigint", loss="bigint")
+    return examples.mapInArrow(run, "id bigint, sequence_id bigint")

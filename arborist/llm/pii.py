@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import stored
+from .spark_io import documents_only, plain, stored
 from .words import SPACES, U, chunks, mix, span_hashes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -212,8 +212,7 @@ def _places(bits):
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return documents_only(docs).withColumn("text_key", F.xxhash64("text"))
 
 
 def _disclosing(docs: DataFrame, first: DataFrame, least: int, threshold: float) -> DataFrame:
@@ -288,13 +287,15 @@ def sanitise(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD)
     def clean(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([t if b is None else replaced(t, b, [(x["start"], x["end"], x["share"]) for x in s]) for t, b, s in zip(text, base, terms)], dtype=object)
 
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text_key")), "left")
+    names = docs.columns
+    at = {n: f"c{names.index(n)}" for n in ("doc_id", "text", "n_chars") if n in names}
+    joined = plain(docs).join(found, F.col(at["doc_id"]).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(at["text"]).cast("string")) == F.col("_text_key")), "left")
     same = F.col("_base").isNull()
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("_text", F.when(same, F.col("text")).otherwise(clean("text", "_base", "_terms")))
-        joined = joined.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType)))
-        return joined.withColumn("text", F.col("_text")).select(*docs.columns)
-    return joined.withColumn("text", F.when(same, F.col("text")).otherwise(clean("text", "_base", "_terms"))).select(*docs.columns)
+    joined = joined.withColumn("_text", F.when(same, F.col(at["text"])).otherwise(clean(at["text"], "_base", "_terms")))
+    new = {at["text"]: F.col("_text")}
+    if "n_chars" in at:
+        new[at["n_chars"]] = F.when(same, F.col(at["n_chars"])).otherwise(F.length("_text").cast(docs.schema[names.index("n_chars")].dataType))
+    return joined.select(*(new.get(f"c{i}", F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names)))).toDF(*names)
 
 
 __all__ = ["base_spans", "bloom", "digest", "find", "luhn", "replaced", "sanitise"]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import base_stats
+from .spark_io import documents_only, pick
 from .words import SPACES, chunks, per_row, span_hashes
 
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "symbol": b"#*$%&|<>", "loud": b"!?", "stop": b".,;:", "line": b"\n", "wide": range(128, 256), "at": b"@=+_/\\"}
@@ -66,8 +67,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         for chunk in chunks(batches):
             yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), *map(pa.array, chunk_statistics(chunk))], ["doc_id", *STATISTICS])
 
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} double" for c in STATISTICS))
+    return documents_only(docs).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} double" for c in STATISTICS))
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, whether it is at least, the threshold), sorted
@@ -158,12 +158,12 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 40, depth: int = 3, penalty: float = 5e-4) -> RuleEnsemble:
     """The ensemble for labels (doc_id, label 0 or 1) of docs (doc_id, text), from at most about max_rows of them."""
-    labels = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("label").cast("double").alias("_label")).dropna()
+    labels = pick(labels, doc_id="bigint", label="double").toDF("_id", "_label").dropna()
     n = labels.count()
     share = F.pmod(F.xxhash64(F.lit(17), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labels.where(share < max_rows / max(n, 1)).groupBy("_id").agg((F.avg("_label") >= 0.5).cast("double").alias("_label"))
     # about max_rows rows of two numbers, so the broadcast is bounded
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    chosen = documents_only(docs).join(F.broadcast(sample.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
     rows = statistics(chosen).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).toArrow()
     y = rows.column("_label").to_numpy()
     if not len(y) or y.min() == y.max():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, class_lm, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules
-from .spark_io import held_out, table, text_columns
+from .spark_io import held_out, table
 
 
 def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     references = language_id.fit(docs.where(~held_out(3, 1)))
-    out = language_id.predict(text_columns(docs), references)
+    out = language_id.predict(docs, references)
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("score"))
 
 

@@ -36,12 +36,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def text_columns(df: DataFrame, *names: str) -> DataFrame:
-    """doc_id, text and the named columns alone, so that others (with clashing names too) don't matter.
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 ... by place, so that names that clash (but for case, or at all) don't matter."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
-    The last column of a name wins if names differ by case only; Spark's readers refuse exact repeats.
-    """
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *names)
+
+def pick(df: DataFrame, **kinds: str) -> DataFrame:
+    """The named columns alone, cast to kinds; of columns with one name the first that has it exactly."""
+    numbered = plain(df)
+    return numbered.select(*(F.col(f"c{df.columns.index(name)}").cast(kind).alias(name) for name, kind in kinds.items()))
+
+
+def documents_only(df: DataFrame) -> DataFrame:
+    return pick(df, doc_id="bigint", text="string")
 
 
 def held_out(mod: int, rest: int, doc_id="doc_id"):
