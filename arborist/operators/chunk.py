@@ -43,7 +43,7 @@ def sentence_chunks(docs: DataFrame, size: int = 5, overlap: int = 1) -> DataFra
 
     def window(a):
         chunk = F.array_join(F.slice("s", a, F.lit(size)), " ")
-        start = (F.locate(F.col("s")[a - 1], F.col("text")) - 1).cast("bigint")
+        start = (F.call_function("locate", F.col("s")[a - 1], F.col("text")) - 1).cast("bigint")
         return F.struct(chunk.alias("chunk"), start.alias("start_idx"), (start + F.length(chunk)).cast("bigint").alias("end_idx"))
 
     return _exploded(rows, F.transform(starts, window))
