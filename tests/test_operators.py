@@ -134,3 +134,45 @@ def test_navigation_reaches_the_right_leaf(spark):
     visited = navigate.heuristic(asked, tree.nodes_of(members), navigate.cards(docs, members), branches=1)
     assert [r.node_id for r in visited.collect()] == ["b.x"]
     assert [r.doc_id for r in navigate.retrieve(asked, docs, members, visited, 5).collect()] == [2]
+
+
+def test_negatives(spark):
+    from arborist.operators import negatives
+
+    rows = spark.createDataFrame(
+        [(1, 10, ["a", "b", "c", "d", ""], [1, 1, 1, 1, 0], [0, 0, 0, 1, 0], [4.0, 3.0, 2.0, 1.0, 9.0], 0, ["a"]), (2, 20, ["x", "y", "", "", ""], [1, 1, 0, 0, 0], [1, 0, 0, 0, 0], [4.0, 3.0, 0.0, 0.0, 0.0], 0, ["d"])],
+        "row_id int, query_id int, candidates array<string>, mask array<int>, positive array<int>, scores array<double>, batch int, path array<string>",
+    )
+    near = spark.createDataFrame([(10, "a", 1), (10, "z", 2), (10, "w", 3), (20, "q", 1)], "query_id int, node_id string, rank int")
+    out = negatives.hard_negatives(rows, near).collect()
+    assert [(r.row_id, r.candidates, r.mask, r.positive, r.added) for r in out] == [(1, ["a", "b", "c", "d", "z"], [1] * 5, [0, 0, 0, 1, 0], 1)]
+    both = {r.row_id: r for r in negatives.batch_negatives(rows, "batch", "path").collect()}
+    assert both[1].candidates == ["a", "b", "c", "d", "x"] and both[2].candidates == ["x", "y", "", "", ""]
+    one = spark.createDataFrame([(["c0.0", "c0.1", "c1", ""], [1, 1, 1, 0], [1, 0, 0, 0], "c0", ["root", "c0.1", "c0"])], "c array<string>, m array<int>, p array<int>, n string, path array<string>")
+    assert one.select(negatives.loop_mask(*(F.col(x) for x in ("c", "m", "p", "n", "path"))).alias("l")).first().l == [0, 1, 0, 0]
+
+
+def test_index_round_trip_and_stream(spark, tmp_path):
+    from arborist.sources import index_store
+    from arborist.streaming.promotion import promotion_stream
+
+    docs = spark.createDataFrame(TOY, "doc_id string, text string")
+    members = spark.createDataFrame([(d, "c0" if i < 2 else "c1") for i, (d, _) in enumerate(TOY)], "doc_id string, node_id string")
+    index_store.save(str(tmp_path / "i"), hierarchy.BuildConfig(branching=2), docs, tree.nodes_of(members), members)
+    config, tables = index_store.load(spark, str(tmp_path / "i"))
+    assert config.branching == 2 and tables["documents"].count() == 4 and tables["nodes"].count() == 3 and "embeddings" not in tables
+    rows = spark.createDataFrame([("t1", 0.9), ("t2", 0.1)], "trajectory_id string, score double")
+    assert index_store.append_json(rows, str(tmp_path / "r")) == 2
+    held: list[float] = []
+    for _ in range(2):
+        promotion_stream(spark, str(tmp_path / "r"), "trajectory_id string, score double", str(tmp_path / "c"), lambda df: df.agg(F.avg("score")).first()[0], lambda: held[-1] if held else None, held.append).awaitTermination()
+    assert held == [0.5]  # a second run finds nothing new
+
+
+def test_svg(spark):
+    from arborist.operators import svg
+
+    nodes = tree.nodes_of(spark.createDataFrame([("a.x",), ("a.y",)], "node_id string")).withColumn("label", F.lit("one <two> three"))
+    text = svg.render(nodes)
+    assert text.count("<rect") == 4 and text.count("<path") == 3 and "&lt;two&gt;" in text
+    assert svg.wrap("aa bb cc dd", 5, 1) == ["aa..."] and svg.wrap("", 5, 2) == []
