@@ -3,7 +3,7 @@
 Words are the matches of the tokenizer's pattern.  Each distinct word of a block of texts is encoded once: its bytes
 become ids, and a fold merges, step by step, the neighbours whose joined bytes have the lowest rank (the first of equal
 ones), as the published algorithm does; the fold keeps the ranks of neighbours and renews only the two beside a merge.
-The ranks of all pairs are a literal map: a perfect hash of two literal arrays, so that a look-up reads three places.
+The ranks of all pairs are a constant map: a perfect hash in two arrays, so that a look-up reads two places.
 Decoding concatenates the literal binary pieces of ids.
 
 Blocks are formed and taken apart by Arrow functions in the same stage, so nothing is shuffled: a block row has its
@@ -42,8 +42,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(2)
-def pair_table(path: str) -> tuple[list[int], list[int], list[int]]:
-    """Shifts by bucket, and pair (a * 65536 + b) and rank by slot: see `places`; a pair that isn't at its slot is absent."""
+def pair_table(path: str) -> tuple[list[int], list[int]]:
+    """Shifts by bucket, and pair (a * 65536 + b) * 65536 + rank by slot: see `places`; a pair that isn't at its slot is
+    absent."""
     ranks = read_ranks(path)
     pairs = {}
     for token, rank in ranks.items():
@@ -54,7 +55,7 @@ def pair_table(path: str) -> tuple[list[int], list[int], list[int]]:
     buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
     for p in pairs:
         buckets[(p * _A >> 13) % _BUCKETS].append(p)
-    shifts, slots, found = [0] * _BUCKETS, [-1] * _SLOTS, [NONE] * _SLOTS
+    shifts, slots = [0] * _BUCKETS, [-1] * _SLOTS
     for k in sorted(range(_BUCKETS), key=lambda k: -len(buckets[k])):
         shift = 0
         while True:
@@ -64,12 +65,8 @@ def pair_table(path: str) -> tuple[list[int], list[int], list[int]]:
             shift += 1
         shifts[k] = shift
         for p, x in zip(buckets[k], places):
-            slots[x], found[x] = p, pairs[p]
-    return shifts, slots, found
-
-
-def _literal(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+            slots[x] = p * 65536 + pairs[p]
+    return shifts, slots
 
 
 def let(value: Column, body) -> Column:
@@ -77,71 +74,82 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@functools.lru_cache(2)
+def byte_ids(path: str) -> list[int]:
+    ranks = read_ranks(path)
+    return [ranks[bytes([i])] for i in range(256)]
+
+
 class FoldEncoder:
-    """Column expressions of a vocabulary."""
+    """Column expressions of a vocabulary.
+
+    shifts, slots and byte_ids are columns that hold pair_table() and byte_ids().  Block rows carry them, a copy for BLOCK
+    bytes of text: as literals of a plan, the optimizer would compare their 300,000 numbers again and again.
+    """
 
-    def __init__(self, path: str):
-        self.tables = [_literal(t, k) for t, k in zip(pair_table(path), ("int", "bigint", "int"))]
+    def __init__(self, path: str, shifts: str = "shifts", slots: str = "slots", byte_ids: str = "byte_ids"):
         ranks = read_ranks(path)
-        self.bytes = _literal([ranks[bytes([i])] for i in range(256)], "int")
-        pieces = [""] * (max(ranks.values()) + 1)
+        self.edge = max(ranks.values()) + 1
+        if self.edge * 65536 * _A >= 2**63 - 2**48:
+            raise ValueError("vocabularies of up to 53,000 tokens fit the hash")
+        self.shifts, self.slots, self.bytes = F.col(shifts), F.col(slots), F.col(byte_ids)
+        pieces = [""] * self.edge
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
-        self.pieces = _literal(pieces, "string")
+        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
     def rank(self, a: Column, b: Column) -> Column:
-        shifts, slots, found = self.tables
+        p = a.cast("bigint") * 65536 + b
+        shift = self.shifts[F.pmod(F.shiftright(p * _A, 13), F.lit(_BUCKETS)).cast("int")]
+        place = F.pmod(F.shiftright(p * _B, 7) + (F.pmod(F.shiftright(p * _C, 17), F.lit(65536)) * 2 + 1) * shift, F.lit(_SLOTS)).cast("int")
+        return let(self.slots[place], lambda e: F.when(F.shiftright(e, 16) == p, F.pmod(e, F.lit(65536)).cast("int")).otherwise(F.lit(NONE)))
 
-        def of(p):
-            shift = shifts[F.pmod(F.shiftright(p * _A, 13), F.lit(_BUCKETS)).cast("int")]
-            return let(F.pmod(F.shiftright(p * _B, 7) + (F.pmod(F.shiftright(p * _C, 17), F.lit(65536)) * 2 + 1) * shift, F.lit(_SLOTS)).cast("int"), lambda x: F.when(slots[x] == p, found[x]).otherwise(F.lit(NONE)))
+    def encode(self, word: Column) -> Column:
+        """Ids (array of int) of a word (binary, not empty).
 
-        return let(a.cast("bigint") * 65536 + b.cast("bigint"), of)
+        While it is folded, a word's ids stand between two edges, an id that is in no pair; so a merge always has neighbours.
+        """
+        edge = F.array(F.lit(self.edge))
 
-    def encode(self, word: Column) -> Column:
-        """Ids (array of int) of a word (binary, not empty)."""
         def merged(acc, least):
-            def at(i):  # from 1
-                def joined(ids):
-                    def ranked(old):
-                        n = F.size(ids)
-                        left = F.when(i > 1, F.array(F.struct(ids[i - 2].alias("a"), least.alias("b"))))
-                        right = F.when(i + 1 < n, F.array(F.struct(least.alias("a"), ids[i + 1].alias("b"))))
-                        empty = F.filter(F.array(F.struct(least.alias("a"), least.alias("b"))), lambda _: F.lit(False))
-                        new = F.transform(F.concat(F.coalesce(left, empty), F.coalesce(right, empty)), lambda x: self.rank(x["a"], x["b"]))
-                        return F.struct(
-                            F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, n)).alias("ids"),
-                            F.concat(F.slice(old, F.lit(1), F.greatest(i - 2, F.lit(0))), new, F.slice(old, i + 2, n)).alias("ranks"),
-                        )
-
-                    return let(acc["ranks"], ranked)
-
-                return let(acc["ids"], joined)
+            def at(i):  # the pair's place, from 1; never the first or the last, which have an edge
+                ids, old, n = acc["ids"], acc["ranks"], F.lit(1 << 30)
+                return F.struct(
+                    F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, n)).alias("ids"),
+                    F.concat(F.slice(old, F.lit(1), i - 2), F.array(self.rank(ids[i - 2], least), self.rank(least, ids[i + 1])), F.slice(old, i + 2, n)).alias("ranks"),
+                )
 
             return let(F.array_position(acc["ranks"], least).cast("int"), at)
 
         def step(acc, _):
-            return let(F.coalesce(F.array_min(acc["ranks"]), F.lit(NONE)), lambda least: F.when(least >= NONE, acc).otherwise(merged(acc, least)))
+            return let(F.array_min(acc["ranks"]), lambda least: F.when(least >= NONE, acc).otherwise(merged(acc, least)))
 
         def fold(ids):
             ranks = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda x, i: self.rank(x, ids[i + 1]))
-            return let(ranks, lambda r: F.aggregate(r, F.struct(ids.alias("ids"), r.alias("ranks")), step, lambda acc: acc["ids"]))
+            return F.aggregate(F.slice(ids, F.lit(1), F.size(ids) - 3), F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
 
         chars = F.filter(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: c != "")
-        return let(F.transform(chars, lambda c: self.bytes[F.ascii(c)]), fold)
+        return let(F.concat(edge, F.transform(chars, lambda c: self.bytes[F.ascii(c)]), edge), fold)
 
     def decode(self, ids: Column) -> Column:
-        """The binary text of ids."""
+        """The binary text of ids: their literal pieces, concatenated."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: self.pieces[i]), ""))
 
 
-def _blocks(batches):
+def _blocks(path: str):
+    return functools.partial(_block_rows, path)
+
+
+def _block_rows(path: str, batches):
     """Block rows: doc_ids, for each text the numbers of its units, for each unit the numbers of its words, and words."""
     import public_tokenizers
     import regex
 
     split = regex.compile(public_tokenizers.PATTERN).findall
 
+    shifts, slots = pair_table(path)
+    tables = [pa.array([shifts], pa.list_(pa.int32())), pa.array([slots], pa.list_(pa.int64())), pa.array([byte_ids(path)], pa.list_(pa.int32()))]
+
     def block(held):
         known: dict[int, int] = {}
         words: dict[str, int] = {}
@@ -165,8 +173,8 @@ def _blocks(batches):
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         return pa.RecordBatch.from_arrays(
-            [one(pa.concat_arrays(docs)), one(lists), one(pa.array(units, pa.list_(pa.int32()))), one(pa.array([w.encode() for w in words], pa.binary()))],
-            ["doc_ids", "texts", "units", "words"],
+            [one(pa.concat_arrays(docs)), one(lists), one(pa.array(units, pa.list_(pa.int32()))), one(pa.array([w.encode() for w in words], pa.binary())), *tables],
+            ["doc_ids", "texts", "units", "words", "shifts", "slots", "byte_ids"],
         )
 
     held, size = [], 0
@@ -214,9 +222,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and ids of every row of docs (doc_id, text); ranks from the file at path."""
     import public_tokenizers
 
-    folder = FoldEncoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    folder = FoldEncoder(path)
     docs = documents_only(docs)
-    blocks = docs.mapInArrow(_blocks, "doc_ids array<bigint>, texts array<array<int>>, units array<array<int>>, words array<binary>")
+    columns = "doc_ids array<bigint>, texts array<array<int>>, units array<array<int>>, words array<binary>, shifts array<int>, slots array<bigint>, byte_ids array<int>"
+    blocks = docs.mapInArrow(_blocks(path), columns)
     ids = F.transform("words", folder.encode)
     return blocks.select("doc_ids", "texts", "units", ids.alias("ids")).mapInArrow(_texts, "doc_id bigint, n_tokens bigint, ids_sha256 string, ids array<int>")
 
