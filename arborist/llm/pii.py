@@ -219,21 +219,24 @@ def _disclosing(docs: DataFrame, first: DataFrame, least: int, threshold: float)
     """(term, share): disclosing terms, and the largest share of some entity's information that they give."""
     spark = docs.sparkSession
     empty = spark.createDataFrame([], "term bigint, share double")
-    evidence = first.where(F.size("entities") > 0).dropDuplicates(["words"])
+    evidence = stored(first.where(F.size("entities") > 0).select("words", "entities", "terms").dropDuplicates(["words"]), "evidence")
     entities = stored(evidence.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least), "entities")
     if entities.isEmpty():
         return empty
     held = evidence.select("words", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity")
     pairs = held.join(evidence.select("words", "terms"), "words").select("entity", F.explode("terms").alias("term"))
-    pairs = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least), "pairs")
+    n = first.agg(F.approx_count_distinct("words", 0.01).alias("n")).first()["n"]
+    known = F.log(F.lit(float(max(n, 2))) / F.least("n_entity", F.lit(max(n, 2) - 1)))
+    # a term's share is at most what the texts with entities alone would give, so that rules out common words first
+    among = evidence.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_among"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least).join(entities, "entity").join(among, "term")
+    pairs = stored(pairs.where(1 + F.log(F.col("n_both") / F.col("n_among")) / known >= threshold).select("entity", "n_entity", "term", "n_both"), "pairs")
     if pairs.isEmpty():
         return empty
-    n = first.agg(F.approx_count_distinct("words", 0.01).alias("n")).first()["n"]
     bits = spark.sparkContext.broadcast(bloom(pairs, "term"))
     seen = docs.mapInArrow(_frequencies(bits), "words bigint, term bigint").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    known = F.log(F.lit(float(max(n, 2))) / F.least("n_entity", F.lit(max(n, 2) - 1)))
     share = 1 + F.log(F.col("n_both") / F.col("n_term")) / known
-    told = pairs.join(entities, "entity").join(seen, "term").select("term", share.alias("share"))
+    told = pairs.join(seen, "term").select("term", share.alias("share"))
     return stored(told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold), "disclosing")
 
 
