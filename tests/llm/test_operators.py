@@ -311,6 +311,16 @@ def test_perplexity_rejects_other_text(spark):
     assert not kept[900] and sum(kept[i] for i in range(200)) >= 198
 
 
+def test_perplexity_rejects_junk_that_recurs(spark):
+    rng = random.Random(9)
+    text = lambda: ["".join(rng.choice(["th", "er", "on", "an", "ed", "ha"]) for _ in range(rng.randint(1, 3))) for _ in range(80)]
+    rows = [(i, " ".join(text()), "en") for i in range(200)]
+    rows += [(300 + i, " ".join(w + rng.choice("#*$%&") * 3 if rng.random() < 0.6 else w for w in text()), "en") for i in range(20)]
+    rows += [(400 + i, " | ".join(text()), "en") for i in range(20)]
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not any(kept[i] for i in kept if i >= 300) and sum(kept[i] for i in range(200)) >= 198
+
+
 # ---- byte-level BPE
 
 def test_bpe_equals_the_library(docs, empty, clashing, fixture_rows):
