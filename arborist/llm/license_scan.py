@@ -3,8 +3,9 @@
 A notice of n words may be found with up to n // EVERY edited words' worth of characters (`edits`).  By the pigeonhole
 principle, if a notice is cut into edits + 1 parts, one of them stands unedited in every place within the bound; so
 exact places of the parts (one Aho-Corasick automaton for all notices) are the only candidates.  Around each, the regex
-library's bounded-error matching verifies the notice and reports its span and edits.  Every candidate is verified; of verified
-places that overlap, the one with the least share of edits stays.
+library's bounded-error matching verifies the notice, from word to word, and reports its span and edits.  It gives the best
+place of a window; what is left on both sides of that is searched again.  Of verified places that overlap, the one with
+the least share of edits stays.
 
 Texts are matched with A-Z folded and every run of other characters than words' (ASCII that is neither letter nor
 digit) as one blank, so that line breaks and punctuation don't matter.
@@ -83,7 +84,7 @@ class Scanner:
         for part, places in seeds.items():
             self.automaton.add_word(part, (len(part), places))
         self.automaton.make_automaton()
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(t)}){{e<={n}}}") for t, _, n in self.notices]
+        self.patterns = [regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(t)}){{e<={n}}}(?![^ ])") for t, _, n in self.notices]
 
     def windows(self, text: str) -> list[tuple[int, int, int]]:
         """Merged candidate windows (notice, start, end)."""
@@ -109,16 +110,15 @@ class Scanner:
         """(start, end, label, edits) of verified places in a blanked text; they begin and end with words."""
         out = []
         for k, a, b in self.windows(text):
-            at = a
-            while m := self.patterns[k].search(text, at, min(b, len(text))):
-                if m.end() <= m.start():
-                    break
-                s, e = m.span()
-                n = sum(m.fuzzy_counts)
-                inside = (s == 0 or text[s - 1] == " " or text[s] == " ") and (e == len(text) or text[e] == " " or text[e - 1] == " ")
-                if inside:
-                    out.append((s, e, self.notices[k][1], n, len(self.notices[k][0])))
-                at = e
+            # whole words, as the end of the searched part counts as the text's
+            left = [(text.rfind(" ", 0, a) + 1, end if (end := text.find(" ", min(b, len(text)))) >= 0 else len(text))]
+            while left:
+                a, b = left.pop()
+                m = self.patterns[k].search(text, a, b)
+                if m and m.end() > m.start():
+                    s, e = m.span()
+                    out.append((s, e, self.notices[k][1], sum(m.fuzzy_counts), len(self.notices[k][0])))
+                    left += [(a, s), (e, b)]
         # of places that overlap, the one with the least share of edits stays (the longest of equals)
         best: list[tuple[int, int, str, int, int]] = []
         for f in sorted(set(out), key=lambda f: (f[3] / f[4], -f[4], f)):

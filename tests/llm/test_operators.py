@@ -362,6 +362,20 @@ def test_license_base_and_fuzzy(spark, docs, empty, clashing, fixture_rows):
     assert out[1].labels == "apache-2.0" and 0.9 < out[1].score < 1 and out[2].labels == "" and out[2].score == 0 and out[3].labels == "mit"
 
 
+def test_license_places_beside_better_ones_and_within_words():
+    s = license_scan.Scanner(license_scan.NOTICES)
+    first, second = "released undr the mt license", "released under the mit license"
+    for texts in ((first, second), (second, first), (first, first, second, first)):
+        want, at = [], 0
+        for t in texts:
+            want.append((at, at + len(t), "mit", 2 if t == first else 0))
+            at += len(t) + 1
+        assert [f[:4] for f in s.scan(" ".join(texts))] == want
+    for text, span, label in (("x released under the mit licenses y", (2, 33), "mit"), ("licensed under a creative commons attributions", (0, 46), "cc-by"), ("prereleased under the mit license", None, None)):
+        found = s.scan(text)
+        assert [f[:3] for f in found] == ([(*span, label)] if span else []), (text, found)
+
+
 def test_license_candidates_lose_nothing():
     import regex
 
