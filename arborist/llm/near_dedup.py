@@ -15,8 +15,8 @@ Scale: texts with equal bags are one class before banding.  A bucket of at most
 In a larger one all members are compared with one pivot.  After each round classes are made; a bucket whose members are of
 one class is done, and documents of one class aren't compared any more.  What remains in larger buckets was brought
 together by, say, a passage that many texts share; it is dealt anew by a further band beside the one that they agree in (two
-bags of similarity 0.8 agree in some 9 of 56 bands, and one such pair in 2,400 in fewer than two), up to LEVELS bands;
-beyond that buckets lose their pivot and take another, until all are done.  So no bucket emits its pairs, and a pivot's
+bags of similarity 0.8 agree in some 9 of 56 bands, one such pair in 2,400 in fewer than two, and one in 391 in fewer than
+three, which are needed where buckets stay large on two levels), up to LEVELS bands; beyond that buckets lose their pivot and take another, until all are done.  So no bucket emits its pairs, and a pivot's
 comparisons are dealt in shares of SHARE members, each with a copy of the pivot.
 
 Cases: null and wordless texts have no bag; each is a class of its own.  Rows with equal doc_id count as copies of one
