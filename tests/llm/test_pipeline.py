@@ -5,7 +5,7 @@ import corpus_pipeline
 from arborist.llm import near_dedup, pii, quality_rules
 from arborist.llm.spark_io import stored
 
-from .conftest import rows
+from .conftest import SCHEMA, rows
 from .test_operators import check_pieces, components
 
 
@@ -26,6 +26,21 @@ def test_stages_take_effect_and_keep_the_rest(spark, docs):
     check_pieces(corpus_pipeline.STAGES[-1][1](spark, at, "").collect(), list(clean.items()))
 
 
+def test_stages_judge_rows_whose_ids_are_null_or_recur(spark):
+    good = [r for r in rows() if r[0] is not None and r[0] < 60]
+    a, b, c = (good.pop(0)[1] for _ in range(3))
+    more = [(None, a), (None, b), (7000, c), (7000, "12 34 !!"), (7001, "x"), (7001, b), (8000, c), (8000, c)]
+    lang = {a: "en", b: "fr", c: "de"}
+    df = spark.createDataFrame([(i + 100, *r[1:]) for i, r in enumerate(good)] + [(i, t, lang.get(t, "en"), "s0", len(t)) for i, t in more], SCHEMA)
+
+    def left(stage):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, df, "").collect() if r.doc_id is None or r.doc_id >= 7000), key=str)
+
+    assert left(corpus_pipeline.by_language) == sorted((x for x in more if x[1] != "12 34 !!"), key=str)
+    assert left(corpus_pipeline.by_quality) == sorted((x for x in more if len(x[1]) > 20), key=str)
+    assert left(corpus_pipeline.by_nearness) == sorted([(None, a), (7001, b), (7000, c), (7000, "12 34 !!"), (7001, "x")], key=str)
+
+
 def test_run_needs_only_documents(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
