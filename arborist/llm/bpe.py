@@ -1,14 +1,19 @@
 """Byte-level BPE by Spark's higher-order functions.
 
-Words are the matches of the tokenizer's pattern.  Each distinct word of a block of texts is encoded once: its bytes
-become ids, and a fold merges, step by step, the neighbours whose joined bytes have the lowest rank (the first of equal
-ones), as the published algorithm does; the fold keeps the ranks of neighbours and renews only the two beside a merge.
-The ranks of all pairs are a constant map: a perfect hash in two arrays, so that a look-up reads two places.
-Decoding concatenates the literal binary pieces of ids.
+Words are the matches of the tokenizer's pattern.  Distinct words' byte arrays become ids, and a fold merges, step by
+step, the neighbours whose joined bytes have the lowest rank (the first of equal ones), as the published algorithm does;
+the fold keeps the ranks of neighbours and renews only the two beside a merge.  The ranks of all pairs are a constant map
+in two arrays, of which a look-up reads two places.  Decoding concatenates the literal binary pieces of ids.
 
-Blocks are formed and taken apart by Arrow functions in the same stage, so nothing is shuffled: a block row has its
-texts as lists of unit numbers, and the distinct words of its units.  A block holds BLOCK bytes of text, or one longer
-text.  A word of n bytes costs n * n at worst.
+Texts are cut into units, which are one or more whole words.  Units that occur in a sample of documents (a bounded number)
+are folded first, and their ids given to all tasks; so most units of a text need no further fold, whatever the size of the
+corpus, and results don't depend on which units those are.  What other words a block of texts has is folded once a block.
+Blocks are formed and taken apart by Arrow functions in the same stage, so no text is shuffled.  A block holds BLOCK bytes
+of text, or one longer text.
+
+A word of over WINDOW bytes is folded in windows that overlap, and these are joined at tokens that neighbours have in
+common (see `stitched`), so a word's cost grows with its length.  Where two windows share none, which takes tokens of over
+STEP bytes or long runs, the word is merged by a heap.
 
 Cases: a null text counts as empty and has no ids; repeated rows and null ids are rows like others; an empty table gives
 an empty result; columns other than doc_id and text aren't read.
@@ -19,6 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -28,45 +34,60 @@ from pyspark.sql import functions as F
 
 from .packing import unit_starts
 from .spark_io import documents_only
-from .words import chunks, span_hashes
+from .words import U, chunks, span_hashes
 
 BLOCK = 1 << 24
-NONE = 1 << 30  # the rank of a pair that isn't a token
-_A, _B, _C = 2654435761, 40503, 2246822519  # products with pairs stay below 2 ** 63
+WINDOW, STEP = 64, 32  # bytes of a long word's windows, and from one window's start to the next's
+SAMPLE_DOCS, SAMPLE_UNITS = 25_000, 1_000_000
+_A, _B = 2654435761, 2246822519  # products with pairs stay below 2 ** 63
 _SLOTS, _BUCKETS = 1 << 18, 1 << 15
+NONE = 1 << 30  # the rank of a pair that isn't a token
 
 
+@functools.lru_cache(2)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@functools.lru_cache(2)
-def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """Shifts by bucket, and pair (a * 65536 + b) * 65536 + rank by slot: see `places`; a pair that isn't at its slot is
-    absent."""
-    ranks = read_ranks(path)
+def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """The rank of each pair of tokens whose joined bytes are a token."""
     pairs = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                pairs[a * 65536 + b] = rank
-    buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
-    for p in pairs:
-        buckets[(p * _A >> 13) % _BUCKETS].append(p)
-    shifts, slots = [0] * _BUCKETS, [-1] * _SLOTS
-    for k in sorted(range(_BUCKETS), key=lambda k: -len(buckets[k])):
-        shift = 0
-        while True:
-            places = [((p * _B >> 7) + ((p * _C >> 17) % 65536 * 2 + 1) * shift) % _SLOTS for p in buckets[k]]
-            if len(set(places)) == len(places) and all(slots[x] < 0 for x in places):
-                break
-            shift += 1
-        shifts[k] = shift
-        for p, x in zip(buckets[k], places):
-            slots[x] = p * 65536 + pairs[p]
-    return shifts, slots
+                pairs[a, b] = rank
+    return pairs
+
+
+@functools.lru_cache(2)
+def tables(path: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of pairs as a perfect hash: a factor, shifts by bucket, and entries pair * 65536 + rank by place, where a pair is
+    left * 65536 + right (see FoldEncoder.rank); ranks of pairs of bytes by left * 256 + right.  What stands at a place that
+    isn't a pair's own is another pair."""
+    ranks = read_ranks(path)
+    if max(ranks.values()) >= 53_000:
+        raise ValueError("vocabularies of up to 53,000 tokens fit the hash")
+    pairs = {a * 65536 + b: rank for (a, b), rank in pair_ranks(ranks).items()}
+    p = np.array(list(pairs), np.int64)
+    bucket, factor = p * _A >> 13 & _BUCKETS - 1, _B
+    while len(np.unique(bucket * _SLOTS + (place := p * factor >> 16 & _SLOTS - 1))) < len(p):  # pairs of a bucket part by place
+        factor -= 2
+    shifts, entries = np.zeros(_BUCKETS, np.int32), np.full(_SLOTS, -1, np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(_BUCKETS + 1))
+    for k in np.argsort(-np.diff(cut), kind="stable"):
+        own = order[cut[k] : cut[k + 1]]
+        while (entries[(place[own] + shifts[k]) & _SLOTS - 1] >= 0).any():
+            shifts[k] += 1
+        entries[(place[own] + shifts[k]) & _SLOTS - 1] = [x * 65536 + pairs[x] for x in p[own].tolist()]
+    own = {ranks[bytes([i])]: i for i in range(256)}
+    bytes_ = np.full(65536, NONE, np.int32)
+    for (a, b), rank in pair_ranks(ranks).items():
+        if a in own and b in own:
+            bytes_[own[a] * 256 + own[b]] = rank
+    return factor, shifts, entries, bytes_
 
 
 def let(value: Column, body) -> Column:
@@ -74,25 +95,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-@functools.lru_cache(2)
-def byte_ids(path: str) -> list[int]:
-    ranks = read_ranks(path)
-    return [ranks[bytes([i])] for i in range(256)]
-
-
 class FoldEncoder:
     """Column expressions of a vocabulary.
 
-    shifts, slots and byte_ids are columns that hold pair_table() and byte_ids().  Block rows carry them, a copy for BLOCK
-    bytes of text: as literals of a plan, the optimizer would compare their 300,000 numbers again and again.
+    shifts, entries and byte_pairs are columns that hold tables(), byte_ids one that holds the bytes' ids.  Block rows carry
+    them, a copy for BLOCK bytes of text: as literals of a plan, the optimizer would compare their numbers again and again.
     """
 
-    def __init__(self, path: str, shifts: str = "shifts", slots: str = "slots", byte_ids: str = "byte_ids"):
+    def __init__(self, path: str, shifts: str = "shifts", entries: str = "entries", byte_pairs: str = "byte_pairs", byte_ids: str = "byte_ids"):
         ranks = read_ranks(path)
-        self.edge = max(ranks.values()) + 1
-        if self.edge * 65536 * _A >= 2**63 - 2**48:
-            raise ValueError("vocabularies of up to 53,000 tokens fit the hash")
-        self.shifts, self.slots, self.bytes = F.col(shifts), F.col(slots), F.col(byte_ids)
+        self.edge, self.factor = max(ranks.values()) + 1, tables(path)[0]
+        self.shifts, self.entries, self.byte_pairs, self.byte_ids = (F.col(c) for c in (shifts, entries, byte_pairs, byte_ids))
         pieces = [""] * self.edge
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
@@ -100,92 +113,179 @@ class FoldEncoder:
 
     def rank(self, a: Column, b: Column) -> Column:
         p = a.cast("bigint") * 65536 + b
-        shift = self.shifts[F.pmod(F.shiftright(p * _A, 13), F.lit(_BUCKETS)).cast("int")]
-        place = F.pmod(F.shiftright(p * _B, 7) + (F.pmod(F.shiftright(p * _C, 17), F.lit(65536)) * 2 + 1) * shift, F.lit(_SLOTS)).cast("int")
-        return let(self.slots[place], lambda e: F.when(F.shiftright(e, 16) == p, F.pmod(e, F.lit(65536)).cast("int")).otherwise(F.lit(NONE)))
+        shift = self.shifts[F.shiftright(p * _A, 13).bitwiseAND(_BUCKETS - 1).cast("int")]
+        place = (F.shiftright(p * self.factor, 16) + shift).bitwiseAND(_SLOTS - 1).cast("int")
+        return let(self.entries[place], lambda e: F.when(F.shiftright(e, 16) == p, e.bitwiseAND(65535).cast("int")).otherwise(F.lit(NONE)))
 
     def encode(self, word: Column) -> Column:
-        """Ids (array of int) of a word (binary, not empty).
+        """Ids (array of int) of a word, given by its bytes (array of int, not empty).
 
         While it is folded, a word's ids stand between two edges, an id that is in no pair; so a merge always has neighbours.
+        Arrays are renewed by transform and filter, which cost a fraction of slice and concat.
         """
-        edge = F.array(F.lit(self.edge))
+        edge, none = F.array(F.lit(self.edge)), F.lit(NONE)
 
         def merged(acc, least):
-            def at(i):  # the pair's place, from 1; never the first or the last, which have an edge
-                ids, old, n = acc["ids"], acc["ranks"], F.lit(1 << 30)
+            def at(i):  # the place, from 0, of the pair; never the first or the last, which have an edge
+                ids, old = acc["ids"], acc["ranks"]
+                beside = F.struct(self.rank(ids[i - 1], least).alias("a"), self.rank(least, ids[i + 2]).alias("b"))
                 return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, n)).alias("ids"),
-                    F.concat(F.slice(old, F.lit(1), i - 2), F.array(self.rank(ids[i - 2], least), self.rank(least, ids[i + 1])), F.slice(old, i + 2, n)).alias("ranks"),
+                    F.filter(F.transform(ids, lambda x, k: F.when(k == i, least).otherwise(x)), lambda _, k: k != i + 1).alias("ids"),
+                    let(beside, lambda r: F.filter(F.transform(old, lambda x, k: F.when(k == i - 1, r["a"]).when(k == i + 1, r["b"]).otherwise(x)), lambda _, k: k != i)).alias("ranks"),
                 )
 
-            return let(F.array_position(acc["ranks"], least).cast("int"), at)
+            return let((F.array_position(acc["ranks"], least) - 1).cast("int"), at)
 
         def step(acc, _):
             return let(F.array_min(acc["ranks"]), lambda least: F.when(least >= NONE, acc).otherwise(merged(acc, least)))
 
-        def fold(ids):
-            ranks = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda x, i: self.rank(x, ids[i + 1]))
-            return F.aggregate(F.slice(ids, F.lit(1), F.size(ids) - 3), F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
-
-        chars = F.filter(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: c != "")
-        return let(F.concat(edge, F.transform(chars, lambda c: self.bytes[F.ascii(c)]), edge), fold)
+        others = F.slice(word, F.lit(2), F.size(word))
+        ranks = F.concat(F.array(none), F.transform(others, lambda b, i: self.byte_pairs[word[i] * 256 + b]), F.array(none))
+        ids = F.concat(edge, F.transform(word, lambda b: self.byte_ids[b]), edge)
+        return F.aggregate(others, F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
 
     def decode(self, ids: Column) -> Column:
         """The binary text of ids: their literal pieces, concatenated."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: self.pieces[i]), ""))
 
 
-def _blocks(path: str):
-    return functools.partial(_block_rows, path)
+class Known:
+    """Ids of some units by the hash of their bytes: sorted hashes, and lists of ids."""
 
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, offsets: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        flat, cut = _gather(ids, offsets, order)
+        self.ids, self.offsets = flat.astype(np.uint16), cut.astype(np.int32)
 
-def _block_rows(path: str, batches):
-    """Block rows: doc_ids, for each text the numbers of its units, for each unit the numbers of its words, and words."""
-    import public_tokenizers
-    import regex
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of hashes, -1 where one isn't known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+
+class Words:
+    """The distinct words of a block.  A unit is a list of words' numbers; a word of over WINDOW bytes is several windows
+    that overlap, of which all but the first have their number's complement."""
+
+    def __init__(self):
+        import public_tokenizers
+        import regex
+
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.numbers: dict[bytes, int] = {}
+
+    def unit(self, unit: bytes) -> list[int]:
+        out, numbers = [], self.numbers
+        for piece in self.split(unit.decode()):
+            word = piece.encode()
+            if len(word) <= WINDOW:
+                out.append(numbers.setdefault(word, len(numbers)))
+            else:
+                for at in range(0, len(word) - WINDOW + STEP, STEP):
+                    k = numbers.setdefault(word[at : at + WINDOW], len(numbers))
+                    out.append(~k if at else k)
+        return out
 
-    split = regex.compile(public_tokenizers.PATTERN).findall
+    def arrays(self) -> pa.Array:
+        flat = np.frombuffer(b"".join(self.numbers), np.uint8).astype(np.int32)
+        offsets = np.cumsum([0, *map(len, self.numbers)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _units(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all units; of each distinct unit its hash, start and end; the distinct unit of each."""
+    starts = unit_starts(chunk)
+    ends = np.append(starts[1:], len(chunk.data))
+    key, first, inverse = np.unique(span_hashes(chunk.data, starts, ends), return_index=True, return_inverse=True)
+    return starts, key, starts[first], ends[first], inverse
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _tables(path: str) -> list[pa.Array]:
+    ranks = read_ranks(path)
+    return [_one(pa.array(x)) for x in (*tables(path)[1:], np.array([ranks[bytes([i])] for i in range(256)], np.int32))]
 
-    shifts, slots = pair_table(path)
-    tables = [pa.array([shifts], pa.list_(pa.int32())), pa.array([slots], pa.list_(pa.int64())), pa.array([byte_ids(path)], pa.list_(pa.int32()))]
 
-    def block(held):
-        known: dict[int, int] = {}
-        words: dict[str, int] = {}
-        units, docs, texts = [], [], []
+_TABLES = "shifts array<int>, entries array<bigint>, byte_pairs array<int>, byte_ids array<int>"
+_TABLE_NAMES = [x.split()[0] for x in _TABLES.split(", ")]
+
+
+def _sampled(path: str, batches):
+    """A row of distinct units (hashes, words' numbers) and words for BLOCK bytes of text."""
+    for held in _blocks(batches):
+        words, units = Words(), {}
         for chunk in held:
-            starts = unit_starts(chunk)
-            ends = np.append(starts[1:], len(chunk.data))
-            key, first, inverse = np.unique(span_hashes(chunk.data, starts, ends), return_index=True, return_inverse=True)
-            data, number = chunk.data.tobytes(), []
-            for h, a, b in zip(key.tolist(), starts[first].tolist(), ends[first].tolist()):
-                k = known.get(h)
-                if k is None:
-                    k = known[h] = len(units)
-                    units.append([words.setdefault(w, len(words)) for w in split(data[a:b].decode())])
-                number.append(k)
-            texts.append((np.array(number, np.int32)[inverse], np.searchsorted(starts, chunk.offsets)))
-            docs.append(chunk.rows.column("doc_id"))
-        flat = np.concatenate([t for t, _ in texts])
-        base = np.cumsum([0] + [len(t) for t, _ in texts])
-        offsets = np.concatenate([[0]] + [o[1:] + b for (_, o), b in zip(texts, base)]).astype(np.int32)
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        return pa.RecordBatch.from_arrays(
-            [one(pa.concat_arrays(docs)), one(lists), one(pa.array(units, pa.list_(pa.int32()))), one(pa.array([w.encode() for w in words], pa.binary())), *tables],
-            ["doc_ids", "texts", "units", "words", "shifts", "slots", "byte_ids"],
-        )
+            _, key, starts, ends, _ = _units(chunk)
+            data = chunk.data.tobytes()
+            for h, a, b in zip(key.tolist(), starts.tolist(), ends.tolist()):
+                if h not in units and b - a <= WINDOW:
+                    units[h] = words.unit(data[a:b])
+        hashes = pa.array(np.array(list(units), U).view(np.int64))
+        yield pa.RecordBatch.from_arrays([_one(hashes), _one(pa.array(list(units.values()), pa.list_(pa.int32()))), _one(words.arrays()), *_tables(path)], ["hashes", "units", "words", *_TABLE_NAMES])
+
 
+def _joined(batches):
+    """hash and ids of each unit of _sampled's rows with their words' ids."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            hashes, units, words = (batch.column(c)[k].values for c in ("hashes", "units", "ids"))
+            numbers, offsets = _flat(units)
+            ids, of_word = _gather(*_flat(words), numbers)
+            lists = pa.ListArray.from_arrays(pa.array(of_word[offsets].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([hashes, lists], ["hash", "ids"])
+
+
+def _blocks(batches):
+    """Lists of chunks with BLOCK bytes of text, or one longer text."""
     held, size = [], 0
     for chunk in chunks(batches):
         if held and size + len(chunk.data) > BLOCK:
-            yield block(held)
+            yield held
             held, size = [], 0
         held.append(chunk)
         size += len(chunk.data)
     if held:
-        yield block(held)
+        yield held
+
+
+def _block_rows(path: str, known, batches):
+    """Block rows: doc_ids, for each text the numbers of its units, the ids of known units, for each other unit (their
+    numbers go on) the numbers of its words, and words."""
+    for held in _blocks(batches):
+        words, number, units, docs, texts, sizes, old = Words(), {}, [], [], [], [], []
+        for chunk in held:
+            starts, key, low, high, inverse = _units(chunk)
+            data, place = chunk.data.tobytes(), known.value.places(key)
+            local = -1 - place  # known units get a negative number for now
+            for i in np.flatnonzero(place < 0).tolist():
+                h = int(key[i])
+                k = number.get(h)
+                if k is None:
+                    k = number[h] = len(units)
+                    units.append(words.unit(data[low[i] : high[i]]))
+                local[i] = k
+            texts.append(local.astype(np.int32)[inverse])
+            sizes.append(np.diff(np.searchsorted(starts, chunk.offsets)))
+            docs.append(chunk.rows.column("doc_id"))
+        flat = np.concatenate(texts)
+        old, back = np.unique(-1 - flat[flat < 0], return_inverse=True)
+        new = flat >= 0
+        flat[new] += len(old)
+        flat[~new] = back
+        ids, cut = _gather(known.value.ids, known.value.offsets, old)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        known_ids = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [_one(pa.concat_arrays(docs)), _one(lists), _one(known_ids), _one(pa.array(units, pa.list_(pa.int32()))), _one(words.arrays()), *_tables(path)],
+            ["doc_ids", "texts", "known", "units", "words", *_TABLE_NAMES],
+        )
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,34 +301,123 @@ def _gather(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[
     return values[np.arange(done[-1]) + np.repeat(offsets[:-1][pick] - done[:-1], size)], done
 
 
-def _texts(batches):
+def stitched(windows: list[np.ndarray], size: np.ndarray) -> np.ndarray | None:
+    """Ids of a word from those of its windows; size has the bytes of each id.
+
+    Neighbouring windows are joined at a token that both have.  Ids are the word's if every two neighbours are the ids of
+    their joined bytes, which holds for neighbours within a window; so the join needs no others.  None if two windows have
+    no token in common.
+    """
+    ids, start = windows[0], np.concatenate([[0], np.cumsum(size[windows[0]])])
+    for k, further in enumerate(windows[1:], 1):
+        at = k * STEP + np.concatenate([[0], np.cumsum(size[further])])
+        low = np.searchsorted(start, k * STEP)
+        here = {(a, b): i for i, (a, b) in enumerate(zip(start[low:-1].tolist(), start[low + 1 :].tolist()), int(low))}
+        for j, span in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            if span in here:
+                i = here[span]
+                ids, start = np.concatenate([ids[:i], further[j:]]), np.concatenate([start[:i], at[j:]])
+                break
+        else:
+            return None
+    return ids
+
+
+def merged_by_heap(word: bytes, path: str) -> list[int]:
+    """Ids of a word whose windows have no token in common, such as long runs of one sign: the merges by a heap."""
+    ranks = read_ranks(path)
+    n = len(word)
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, a, b, c = heapq.heappop(heap)
+        if not alive[a] or end[a] != b or not alive[b] or end[b] != c:
+            continue
+        alive[b], end[a] = False, c
+        if c < n:
+            before[c] = a
+            if (r := ranks.get(word[a : end[c]])) is not None:
+                heapq.heappush(heap, (r, a, c, end[c]))
+        p = before[a]
+        if p >= 0 and (r := ranks.get(word[p:c])) is not None:
+            heapq.heappush(heap, (r, p, a, c))
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def _unit_ids(numbers: list[int], word, text, size: np.ndarray, path: str) -> np.ndarray:
+    """Ids of a unit with long words; word(k) has the ids and text(k) the bytes of a word."""
+    out, at = [], 0
+    while at < len(numbers):
+        end = at + 1
+        while end < len(numbers) and numbers[end] < 0:
+            end += 1
+        windows = [k if k >= 0 else ~k for k in numbers[at:end]]
+        ids = stitched([word(k) for k in windows], size)
+        if ids is None:
+            ids = np.array(merged_by_heap(b"".join(text(k)[:STEP] for k in windows[:-1]) + text(windows[-1]), path), np.int32)
+        out.append(ids)
+        at = end
+    return np.concatenate(out)
+
+
+def _texts(path: str, batches):
+    ranks = read_ranks(path)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = [len(t) for t in ranks]
     for batch in batches:
         for k in range(batch.num_rows):
-            docs, texts, units, words = (batch.column(c)[k].values for c in ("doc_ids", "texts", "units", "ids"))
-            tokens, of_unit = _gather(*_flat(words), _flat(units)[0])
-            unit_offsets = of_unit[_flat(units)[1]]
+            docs, texts, known, units, words, spelt = (batch.column(c)[k].values for c in ("doc_ids", "texts", "known", "units", "ids", "words"))
+            numbers, unit_cut = _flat(units)
+            ids, word_cut = _flat(words)
+            tokens, of_word = _gather(ids, word_cut, np.where(numbers < 0, ~numbers, numbers))
+            of_unit = of_word[unit_cut]
+            if (numbers < 0).any():
+                data, data_cut = _flat(spelt)
+                data = data.astype(np.uint8).tobytes()
+                word, text = (lambda w: ids[word_cut[w] : word_cut[w + 1]]), (lambda w: data[data_cut[w] : data_cut[w + 1]])
+                parts = [tokens[a:b] for a, b in zip(of_unit[:-1], of_unit[1:])]
+                for u in np.unique(np.searchsorted(unit_cut, np.flatnonzero(numbers < 0), "right") - 1):
+                    parts[u] = _unit_ids(numbers[unit_cut[u] : unit_cut[u + 1]].tolist(), word, text, size, path)
+                tokens, of_unit = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+            old, old_cut = _flat(known)
+            tokens, of_unit = np.concatenate([old, tokens]), np.concatenate([old_cut[:-1], old_cut[-1] + of_unit])
             flat, offsets = _flat(texts)
             for low in range(0, len(docs), 512):  # so that not all ids of a block are held at once
                 high = min(len(docs), low + 512)
-                ids, at = _gather(tokens, unit_offsets, flat[offsets[low] : offsets[high]])
+                out, at = _gather(tokens, of_unit, flat[offsets[low] : offsets[high]])
                 cut = at[offsets[low : high + 1] - offsets[low]]
-                ids = ids.astype(np.int32)
-                sha = [hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(cut[:-1], cut[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
+                out = out.astype(np.int32)
+                sha = [hashlib.sha256(out[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(cut[:-1], cut[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(out))
                 yield pa.RecordBatch.from_arrays([docs[low:high], pa.array(np.diff(cut)), pa.array(sha, pa.string()), lists], ["doc_id", "n_tokens", "ids_sha256", "ids"])
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def known_units(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> Known:
+    """Ids, by the fold, of at most SAMPLE_UNITS distinct units of a sample of about sample_docs documents."""
+    folder = FoldEncoder(path)
+    n = docs.count()
+    sample = docs.sample(min(1.0, sample_docs / n), 1) if n > sample_docs else docs
+    rows = sample.mapInArrow(functools.partial(_sampled, path), f"hashes array<bigint>, units array<array<int>>, words array<array<int>>, {_TABLES}")
+    folded = rows.select("hashes", "units", F.transform("words", folder.encode).alias("ids"))
+    units = folded.mapInArrow(_joined, "hash bigint, ids array<int>").dropDuplicates(["hash"]).limit(SAMPLE_UNITS).toArrow().combine_chunks()
+    if not units.num_rows:
+        return Known(np.zeros(0, U), np.zeros(0, np.int32), np.zeros(1, np.int64))
+    return Known(units["hash"].chunk(0).to_numpy().view(U), *_flat(units["ids"].chunk(0)))
+
+
+def encode(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and ids of every row of docs (doc_id, text); ranks from the file at path."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     folder = FoldEncoder(path)
     docs = documents_only(docs)
-    columns = "doc_ids array<bigint>, texts array<array<int>>, units array<array<int>>, words array<binary>, shifts array<int>, slots array<bigint>, byte_ids array<int>"
-    blocks = docs.mapInArrow(_blocks(path), columns)
+    known = docs.sparkSession.sparkContext.broadcast(known_units(docs, path, sample_docs))
+    columns = f"doc_ids array<bigint>, texts array<array<int>>, known array<array<int>>, units array<array<int>>, words array<array<int>>, {_TABLES}"
+    blocks = docs.mapInArrow(functools.partial(_block_rows, path, known), columns)
     ids = F.transform("words", folder.encode)
-    return blocks.select("doc_ids", "texts", "units", ids.alias("ids")).mapInArrow(_texts, "doc_id bigint, n_tokens bigint, ids_sha256 string, ids array<int>")
+    return blocks.select("doc_ids", "texts", "known", "units", "words", ids.alias("ids")).mapInArrow(functools.partial(_texts, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:

@@ -327,19 +327,32 @@ def test_bpe_equals_the_library(docs, empty, clashing, fixture_rows):
     import tiktoken
 
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    rows = [r for r in fixture_rows if r[0] != 209]  # a word of 20,000 letters takes its time
-    from pyspark.sql import functions as F
-
-    df = clashing.where("doc_id is null or doc_id <> 209")
-    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, bytes(r.decoded)) for r in bpe.decode(bpe.encode(df)).select("doc_id", "n_tokens", "ids_sha256", F.col("decoded")).collect())
     want = collections.Counter()
-    for i, t, *_ in rows:
+    for i, t, *_ in fixture_rows:
         ids = lib.encode_ordinary(t or "")
         want[(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), (t or "").encode())] += 1
-    assert got == want
+    for sample in (bpe.SAMPLE_DOCS, 20):  # with all units known, and with some
+        got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, bytes(r.decoded)) for r in bpe.decode(bpe.encode(clashing, sample_docs=sample)).select("doc_id", "n_tokens", "ids_sha256", "decoded").collect())
+        assert got == want
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_of_long_words(spark):
+    import time
+
+    import tiktoken
+
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = random.Random(8)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(65, 3000))) for letters in ("ab", "abc", "etaoin", "the", "qxz", "é日ab", "abcdefghijklmnopqrstuvwxyz") for _ in range(12)]
+    texts = [*words, "a" * 20_000, "=" * 5_000, "x " + "-=" * 700, " " * 3_000 + "x", "ab" * 64 + "=" * 64 + "c", "".join(rng.choice("abcdefgh") for _ in range(300_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    began = time.time()
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(rows, sample_docs=3).collect()}
+    assert got == {i: lib.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert time.time() - began < 90
+
+
 # ---- license scans
 
 def test_license_base_and_fuzzy(spark, docs, empty, clashing, fixture_rows):
