@@ -36,7 +36,7 @@ from .packing import unit_starts
 from .spark_io import documents_only
 from .words import U, chunks, span_hashes
 
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 WINDOW, STEP = 64, 32  # bytes of a long word's windows, and from one window's start to the next's
 SAMPLE_DOCS, SAMPLE_UNITS = 25_000, 1_000_000
 _A, _B = 2654435761, 2246822519  # products with pairs stay below 2 ** 63
@@ -216,18 +216,23 @@ _TABLES = "shifts array<int>, entries array<bigint>, byte_pairs array<int>, byte
 _TABLE_NAMES = [x.split()[0] for x in _TABLES.split(", ")]
 
 
-def _sampled(path: str, batches):
-    """A row of distinct units (hashes, words' numbers) and words for BLOCK bytes of text."""
+def _spelt(batches):
+    """hash and bytes of the distinct units of each BLOCK bytes of text, but for units of over WINDOW bytes."""
     for held in _blocks(batches):
-        words, units = Words(), {}
+        units = {}
         for chunk in held:
             _, key, starts, ends, _ = _units(chunk)
             data = chunk.data.tobytes()
-            for h, a, b in zip(key.tolist(), starts.tolist(), ends.tolist()):
-                if h not in units and b - a <= WINDOW:
-                    units[h] = words.unit(data[a:b])
-        hashes = pa.array(np.array(list(units), U).view(np.int64))
-        yield pa.RecordBatch.from_arrays([_one(hashes), _one(pa.array(list(units.values()), pa.list_(pa.int32()))), _one(words.arrays()), *_tables(path)], ["hashes", "units", "words", *_TABLE_NAMES])
+            units.update((h, data[a:b]) for h, a, b in zip(key.tolist(), starts.tolist(), ends.tolist()) if b - a <= WINDOW)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(units), U).view(np.int64)), pa.array(list(units.values()), pa.binary())], ["hash", "unit"])
+
+
+def _sampled(path: str, batches):
+    """A row of hashes, units (their words' numbers) and words for each batch of units."""
+    for batch in batches:
+        words = Words()
+        units = pa.array([words.unit(u) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([_one(batch.column("hash")), _one(units), _one(words.arrays()), *_tables(path)], ["hashes", "units", "words", *_TABLE_NAMES])
 
 
 def _joined(batches):
@@ -398,9 +403,10 @@ def known_units(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> K
     folder = FoldEncoder(path)
     n = docs.count()
     sample = docs.sample(min(1.0, sample_docs / n), 1) if n > sample_docs else docs
-    rows = sample.mapInArrow(functools.partial(_sampled, path), f"hashes array<bigint>, units array<array<int>>, words array<array<int>>, {_TABLES}")
+    spelt = sample.mapInArrow(_spelt, "hash bigint, unit binary").groupBy("hash").agg(F.first("unit").alias("unit")).limit(SAMPLE_UNITS).repartition("hash")
+    rows = spelt.mapInArrow(functools.partial(_sampled, path), f"hashes array<bigint>, units array<array<int>>, words array<array<int>>, {_TABLES}")
     folded = rows.select("hashes", "units", F.transform("words", folder.encode).alias("ids"))
-    units = folded.mapInArrow(_joined, "hash bigint, ids array<int>").dropDuplicates(["hash"]).limit(SAMPLE_UNITS).toArrow().combine_chunks()
+    units = folded.mapInArrow(_joined, "hash bigint, ids array<int>").toArrow().combine_chunks()
     if not units.num_rows:
         return Known(np.zeros(0, U), np.zeros(0, np.int32), np.zeros(1, np.int64))
     return Known(units["hash"].chunk(0).to_numpy().view(U), *_flat(units["ids"].chunk(0)))
