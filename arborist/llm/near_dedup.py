@@ -6,21 +6,31 @@ words is one shingle of them all.  Two documents are linked if the weighted Jacc
 
 Signatures: each shingle x carries independent Poisson processes over (time, weight).  The weight axis is cut into
 [0,1), [1,2), [2,4), [4,8) ...; an interval of length n has points at rate n, and a point counts if the dyadic position
-that its hash gives it within its interval lies below the shingle's weight.  Each point falls into one of `registers` at
+that its hash gives it within its interval lies below the shingle's weight.  Each point falls into one of REGISTERS at
 random, a register keeps its earliest point, and as points depend on the shingle, interval and number alone, two bags
 agree in a register with just their weighted Jaccard similarity as probability.  Only points before a time by which all
-registers are full are made (the time is raised for the few texts where one isn't).
-
-Scale: texts with equal bags are one class before banding.  A bucket of at most SMALL members has all its pairs compared.
-In a larger one all members are compared with one pivot.  After each round classes are made; a bucket whose members are of
-one class is done, and documents of one class aren't compared any more.  What remains in larger buckets was brought
-together by, say, a passage that many texts share; it is dealt anew by a further band beside the one that they agree in (two
-bags of similarity 0.8 agree in some 9 of 56 bands, one such pair in 2,400 in fewer than two, and one in 391 in fewer than
-three, which are needed where buckets stay large on two levels), up to LEVELS bands; beyond that buckets lose their pivot and take another, until all are done.  So no bucket emits its pairs, and a pivot's
-comparisons are dealt in shares of SHARE members, each with a copy of the pivot.
-
-Cases: null and wordless texts have no bag; each is a class of its own.  Rows with equal doc_id count as copies of one
-document if their bags are equal; null ids are left out.  An empty table gives an empty result.
+registers are full are made (the time is raised for the few texts where one isn't).  A band joins ROWS registers; bands
+are drawn from all registers.  Of pairs with similarity 0.8 about one in 100,000 meets in no band (fewer of more similar
+ones; see the tests), as bands are a matter of chance; whatever meets in a bucket is compared exactly, without caps.
+
+Bags are the rows of all steps, each with a number of its own, so texts with equal bags are compared once, and texts that
+share a doc_id are apart.  Two rounds of comparisons:
+
+1. Every bucket's bags are compared with one of them, the pivot: the bag that shares buckets with most others, in groups of
+   copies mostly the text that the others were made from.  The links make classes.
+2. In buckets that still have several classes, the members outside the largest class are compared with all members of other
+   classes.  A pair is compared in the first of its common bands alone, and only if enough registers agree (of pairs at the
+   threshold one in a thousand million doesn't have so many).  Large buckets are dealt in blocks of OUTSIDERS by MEMBERS, so
+   no task holds a bucket and no pairs are emitted; a member's text is sent once a block.
+
+The work of round 2 is a bucket's members times those outside its largest class, some 50 ns a pair.  Joins by band or by
+bag are sort-merge joins that adaptive execution splits where one side has a hot key (one text may be a third of all rows;
+the other side has one row a key); what is aggregated by key is combined before it is shuffled.  Intermediate tables are
+written to the shared folder, and deleted as soon as they aren't needed.
+
+Cases: null and wordless texts have no bag; each is a class of its own.  Repeated rows are copies of one document: all are
+kept or none.  A class_id is the least doc_id of the class, null only if all its ids are null; rows with a null id are kept
+only in such classes.  An empty table gives an empty result.  Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -30,14 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import documents_only, stored
+from .spark_io import Scratch, documents_only
 from .words import SPACES, U, chunks, mix, per_row, span_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 56, 8
-SMALL = 32
-LEVELS = 3
-SHARE = 1000
+REGISTERS, BANDS, ROWS = 256, 60, 7
+SHARE = 1000  # members that are compared with a pivot in one group
+OUTSIDERS, MEMBERS = 256, 2048
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -116,33 +125,53 @@ def weighted_jaccard(pivot: tuple[np.ndarray, np.ndarray], row, key, weight, n:
     return shared / np.maximum(per_row(row, n, weight) + counts.sum() - shared, 1e-9)
 
 
-def _describe(bands: int, rows: int):
+def band_registers(registers: int, bands: int, rows: int) -> np.ndarray:
+    """The registers of each band: `rows` different ones."""
+    deal = np.random.RandomState(11)
+    return np.stack([deal.permutation(registers)[:rows] for _ in range(bands)])
+
+
+def keys_of(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each row's bag."""
+    a, b = np.zeros(n, U), np.zeros(n, U)
+    np.add.at(a, row, mix(key) * weight.astype(U))
+    np.add.at(b, row, mix(key ^ _GOLD) * weight.astype(U))
+    return a.view(np.int64), b.view(np.int64)
+
+
+def _describe(registers: int, bands: int, rows: int):
     def run(batches):
+        of_band = band_registers(registers, bands, rows)
         for chunk in chunks(batches):
             row, key, weight = bags(chunk)
             n = chunk.n
-            a, b = np.zeros(n, U), np.zeros(n, U)
-            np.add.at(a, row, mix(key) * weight.astype(U))
-            np.add.at(b, row, mix(key ^ _GOLD) * weight.astype(U))
+            a, b = keys_of(row, key, weight, n)
             some = per_row(row, n) > 0
-            _, first, inverse = np.unique(np.stack([a, b], 1), axis=0, return_index=True, return_inverse=True)
+            _, first, inverse = np.unique(mix(a.view(U)) ^ b.view(U), return_index=True, return_inverse=True)
             pick = np.zeros(n, bool)
             pick[first] = True
             keep = pick[row]
-            sig = signatures(row[keep], key[keep], weight[keep], n, bands * rows)[first[inverse.ravel()]].reshape(n, bands, rows)
+            sig = signatures(row[keep], key[keep], weight[keep], n, registers)[first[inverse]]
             band = np.zeros((n, bands), U)
             for k in range(rows):
-                band = mix(band * _GOLD + sig[:, :, k])
+                band = mix(band * _GOLD + sig[:, of_band[:, k]])
             band = mix(band + np.arange(1, bands + 1, dtype=U)).view(np.int64)
-            flat = pa.array(band.ravel())
-            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, flat)
-            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(some), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["doc_id", "some", "key_a", "key_b", "bands"])
+            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(band.ravel()))
+            marks = pa.Array.from_buffers(pa.binary(registers), n, [None, pa.py_buffer(np.ascontiguousarray(sig.astype(np.uint8)))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(some), pa.array(a), pa.array(b), lists, marks], ["doc_id", "some", "key_a", "key_b", "bands", "marks"])
 
     return run
 
 
+def _own(batches):
+    """Of rows (bag, key_a, key_b, text) those whose text has these keys: a doc_id may have several texts."""
+    for chunk in chunks(batches):
+        a, b = keys_of(*bags(chunk), chunk.n)
+        yield chunk.rows.filter(pa.array((a == chunk.rows.column("key_a").to_numpy()) & (b == chunk.rows.column("key_b").to_numpy())))
+
+
 def _verify(threshold: float):
-    """Rows (pivot, share, role, doc_id, text) sorted so that a share's pivot (role 0) comes before its members."""
+    """Rows (pivot, share, role, bag, text) sorted so that a share's pivot (role 0) comes before its members."""
 
     def run(batches):
         pivot, name = None, None
@@ -150,7 +179,7 @@ def _verify(threshold: float):
             row, key, weight = bags(chunk)
             cut = np.searchsorted(row, np.arange(chunk.n + 1))
             names = list(zip(chunk.rows.column("pivot").to_pylist(), chunk.rows.column("share").to_pylist()))
-            role, doc = chunk.rows.column("role").to_numpy(), chunk.rows.column("doc_id").to_numpy()
+            role, bag = chunk.rows.column("role").to_numpy(), chunk.rows.column("bag").to_numpy()
             at, out = 0, []
             while at < chunk.n:
                 end = at + 1
@@ -162,7 +191,7 @@ def _verify(threshold: float):
                 s = slice(cut[at], cut[end])
                 like = weighted_jaccard(pivot, row[s] - at, key[s], weight[s], end - at)
                 hit = np.flatnonzero((like >= threshold - 1e-12) & (role[at:end] == 1))
-                out += [(doc[at + i], names[at][0], like[i]) for i in hit]
+                out += [(bag[at + i], names[at][0], like[i]) for i in hit]
                 at = end
             a, b, like = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], ["a", "b", "similarity"])
@@ -170,79 +199,130 @@ def _verify(threshold: float):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b; distinct) of docs (doc_id, text) that are similar enough, with their similarity."""
+def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b; distinct) of texts (bag, text) that are similar enough, with their similarity."""
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    members = pairs.join(shares, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"))
-    pivots = shares.select(F.col("b").alias("doc_id"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
-    sent = docs.join(members.unionByName(pivots), "doc_id").select("pivot", "share", "role", "doc_id", "text")
+    members = pairs.join(shares, "b").select(F.col("a").alias("bag"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"))
+    pivots = shares.select(F.col("b").alias("bag"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
+    sent = texts.join(members.unionByName(pivots), "bag").select("pivot", "share", "role", "bag", "text")
     sent = sent.repartition(F.col("pivot"), F.col("share")).sortWithinPartitions("pivot", "share", "role")
     return sent.mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    """Rows of a column of lists or binaries of one length."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _between_classes(threshold: float, registers: int):
+    """Rows (band, i, j, role, bag, label, outsider, bands, marks, text), sorted: of a block, the outsiders (role 0) come
+    before the members (role 1)."""
+    least = registers * (threshold - 6 * np.sqrt(threshold * (1 - threshold) / registers))
+
+    def run(batches):
+        name, held = None, []
+        for chunk in chunks(batches):
+            rows = chunk.rows
+            row, key, weight = bags(chunk)
+            cut, total = np.searchsorted(row, np.arange(chunk.n + 1)), per_row(row, chunk.n, weight)
+            band, bag, label = (rows.column(c).to_numpy() for c in ("band", "bag", "label"))
+            role, outside = rows.column("role").to_numpy(), rows.column("outsider").to_numpy(zero_copy_only=False)
+            names = np.stack([band, rows.column("i").to_numpy(), rows.column("j").to_numpy(), role], 1)
+            bands, marks = _matrix(rows.column("bands"), None), _matrix(rows.column("marks"), np.uint8)
+            edges = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(1)))
+            out = []
+            for at, end in zip(edges.tolist(), np.append(edges[1:], chunk.n).tolist()):
+                if name != names[at, :3].tolist():
+                    name, held = names[at, :3].tolist(), []
+                if not role[at]:
+                    held += [(bag[k], label[k], bands[k], marks[k], total[k], key[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]]) for k in range(at, end)]
+                    continue
+                for x_bag, x_label, x_bands, x_marks, x_total, x_key, x_weight in held:
+                    near = (label[at:end] != x_label) & ~(outside[at:end] & (bag[at:end] <= x_bag))
+                    near &= np.minimum(total[at:end], x_total) >= (threshold - 1e-9) * np.maximum(total[at:end], x_total)
+                    near = at + np.flatnonzero(near)
+                    near = near[(marks[near] == x_marks).sum(1) >= least]
+                    if len(near):
+                        common = bands[near] == x_bands
+                        near = near[x_bands[common.argmax(1)] == band[at]]
+                    if not len(near):
+                        continue
+                    n = cut[near + 1] - cut[near]
+                    entries = np.repeat(cut[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    like = weighted_jaccard((x_key, x_weight), np.repeat(np.arange(len(near)), n), key[entries], weight[entries], len(near))
+                    hit = np.flatnonzero(like >= threshold - 1e-12)
+                    _, once = np.unique(label[near[hit]], return_index=True)  # a link to each class is enough
+                    out += [(bag[near[k]], x_bag, like[k]) for k in hit[once]]
+            a, b, like = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], ["a", "b", "similarity"])
+
+    return run
+
+
+def between_classes(texts: DataFrame, shared: DataFrame, labels: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """Links between bags of different classes that meet in a bucket; one for each member and class, at least."""
+    known = shared.select("bag", "band").join(labels.withColumnRenamed("doc", "bag"), "bag", "left").withColumn("label", F.coalesce("label", "bag"))
+    classes = known.groupBy("band", "label").agg(F.count("*").alias("n"))
+    buckets = classes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where(F.col("most.n") < F.col("n"))
+    blocks = buckets.select("band", F.col("most.label").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / OUTSIDERS).cast("int").alias("i_n"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("j_n"))
+    rows = known.join(blocks, "band").withColumn("outsider", F.col("label") != F.col("largest"))
+    block = F.xxhash64("bag")
+    outsiders = rows.where("outsider").select("bag", "band", "label", "outsider", F.lit(0).alias("role"), F.pmod(block, F.col("i_n")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"))
+    members = rows.select("bag", "band", "label", "outsider", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), F.pmod(block, F.col("j_n")).cast("int").alias("j"))
+    sent = texts.join(outsiders.unionByName(members), "bag").select("band", "i", "j", "role", "bag", "label", "outsider", "bands", "marks", "text")
+    sent = sent.repartition(F.col("band"), F.col("i"), F.col("j")).sortWithinPartitions("band", "i", "j", "role")
+    return sent.mapInArrow(_between_classes(threshold, registers), "a bigint, b bigint, similarity double")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, label) of every end of edges (a, b): the least doc of its component; labels are halved in distance each round."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = scratch.store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.store(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("doc").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "doc").select("doc", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = scratch.store(labels.join(near, "doc").select("doc", F.col("label").alias("old"), F.least("label", "near").alias("label")), "step")
         # a label's own label is at most as large
-        jump = stored(step, "step")
-        over = jump.select(F.col("doc").alias("label"), F.col("label").alias("over"))
-        new = stored(jump.join(over, "label", "left").select("doc", "old", F.least("label", F.coalesce("over", "label")).alias("label")), "labels")
+        over = step.select(F.col("doc").alias("label"), F.col("label").alias("over"))
+        new = scratch.store(step.join(over, "label", "left").select("doc", "old", F.least("label", F.coalesce("over", "label")).alias("label")), "labels")
+        scratch.drop(labels, step)
         if new.where(F.col("old") != F.col("label")).isEmpty():
+            scratch.drop(both)
             return new.select("doc", "label")
-        labels = new.select("doc", "label")
-
-
-def _pairs(members: DataFrame, labels: DataFrame | None, n: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of buckets (doc, band, last) with documents of several classes: their members, and the candidates (a, b) of
-    different classes: all pairs of small buckets, and with the pivot of large ones."""
-    if labels is None:
-        known = members.withColumn("label", F.col("doc"))
-    else:
-        known = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    sizes = known.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("doc", "label")).alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most"))
-    held = stored(known.join(stored(sizes.where(F.col("least") < F.col("most")).drop("least", "most"), "buckets"), "band"), "held")
-    few = held.where(F.col("size") <= n)
-    other = few.select("band", F.col("doc").alias("a"), F.col("label").alias("other"))
-    every = few.select("band", F.col("doc").alias("b"), "label").join(other, "band").where((F.col("b") < F.col("a")) & (F.col("label") != F.col("other"))).select("a", "b").distinct()
-    stars = held.where((F.col("size") > n) & (F.col("label") != F.col("pivot.label"))).select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
-    return held, every, stars
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+        labels = new
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept (doc_id is class_id) for every document."""
-    docs = documents_only(docs).where(F.col("doc_id").isNotNull())
-    described = stored(docs.mapInArrow(_describe(bands, rows), "doc_id bigint, some boolean, key_a bigint, key_b bigint, bands array<bigint>"), "described")
+    docs = documents_only(docs)
+    scratch = Scratch(docs.sparkSession, "near_dedup")
+    described = scratch.store(docs.mapInArrow(_describe(registers, bands, rows), "doc_id bigint, some boolean, key_a bigint, key_b bigint, bands array<bigint>, marks binary"), "described")
     full = described.where("some")
-    same = stored(full.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("key_a", "key_b", F.col("first.doc_id").alias("doc"), F.col("first.bands").alias("bands")), "bags")
-    members = same.select("doc", F.posexplode("bands").alias("last", "band"))
-    found = tried = labels = None
-    level = 1
-    while True:
-        held, every, stars = _pairs(members, labels)
-        if labels is not None and held.isEmpty():
-            break
-        pairs = every.unionByName(stars).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        links = stored(verified(docs, pairs, threshold), "links")
-        found = links if found is None else found.unionByName(links)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(found)
-        large = held.where((F.col("size") > SMALL) & (F.col("doc") != F.col("pivot.doc"))) if level >= LEVELS else held.where(F.col("size") > SMALL)
-        members = large.select("doc", "band", "last")
-        if level < LEVELS:
-            level += 1
-            further = members.withColumnRenamed("band", "with").join(same.select("doc", "bands"), "doc").select("doc", "last", "with", F.posexplode("bands").alias("next", "band"))
-            members = further.where(F.col("next") > F.col("last")).select("doc", F.xxhash64("with", "next", "band").alias("band"), F.col("next").alias("last"))
-    classes = same.select("key_a", "key_b", "doc").join(labels, "doc", "left").select("key_a", "key_b", F.coalesce("label", "doc").alias("class_id"))
-    out = full.select("doc_id", "key_a", "key_b").join(stored(classes, "classes"), ["key_a", "key_b"]).select("doc_id", "class_id")
-    out = out.unionByName(described.where("not some").select("doc_id", F.col("doc_id").alias("class_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    same = full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    same = scratch.store(same.withColumn("bag", F.monotonically_increasing_id()), "bags")
+    members = same.select("bag", F.explode("bands").alias("band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.store(members.join(sizes, "band"), "shared")
+    reach = shared.groupBy("bag").agg(F.sum("n").alias("reach"))
+    candidates = same.join(reach.select("bag"), "bag", "left_semi").select("bag", "key_a", "key_b", F.col("doc_id").alias("id"))
+    texts = candidates.join(docs, F.col("id").eqNullSafe(F.col("doc_id"))).select("bag", "key_a", "key_b", "text").mapInArrow(_own, "bag bigint, key_a bigint, key_b bigint, text string")
+    texts = scratch.store(texts.select("bag", "text"), "texts")
+    pivots = shared.join(reach, "bag").groupBy("band").agg(F.max(F.struct("reach", (-F.col("bag")).alias("bag"))).alias("pivot")).select("band", (-F.col("pivot.bag")).alias("b"))
+    pairs = scratch.store(shared.join(pivots, "band").where(F.col("bag") != F.col("b")).select(F.col("bag").alias("a"), "b").distinct(), "pairs")
+    links = scratch.store(verified(texts, pairs, threshold), "links")
+    labels = components(links, scratch)
+    described_texts = texts.join(same.select("bag", "bands", "marks"), "bag")
+    further = scratch.store(between_classes(described_texts, shared, labels, threshold, registers), "further")
+    known = labels.select(F.col("doc").alias("a"), F.col("label").alias("b")).where("a <> b")
+    labels = components(known.unionByName(further.select("a", "b")), scratch)
+    labelled = same.select("bag", "key_a", "key_b", "doc_id").join(labels.withColumnRenamed("doc", "bag"), "bag", "left").withColumn("label", F.coalesce("label", "bag"))
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    classes = scratch.store(labelled.join(least, "label").select("key_a", "key_b", "class_id"), "classes")
+    out = full.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "class_id")
+    out = scratch.store(out.unionByName(described.where("not some").select("doc_id", F.col("doc_id").alias("class_id"))), "result")
+    scratch.keep_only(out)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-__all__ = ["bags", "components", "near_duplicates", "signatures", "verified", "weighted_jaccard"]
+__all__ = ["bags", "between_classes", "components", "near_duplicates", "signatures", "verified", "weighted_jaccard"]

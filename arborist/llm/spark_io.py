@@ -36,6 +36,34 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+class Scratch:
+    """Tables of one job in the shared folder, which are deleted when they aren't needed any more."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.at, self.names = spark, new_folder(spark, what), []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """As stored()."""
+        at = f"{self.at}/{len(self.names)}-{name}"
+        self.names.append(at)
+        df.write.parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        out.kept_at = at
+        return out
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            self._delete(table.kept_at)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        for at in set(self.names) - {t.kept_at for t in tables}:
+            self._delete(at)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1 ... by place, so that names that clash (but for case, or at all) don't matter."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

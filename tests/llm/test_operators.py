@@ -169,8 +169,11 @@ def components(rows, least=0.8):
 
 def test_near_duplicates_equal_brute_force(docs, empty, clashing, fixture_rows):
     rows = [r[:2] for r in fixture_rows if r[0] is not None]
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(clashing).collect()}
+    out = near_dedup.near_duplicates(clashing).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in fixture_rows)
+    got = {r.doc_id: r.class_id for r in out if r.doc_id is not None}
     want = components(rows)
+    assert all(r.kept == (r.doc_id == r.class_id) for r in out)
     assert got == want and len({want[i] for i in (0, 100, 101, 102, 103)}) == 1 and len({want[i] for i in (1, *range(110, 115))}) == 1
     assert near_dedup.near_duplicates(empty).count() == 0
 
@@ -190,6 +193,35 @@ def test_near_duplicates_of_large_groups_and_shared_passages(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == components(rows)
 
 
+def test_near_duplicates_of_variants_at_every_distance(spark, monkeypatch):
+    """1,000 variants around one text, most of them below 0.8 of one another, in blocks of a few rows."""
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 16)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 100)
+    monkeypatch.setattr(near_dedup, "SHARE", 50)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(90)], []
+    for i in range(1000):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, want = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}, components(rows)
+    assert len(set(want.values())) > 3 and got == want
+
+
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b = ([word() for _ in range(80)] for _ in range(2))
+    changed = [*a[:40], "other", *a[41:]]
+    texts = [(1, a), (1, b), (2, changed), (3, [*b, "more"]), (None, b), (None, [word() for _ in range(9)]), (1, a), (4, None)]
+    df = spark.createDataFrame([(i, t and " ".join(t)) for i, t in texts], "doc_id bigint, text string")
+    got = sorted(map(str, ((r.doc_id, r.class_id, r.kept) for r in near_dedup.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (4, 4, True)]))
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.RandomState(0)
     key = rng.randint(1, 2**62, 300).astype(np.uint64)
