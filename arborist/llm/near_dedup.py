@@ -45,7 +45,7 @@ from .words import SPACES, U, chunks, mix, per_row, span_hashes
 
 SHINGLE = 5
 REGISTERS, BANDS, ROWS = 256, 60, 7
-SHARE = 1000  # members that are compared with a pivot in one group
+SHARE = 200  # members that are compared with a pivot in one group
 OUTSIDERS, MEMBERS = 256, 2048
 _GOLD = U(0x9E3779B97F4A7C15)
 
