@@ -249,7 +249,7 @@ def _joined(batches):
 def _blocks(batches):
     """Lists of chunks with BLOCK bytes of text, or one longer text."""
     held, size = [], 0
-    for chunk in chunks(batches):
+    for chunk in chunks(batches, 1 << 19):  # small chunks, as their arrays are many times their text
         if held and size + len(chunk.data) > BLOCK:
             yield held
             held, size = [], 0
@@ -260,8 +260,8 @@ def _blocks(batches):
 
 
 def _block_rows(path: str, known, batches):
-    """Block rows: doc_ids, for each text the numbers of its units, the ids of known units, for each other unit (their
-    numbers go on) the numbers of its words, and words."""
+    """Block rows: doc_ids and how many units each text has, the numbers of all their units (compressed), the ids of known
+    units, for each other unit (their numbers go on) the numbers of its words, and words."""
     for held in _blocks(batches):
         words, number, units, docs, texts, sizes, old = Words(), {}, [], [], [], [], []
         for chunk in held:
@@ -284,13 +284,14 @@ def _block_rows(path: str, known, batches):
         flat[new] += len(old)
         flat[~new] = back
         ids, cut = _gather(known.value.ids, known.value.offsets, old)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        n_units, numbers = np.concatenate(sizes), pa.compress(flat.tobytes(), "zstd", asbytes=True)
         known_ids = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
         yield pa.RecordBatch.from_arrays(
-            [_one(pa.concat_arrays(docs)), _one(lists), _one(known_ids), _one(pa.array(units, pa.list_(pa.int32()))), _one(words.arrays()), *_tables(path)],
-            ["doc_ids", "texts", "known", "units", "words", *_TABLE_NAMES],
+            [_one(pa.concat_arrays(docs)), _one(pa.array(n_units, pa.int32())), pa.array([numbers], pa.binary()), _one(known_ids), _one(pa.array(units, pa.list_(pa.int32()))), _one(words.arrays()), *_tables(path)],
+            ["doc_ids", "n_units", "numbers", "known", "units", "words", *_TABLE_NAMES],
         )
+        del held, texts, flat, inverse, data
+        pa.default_memory_pool().release_unused()
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,7 +373,7 @@ def _texts(path: str, batches):
     size[list(ranks.values())] = [len(t) for t in ranks]
     for batch in batches:
         for k in range(batch.num_rows):
-            docs, texts, known, units, words, spelt = (batch.column(c)[k].values for c in ("doc_ids", "texts", "known", "units", "ids", "words"))
+            docs, n_units, known, units, words, spelt = (batch.column(c)[k].values for c in ("doc_ids", "n_units", "known", "units", "ids", "words"))
             numbers, unit_cut = _flat(units)
             ids, word_cut = _flat(words)
             tokens, of_word = _gather(ids, word_cut, np.where(numbers < 0, ~numbers, numbers))
@@ -387,7 +388,8 @@ def _texts(path: str, batches):
                 tokens, of_unit = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
             old, old_cut = _flat(known)
             tokens, of_unit = np.concatenate([old, tokens]), np.concatenate([old_cut[:-1], old_cut[-1] + of_unit])
-            flat, offsets = _flat(texts)
+            offsets = np.concatenate([[0], np.cumsum(n_units.to_numpy().astype(np.int64))])
+            flat = np.frombuffer(pa.decompress(batch.column("numbers")[k].as_py(), int(offsets[-1]) * 4, "zstd", asbytes=True), np.int32)
             for low in range(0, len(docs), 512):  # so that not all ids of a block are held at once
                 high = min(len(docs), low + 512)
                 out, at = _gather(tokens, of_unit, flat[offsets[low] : offsets[high]])
@@ -420,10 +422,10 @@ def encode(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_D
     folder = FoldEncoder(path)
     docs = documents_only(docs)
     known = docs.sparkSession.sparkContext.broadcast(known_units(docs, path, sample_docs))
-    columns = f"doc_ids array<bigint>, texts array<array<int>>, known array<array<int>>, units array<array<int>>, words array<array<int>>, {_TABLES}"
+    columns = f"doc_ids array<bigint>, n_units array<int>, numbers binary, known array<array<int>>, units array<array<int>>, words array<array<int>>, {_TABLES}"
     blocks = docs.mapInArrow(functools.partial(_block_rows, path, known), columns)
     ids = F.transform("words", folder.encode)
-    return blocks.select("doc_ids", "texts", "known", "units", "words", ids.alias("ids")).mapInArrow(functools.partial(_texts, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, ids array<int>")
+    return blocks.select("doc_ids", "n_units", "numbers", "known", "units", "words", ids.alias("ids")).mapInArrow(functools.partial(_texts, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
