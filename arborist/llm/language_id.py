@@ -5,8 +5,9 @@ match in the reference; c phrases over n symbols against a reference of N symbol
 c * log2(N) / n, and the language with the lowest wins (ties: the first in sorted order).
 
 Texts are parsed as UTF-8 bytes: A-Z folded, bytes 0x80 and up as they are, every other byte a blank.  The automata are
-tables, and all texts of a chunk are parsed in lock step, in pieces of PIECE bytes, which costs one phrase a piece for
-every language alike.
+tables, and all texts of a chunk are parsed in lock step, in pieces of PIECE bytes.  A piece is parsed as if a phrase
+began with it; then it is parsed again in the state that the piece before it ends in, up to a byte at which both begin a
+phrase, from where they are alike.  So phrases are those of the whole text, whatever its length.
 
 Cases: null, empty and letterless texts get `und` and score 0; so does everything if nothing could be learned.  Rows
 with a null or repeated doc_id are rows like others; further columns aren't read.
@@ -23,10 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import documents_only, pick
+from .spark_io import documents_only, pick, stored
 from .words import chunks
 
 PIECE = 512
+GROUP = 16  # languages parsed at once
 BLANK = 0x20
 LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -95,60 +97,97 @@ class CrossParser:
 
     def entropies(self, chunk) -> np.ndarray:
         """Bits a symbol, by row and language; rows without a byte have 0."""
-        n = chunk.n
         sizes = np.diff(chunk.offsets)
         pieces = -(-sizes // PIECE)
-        row = np.repeat(np.arange(n), pieces)
+        row = np.repeat(np.arange(chunk.n), pieces)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = chunk.offsets[:-1][row] + nth * PIECE
-        size = np.minimum(PIECE, chunk.offsets[1:][row] - start)
-        order = np.argsort(-size, kind="stable")
-        row, start, size = row[order], start[order], size[order]
-        data = np.append(self.code[chunk.data], self.code.dtype.type(self.width - 1))
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.full((len(self.langs), len(row)), self.none, np.int32)
-        phrases = np.zeros((len(self.langs), len(row)), np.int32)
-        live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")
-        for step in range(size[0] if len(size) else 0):
-            k = live[step]  # pieces longer than step
-            sym = data[start[:k] + step].astype(np.int32)
-            to = self.table[state[:, :k] * self.width + sym]
-            miss = to < 0
-            phrases[:, :k] += miss
-            again = self.table[roots * self.width + sym]
-            state[:, :k] = np.where(miss, np.where(again < 0, self.none, again), to)
-        total = np.stack([np.bincount(row, p, n) for p in phrases]) if len(row) else np.zeros((len(self.langs), n))
+        end = np.minimum(start + PIECE, chunk.offsets[1:][row])
+        data = np.append(self.code[chunk.data], self.code.dtype.type(self.width - 1)).astype(np.int32)
+        total = np.zeros((len(self.langs), chunk.n))
+        for low in range(0, len(self.langs), GROUP):  # so that the phrases' places stay a few times the text
+            roots = np.array(self.roots[low : low + GROUP], np.int32)
+            begins = np.zeros((len(roots), len(chunk.data) + 1), bool)
+            ends = np.full((len(roots), len(row)), self.none, np.int32)
+            lang, piece = (x.ravel() for x in np.indices(ends.shape))
+            self._parse(data, roots, lang, piece, start, end, begins, ends, False)
+            todo = np.arange(len(lang))[nth[piece] > 0]
+            while len(todo):  # pieces whose true state on entry isn't known to have been followed up
+                l, p = lang[todo], piece[todo]
+                changed = self._parse(data, roots, l, p, start, end, begins, ends, True)
+                todo = todo[changed] + 1
+                todo = todo[(todo % len(row) > 0) & (nth[piece[np.minimum(todo, len(piece) - 1)]] > 0)] if len(todo) else todo
+            done = np.concatenate([np.zeros((len(roots), 1), np.int64), np.cumsum(begins[:, :-1], 1)], 1)
+            total[low : low + GROUP] = done[:, chunk.offsets[1:]] - done[:, chunk.offsets[:-1]]
         return (total * self.bits[:, None] / np.maximum(sizes, 1)).T
 
+    def _parse(self, data, roots, lang, piece, start, end, begins, ends, again: bool) -> np.ndarray:
+        """Parses pieces of texts by languages; sets begins (places where phrases begin) and ends (states after pieces).
+
+        again: from the state that the piece before ends in, up to a place where a phrase began before as well.  Gives which
+        pieces' last state has changed.
+        """
+        order = np.argsort(start[piece] - end[piece], kind="stable")
+        lang, piece = lang[order], piece[order]
+        at, size, root = start[piece], end[piece] - start[piece], roots[lang]
+        state = ends[lang, piece - 1] if again else np.full(len(piece), self.none, np.int32)
+        live, changed = np.arange(len(piece)), np.zeros(len(piece), bool)
+        for step in range(int(size[0]) if len(size) else 0):
+            ended = size[live] <= step
+            if ended.any():
+                live = live[~ended]
+            if not len(live):
+                break
+            sym = data[at[live] + step]
+            to = self.table[state[live] * self.width + sym]
+            miss = to < 0
+            fresh = self.table[root[live[miss]] * self.width + sym[miss]]
+            to[miss] = np.where(fresh < 0, self.none, fresh)
+            state[live] = to
+            place = lang[live], at[live] + step
+            if again:
+                same = miss & begins[place]
+                begins[place] = miss
+                live = live[~same]
+            else:
+                begins[place] = miss
+        if again:  # those that never met the first parse
+            changed[live] = ends[lang[live], piece[live]] != state[live]
+            met = np.ones(len(piece), bool)
+            met[live] = False
+            ends[lang[~met], piece[~met]] = state[~met]
+        else:
+            ends[lang, piece] = state
+        out = np.zeros(len(piece), bool)
+        out[order] = changed
+        return out
+
 
 @functools.lru_cache(2)
 def _parser(references: tuple[tuple[str, bytes], ...]) -> CrossParser:
     return CrossParser(references)
 
 
-def fit(train: DataFrame, reference_bytes: int = 32_768, all_bytes: int = 262_144, docs_per_lang: int = 300, max_langs: int = 200) -> tuple[tuple[str, bytes], ...]:
-    """Reference text of each language in train (text, lang, doc_id), from a bounded sample of its rows.
+def fit(train: DataFrame, docs_per_lang: int = 16, short: int = 8_000) -> tuple[tuple[str, bytes], ...]:
+    """Reference text of every language in train (text, lang, doc_id), from a bounded sample of its rows.
 
-    The sample: about docs_per_lang rows of a language by a hash of doc_id, the first 20,000 characters of each,
-    distinct, joined until there are reference_bytes (or all_bytes shared by the languages, if less).  The max_langs
-    most frequent languages are learned.
+    The sample: of a language's texts of at most `short` characters (of all its texts, if there are none) the docs_per_lang
+    with the least hashes of doc_id and text, whole and distinct.
     """
     train = pick(train, doc_id="bigint", text="string", lang="string")
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    if not counts:
-        return ()
-    share = F.pmod(F.xxhash64(F.lit(42), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = functools.reduce(lambda a, b: a | b, ((F.col("lang") == k) & (share < min(1.0, docs_per_lang / n)) for k, n in counts))
-    texts: dict[str, list[tuple[float, str]]] = {}
-    for r in rows.where(picked).select("lang", share.alias("share"), F.substring("text", 1, 20_000).alias("text")).toLocalIterator():
-        texts.setdefault(r["lang"], []).append((r["share"], r["text"]))
-    size = max(1024, min(reference_bytes, all_bytes // len(counts)))
-    out = []
-    for lang in sorted(texts):
-        joined = " ".join(dict.fromkeys(t for _, t in sorted(texts[lang]))).encode()
-        out.append((lang, joined[:size]))
-    return tuple(out)
+    rows = rows.withColumn("brief", F.length("text") <= short).withColumn("share", F.pmod(F.xxhash64(F.lit(42), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("brief").cast("bigint")).alias("n_brief"))
+    counts = stored(counts, "languages")
+    few = rows.join(counts, "lang").where(F.col("brief") == (F.col("n_brief") > 0))
+    few = few.where(F.col("share") * F.when(F.col("n_brief") > 0, F.col("n_brief")).otherwise(F.col("n")) < 4 * docs_per_lang + 32)
+    texts: dict[str, dict[float, str]] = {}
+    for r in few.select("lang", "share", "text").toLocalIterator():
+        own = texts.setdefault(r["lang"], {})
+        own[r["share"]] = r["text"]
+        if len(own) > docs_per_lang:
+            del own[max(own)]
+    return tuple((lang, " ".join(dict.fromkeys(t for _, t in sorted(texts[lang].items()))).encode()) for lang in sorted(texts))
 
 
 def predict(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> DataFrame:

@@ -6,6 +6,10 @@ PMI(t; e) = log p(t, e) / (p(t) p(e)), as a share of what there is to know, IC(e
 in LEAST distinct texts or more, and whose share reaches `threshold` for some e, is disclosing in every text: below a
 share of 1 it is generalised to its letters' shape, at 1 (it never occurs without e) it is removed.
 
+An identifier (IDENTIFIER, such as a key or token) is a term that stands for its holder.  What it tells of whose text it
+is, is IC(t) = -log p(t), as a share of the most there is to know, log N of N distinct texts; so 1 - log n / log N if n
+texts have it.  From `threshold` on it is disclosing like a term: removed at 1 (one text alone has it), else generalised.
+
 All counts are over distinct texts (by their words), so copies don't count as evidence.  Terms are words
 `[^\\x20\\x09-\\x0D]+`, A-Z folded, that don't touch a pattern's span and have no digit.  Bloom filters of fixed size
 (FILTER bits) thin the terms that tasks emit; joins on the whole tables then decide, so nothing unbounded is broadcast.
@@ -37,6 +41,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: 12 or more ASCII letters, digits, - and _ with two letters and two digits at least; matched within words.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_-])(?=[0-9_-]*[A-Za-z][0-9_-]*[A-Za-z])(?=[A-Za-z_-]*[0-9][A-Za-z_-]*[0-9])[A-Za-z0-9_-]{12,}")
 _DIGITS = np.zeros(256, bool)
 _DIGITS[48:58] = True
 _CLUES = _DIGITS.copy()
@@ -85,6 +91,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def identifiers(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Start and end of the identifiers that don't touch a pattern's span."""
+    return [m.span() for m in IDENTIFIER.finditer(text) if all(b <= m.start() or m.end() <= a for a, _, b in spans)]
+
+
 def _spans(chunk) -> list[list[tuple[int, int, int]]]:
     """base_spans of each row; texts without a digit or @ have none."""
     clue = chunk.sums(_CLUES) > 0
@@ -95,6 +106,15 @@ def _spans(chunk) -> list[list[tuple[int, int, int]]]:
     return found
 
 
+def _identifiers(chunk, spans) -> list[list[dict]]:
+    """hash, start and end of the identifiers of each row."""
+    found: list[list[dict]] = [[] for _ in range(chunk.n)]
+    at = np.flatnonzero(chunk.sums(_DIGITS) > 1)
+    for i, text in zip(at.tolist(), chunk.rows.column("text").take(pa.array(at)).to_pylist()):
+        found[i] = [{"term": entity_hash(len(KINDS), text[a:b]), "start": a, "end": b} for a, b in identifiers(text, spans[i])]
+    return found
+
+
 class Terms:
     """The words of a chunk that may be terms: row, hash, and start and end in code points of their text."""
 
@@ -154,10 +174,11 @@ def _first(batches):
             text = texts[i].as_py() if own else ""
             entities.append(sorted({entity_hash(k, text[a:b]) for a, k, b in own}))
         counts = [pa.array([sum(k == j for _, k, _ in own) for own in spans], pa.int64()) for j in range(len(KINDS))]
+        ids = pa.array(_identifiers(chunk, spans), pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])))
         base = pa.array([",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own) for own in spans], pa.string())
         yield pa.RecordBatch.from_arrays(
-            [chunk.rows.column("doc_id"), chunk.rows.column("text_key"), pa.array(terms.text.view(np.int64)), *counts, base, pa.array(entities, pa.list_(pa.int64())), _lists(row, h, chunk.n)],
-            ["doc_id", "text_key", "words", *(f"n_{k}" for k in KINDS), "base", "entities", "terms"],
+            [chunk.rows.column("doc_id"), chunk.rows.column("text_key"), pa.array(terms.text.view(np.int64)), *counts, base, pa.array(entities, pa.list_(pa.int64())), _lists(row, h, chunk.n), ids],
+            ["doc_id", "text_key", "words", *(f"n_{k}" for k in KINDS), "base", "entities", "terms", "identifiers"],
         )
 
 
@@ -215,7 +236,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return documents_only(docs).withColumn("text_key", F.xxhash64("text"))
 
 
-def _disclosing(docs: DataFrame, first: DataFrame, least: int, threshold: float) -> DataFrame:
+def _disclosing(docs: DataFrame, first: DataFrame, n: int, least: int, threshold: float) -> DataFrame:
     """(term, share): disclosing terms, and the largest share of some entity's information that they give."""
     spark = docs.sparkSession
     empty = spark.createDataFrame([], "term bigint, share double")
@@ -225,7 +246,6 @@ def _disclosing(docs: DataFrame, first: DataFrame, least: int, threshold: float)
         return empty
     held = evidence.select("words", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity")
     pairs = held.join(evidence.select("words", "terms"), "words").select("entity", F.explode("terms").alias("term"))
-    n = first.agg(F.approx_count_distinct("words", 0.01).alias("n")).first()["n"]
     known = F.log(F.lit(float(max(n, 2))) / F.least("n_entity", F.lit(max(n, 2) - 1)))
     # a term's share is at most what the texts with entities alone would give, so that rules out common words first
     among = evidence.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_among"))
@@ -240,17 +260,26 @@ def _disclosing(docs: DataFrame, first: DataFrame, least: int, threshold: float)
     return stored(told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold), "disclosing")
 
 
+def telling(first: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_id, text_key, term, start, end, share): the places of disclosing identifiers, in n distinct texts."""
+    places = first.select("doc_id", "text_key", "words", F.explode("identifiers").alias("at")).select("doc_id", "text_key", "words", "at.*")
+    texts = places.select("words", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    shares = texts.select("term", (1 - F.log("n_term") / F.log(F.lit(float(n)))).alias("share")).where(F.col("share") >= threshold)
+    return places.drop("words").join(shares, "term").select("doc_id", "text_key", "term", "start", "end", "share")
+
+
 def find(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, n_email, n_ip, n_card, n_phone, base (spans of the patterns) and terms (array of start, end, share)."""
     docs = _narrow(docs)
-    first = stored(docs.mapInArrow(_first, "doc_id bigint, text_key bigint, words bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, entities array<bigint>, terms array<bigint>"), "entities-first")
-    terms = _disclosing(docs, first, least, threshold)
-    out = first.drop("entities", "terms", "words")
+    first = stored(docs.mapInArrow(_first, "doc_id bigint, text_key bigint, words bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, entities array<bigint>, terms array<bigint>, identifiers array<struct<term:bigint,start:bigint,end:bigint>>"), "entities-first")
+    n = max(2, first.select("words").distinct().count())
+    terms = _disclosing(docs, first, n, least, threshold)
+    out = first.drop("entities", "terms", "words", "identifiers")
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,share:double>>)")
-    if terms.isEmpty():
-        return out.withColumn("terms", none)
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(terms, "term"))
-    places = docs.mapInArrow(_places(bits), "doc_id bigint, text_key bigint, term bigint, start bigint, end bigint").join(terms, "term")
+    places = telling(first, n, threshold)
+    if not terms.isEmpty():
+        bits = docs.sparkSession.sparkContext.broadcast(bloom(terms, "term"))
+        places = places.unionByName(docs.mapInArrow(_places(bits), "doc_id bigint, text_key bigint, term bigint, start bigint, end bigint").join(terms, "term"))
     places = places.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "share"))).alias("terms"))
     out = out.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     return out.select("doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", F.coalesce("terms", none).alias("terms"))

@@ -310,6 +310,27 @@ def test_pii_disclosing_terms(spark):
     assert "anzibar" not in clean[1000] and clean[2000] == "visit * today" and clean[0] == rows[0][1]
 
 
+def test_pii_identifiers_equal_brute_force(spark, fixture_rows):
+    rng = random.Random(3)
+    token = lambda n: "".join(rng.choice("abcdef0123456789") for _ in range(n)) + "a1b2"
+    common, shared, own = token(20), token(16), [token(30) for _ in range(5)]
+    rows = [(i, t) for i, t, *_ in fixture_rows if t and i is not None and i < 60]
+    rows += [(3000 + i, f'and token = "{own[i]}" {common} no{i}') for i in range(5)] + [(3100 + i, f"{common} {shared if i < 2 else ''} {i} words") for i in range(20)]
+    rows += [(3200, rows[60][1]), (3201, "short1a2 4111222233334444555 aaaa-bbbb-cccc-dddd")]
+    texts = {t for _, t in rows}
+    n = collections.Counter(x for t in texts for x in set(re.findall(r"[A-Za-z0-9_-]+", t)))
+    want = {}
+    for i, t in rows:
+        spans = []
+        for m in re.finditer(r"[A-Za-z0-9_-]+", t):
+            x = m[0]
+            if len(x) >= 12 and len(re.findall("[A-Za-z]", x)) > 1 and len(re.findall("[0-9]", x)) > 1 and 1 - math.log(n[x]) / math.log(len(texts)) >= pii.THRESHOLD:
+                spans.append(f"term:{m.start()}:{m.end()}")
+        want[i] = ",".join(spans)
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert found == want and sum(map(bool, want.values())) == 6
+
+
 # ---- quality rules
 
 def test_quality_base_equals_brute_force(docs, empty, clashing, fixture_rows):
@@ -457,15 +478,16 @@ def test_cross_parsing_equals_naive(docs, empty, clashing, fixture_rows):
     references = language_id.fit(clashing.where(~held_out(3, 1)))
     assert [k for k, _ in references] == ["de", "en", "fr"]
     parser = language_id.CrossParser(references)
-    texts = [r[1] for r in fixture_rows]
+    parts = [r[1] for r in fixture_rows[:60]]
+    # texts of many pieces: all of a reference (one phrase), two of them, and many texts
+    texts = [r[1] for r in fixture_rows] + [references[1][1].decode(), (references[0][1] + references[2][1]).decode(), "".join(parts), " x ".join(parts[::-1]) * 3]
     chunk = chunk_of(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}))
     h = parser.entropies(chunk)
     for i, t in enumerate(texts):
         b = language_id._FOLD[np.frombuffer((t or "").encode(), np.uint8)].tobytes()
         for k, (_, r) in enumerate(references):
             r = language_id._FOLD[np.frombuffer(r, np.uint8)].tobytes()
-            pieces = [b[x : x + language_id.PIECE] for x in range(0, len(b), language_id.PIECE)]
-            want = sum(naive_phrases(p, r) for p in pieces) * math.log2(len(r)) / max(len(b), 1)
+            want = naive_phrases(b, r) * math.log2(len(r)) / max(len(b), 1)
             assert h[i, k] == pytest.approx(want)
     out = {r.doc_id: r for r in language_id.predict(clashing, references).collect()}
     assert all(out[i].lang_pred == fixture_rows[i][2] for i in range(60))
