@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .spark_io import documents_only, pick
 from .words import SPACES, chunks, span_hashes
@@ -244,10 +245,31 @@ def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = TOKEN
     return documents_only(docs).mapInArrow(run, _SCHEMA)
 
 
+def conversation_demands(turns: DataFrame, path: str | None = None, learned: str = "assistant") -> DataFrame:
+    """id, tokens, segments and loss of each conversation of turns (conv_id, role, text).
+
+    A turn is its text's ids and END; a segment is a turn; loss bear the tokens of the role `learned`.  Turns are summed by
+    conversation before they are shuffled, so one may hold any share of the rows.  Null texts count as empty, null roles as
+    others; turns without a conv_id are one conversation of id null.
+    """
+
+    def run(batches):
+        import public_tokenizers
+
+        units = encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+        for chunk in chunks(batches):
+            _, at = units.ids(chunk)
+            yield pa.RecordBatch.from_arrays([chunk.rows.column("conv_id"), chunk.rows.column("role"), pa.array(np.diff(at) + 1)], ["id", "role", "tokens"])
+
+    counted = pick(turns, conv_id="bigint", role="string", text="string").mapInArrow(run, "id bigint, role string, tokens bigint")
+    loss = F.when(F.col("role") == learned, F.col("tokens")).otherwise(0)
+    return counted.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum(loss).alias("loss"))
+
+
 def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, window: int = 4096) -> DataFrame:
     """Sequences of whole examples (id, tokens, segments, loss); each task packs windows of its own rows.
 
-    Gives id and sequence_id for every row; null demands count as 0.
+    Gives id, sequence_id, tokens, segments and loss for every row; null demands count as 0.
     """
     limits = np.array([tokens, segments, loss or tokens], float)
 
@@ -261,7 +283,7 @@ def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEG
                 for members in pack(demand, limits):
                     sequence[members] = at
                     at += 1
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sequence)], ["id", "sequence_id"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sequence), *(pa.array(d) for d in demand.astype(np.int64).T)], ["id", "sequence_id", "tokens", "segments", "loss"])
 
     examples = pick(examples, id="bigint", tokens="bigint", segments="bigint", loss="bigint")
-    return examples.mapInArrow(run, "id bigint, sequence_id bigint")
+    return examples.mapInArrow(run, "id bigint, sequence_id bigint, tokens bigint, segments bigint, loss bigint")

@@ -25,6 +25,12 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in sequences of 2,048 tokens, 16 turns and 1,024 tokens that bear loss at most."""
+    demands = packing.conversation_demands(table(spark, sf_dir, "conversations"))
+    return packing.pack_examples(demands, 2048, 16, 1024)
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,5 +66,5 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op5_brown_classes, op6_sanitisation, op7_perplexity_rules, op8_bpe_fold, op9_license_notices, op10_cross_parsing)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op5_brown_classes, op6_sanitisation, op7_perplexity_rules, op8_bpe_fold, op9_license_notices, op10_cross_parsing, pack_conversations)}
 ORACLE_SQL: dict[str, str] = {}

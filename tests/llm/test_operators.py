@@ -142,6 +142,30 @@ def test_dot_product_heuristic_on_whole_examples(spark):
     assert packing.choose(np.array([[10, 1, 1], [60, 1, 1], [200, 1, 1]], float), np.array([100.0, 5, 5]), np.array([100.0, 5, 5])) == 1
 
 
+def test_packing_conversations(spark, tmp_path):
+    from arborist.llm import queries
+
+    rng = random.Random(6)
+    rows = [(c, t, ("user", "assistant", "assistant", None)[t % 4], " ".join(rng.choice(["hello", "Zürich", "12", "..."]) for _ in range(rng.randint(0, 300)))) for c in range(60) for t in range(rng.randint(1, 8))]
+    rows += [(70, 0, "assistant", None), (None, 0, "user", "x"), (71, 0, "assistant", "word " * 3000), (72, 0, "user", "a"), (72, 0, "user", "a")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.pack_conversations(spark, str(tmp_path)).collect()
+    units = packing.encoder(P.path("byte_bpe_50k.json"))
+    want = {}
+    for c, _, role, text in rows:
+        n = len(units.tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+        d = want.setdefault(c, [0, 0, 0])
+        d[0], d[1], d[2] = d[0] + n, d[1] + 1, d[2] + n * (role == "assistant")
+    assert {r.id: [r.tokens, r.segments, r.loss] for r in out} == want and len(out) == len(want)
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append(want[r.id])
+    sums = [np.sum(m, 0) for m in by.values() if len(m) > 1]
+    assert all((s <= [2048, 16, 1024]).all() for s in sums)
+    # the limit on loss decides where a sequence ends
+    assert any(s[2] > 900 and s[0] < 1800 for s in sums)
+
+
 # ---- near-duplicates
 
 def bag(t):
