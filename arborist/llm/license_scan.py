@@ -32,6 +32,8 @@ from .words import chunks, per_row, span_hashes
 WORD = np.ones(256, bool)
 WORD[:128] = False
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_CONTINUES = np.zeros(256, bool)
+_CONTINUES[0x80:0xC0] = True
 _BLANKED = np.arange(256, dtype=np.uint8)
 _BLANKED[65:91] += 32
 _BLANKED[~WORD] = 32
@@ -148,7 +150,7 @@ def _phrases(chunk, starts, ends, rows, h):
 def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, matches and score of every row of docs.
 
-    matches: array of (start, end, label, edits, length) in code points of the blanked text, from the notices.
+    matches: array of (start, end, label, edits, length) from the notices; start and end in the document's code points.
     """
 
     def run(batches):
@@ -168,11 +170,16 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> Dat
                 for i in np.unique(row).tolist():
                     labels[i].add(label)
             data, cut = _BLANKED[chunk.data].tobytes(), chunk.offsets.tolist()
+            points = np.concatenate([[0], np.cumsum(~_CONTINUES[chunk.data])])
             matches, score = [], (total > 0).astype(float)
             for i in range(n):
                 text = data[cut[i] : cut[i + 1]].decode()
                 squeezed = " ".join(text.split(" ")) if "  " not in text else " ".join(w for w in text.split(" ") if w)
-                found = s.scan(squeezed)
+                # a place begins and ends with words, which have their own places in the document
+                found = []
+                for a, b, *rest in s.scan(squeezed):
+                    k, j = (begin[i] + squeezed.count(" ", 0, x) for x in (a, b))
+                    found.append((int(points[starts[k]] - points[cut[i]]), int(points[ends[j]] - points[cut[i]]), *rest))
                 matches.append([dict(zip(("start", "end", "label", "edits", "length"), f)) for f in found])
                 if found:
                     score[i] = max(score[i], *(1 - f[3] / f[4] for f in found))
@@ -199,7 +206,9 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> Dat
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """scan()'s rows with labels (the base's and the notices', sorted, comma-joined) in place of matches."""
+    """scan()'s rows with labels (the base's and the notices', sorted, comma-joined) and notices (label:start:end:edits by
+    place, comma-joined) in place of matches."""
     own = F.transform("matches", lambda m: m["label"])
     every = F.array_sort(F.array_distinct(F.concat(F.filter(F.split("base_labels", ","), lambda x: x != ""), own)))
-    return found.withColumn("labels", F.array_join(every, ",")).drop("matches")
+    places = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["label"], m["start"], m["end"], m["edits"])), ",")
+    return found.withColumn("labels", F.array_join(every, ",")).withColumn("notices", places).drop("matches")

@@ -518,3 +518,31 @@ def test_cross_parsing_equals_naive(docs, empty, clashing, fixture_rows):
     assert {out[i].lang_pred for i in (200, 201, 202, 204)} == {"und"} and out[204].score == 0
     assert language_id.predict(empty, references).count() == 0
     assert {r.lang_pred for r in language_id.predict(docs, language_id.fit(empty)).collect()} == {"und"}
+
+
+def test_license_places_are_the_document_s(spark):
+    import regex
+
+    rng = random.Random(14)
+    notices = [(t, label) for t, label in license_scan.NOTICES if len(t) < 50]
+    rows, want = [], {}
+    for i in range(200):
+        notice, label = rng.choice(notices)
+        words = list(notice)
+        for _ in range(rng.randint(0, license_scan.edits_of(notice))):  # edits of letters within the bound
+            k = rng.randrange(1, len(words) - 1)
+            if words[k].isalpha():
+                words[k] = rng.choice("xyzw")
+        said = "".join(words).replace(" ", rng.choice([" ", "  ", ",\n", " - "])).upper()
+        before = " ".join(rng.choice(["né", "日本", "qqq", "..."]) for _ in range(rng.randint(0, 9)))
+        before = before + " | " if before else ""
+        rows.append((i, f"{before}{said}  ++ jjj"))
+        want[i] = (label, len(before), len(before) + len(said))
+    out = {r.doc_id: r for r in license_scan.digest(license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    for i, text in rows:
+        places = [x.split(":")[:3] for x in out[i].notices.split(",")]
+        label, a, b = want[i]
+        assert any(int(s) < b and int(e) > a for _, s, e in places), (text, out[i])
+        for name, s, e in places:
+            blank = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text[int(s) : int(e)])))
+            assert any(regex.fullmatch(f"(?b)(?:{regex.escape(n)}){{e<={license_scan.edits_of(n)}}}", blank) for n, x in license_scan.NOTICES if x == name)
