@@ -19,7 +19,7 @@ STOPWORDS = (
 def tokens(text: Column) -> Column:
     """Lower-cased, without punctuation, split at white space; a null text has none."""
     bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
-    return F.filter(F.split(bare, r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(bare, r"\s+"), "")
 
 
 def keywords(text: Column) -> Column:
@@ -52,14 +52,17 @@ def overlap(query: Column, words: Column) -> Column:
 
 def hash_bucket(token: Column, size: int) -> Column:
     """The token's MD5, read as a number, modulo size (0-based)."""
-    digits = F.split(F.md5(F.encode(token, "UTF-8")), "")
+    digest = F.md5(F.encode(token, "UTF-8"))
+    if size & (size - 1) == 0 and size <= 1 << 60:  # the last hexadecimal digits decide
+        return F.conv(F.substring(digest, -15, 15), 16, 10).cast("bigint") % size
+    digits = F.split(digest, "")
     return F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, c: F.when(c == "", a).otherwise((a * 16 + F.conv(c, 16, 10).cast("bigint")) % size))
 
 
 def hash_embedding(text: Column, size: int) -> Column:
     """Token counts by hash bucket, of length 1; zeros without tokens."""
-    buckets = F.transform(tokens(text), lambda t: hash_bucket(t, size))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    from .vector import normalised
+    from .vector import let, normalised
 
-    return normalised(counts)
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    buckets = F.transform(tokens(text), lambda t: hash_bucket(t, size))
+    return normalised(let(buckets, lambda held: F.transform(places, lambda i: F.size(F.filter(held, lambda b: b == i)).cast("double"))))

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once; an expression within a lambda would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -16,7 +21,7 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column, least: float = 1e-12) -> Column:
     """a divided by its length, or by least if that is shorter."""
-    return F.transform(F.array(F.greatest(norm(a), F.lit(least))), lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(least)), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def mean_vector(rows, keys: list[str], vector: str, out: str = "centroid"):

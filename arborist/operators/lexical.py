@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap, tokens
+from ..sources.layout import spread
 
 
 def ranked(rows: DataFrame, by: str, score: str, tie: str, limit: int | None = None) -> DataFrame:
@@ -17,10 +18,14 @@ def ranked(rows: DataFrame, by: str, score: str, tie: str, limit: int | None = N
     return rows if limit is None else rows.where(F.col("rank") <= limit)
 
 
-def positive_first(rows: DataFrame, by: str, score: str) -> DataFrame:
-    """If any of a group's scores is positive, only those rows; else all."""
-    most = F.max(score).over(Window.partitionBy(by))
-    return rows.withColumn("_most", most).where((F.col("_most") <= 0) | (F.col(score) > 0)).drop("_most")
+def positive_first(rows: DataFrame, by: str, score: str, tie: str, limit: int) -> DataFrame:
+    """The first limit rows by score, as ranked(); if any of a group's scores is positive, only such rows.
+
+    Scores that aren't positive rank last, so they are left out after the limit, which Spark applies before the shuffle.
+    """
+    top = ranked(rows, by, score, tie, limit)
+    first = F.max(score).over(Window.partitionBy(by).orderBy("rank"))
+    return top.withColumn("_most", first).where((F.col("_most") <= 0) | (F.col(score) > 0)).drop("_most")
 
 
 @dataclass(frozen=True)
@@ -30,7 +35,7 @@ class Bm25:
     floor: float = 0.25  # terms of negative idf get this share of the mean idf
 
     def document_terms(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        return docs.select("doc_id", tokens(F.col(text)).alias("tokens"))
+        return spread(docs.select("doc_id", text)).select("doc_id", tokens(F.col(text)).alias("tokens"))
 
     def term_stats(self, docs: DataFrame) -> DataFrame:
         """(term, df, idf) over all docs; documents' terms are counted before the shuffle."""
@@ -62,13 +67,13 @@ class Bm25:
         scores = self.scores(docs, queries)
         if candidates is not None:
             scores = candidates.select("query_id", "doc_id").distinct().join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
-        return ranked(positive_first(scores, "query_id", "score"), "query_id", "score", "doc_id", limit)
+        return positive_first(scores, "query_id", "score", "doc_id", limit)
 
 
 def overlap_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): the share of a query's distinct tokens that a document has, of pairs that share one."""
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     hits = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("term")).join(words, "term")
     return hits.groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("shared")).select("query_id", "doc_id", (F.col("shared") / F.col("n")).alias("score"))
 

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def class_weights(rows: DataFrame, action: str, classes: int = 3) -> DataFrame:
-    """(action, n, weight): total / (classes * (n + 1))."""
+def class_weights(rows: DataFrame, action: str, classes: int = 3, known: list | None = None) -> DataFrame:
+    """(action, n, weight): total / (classes * (n + 1)); known: all classes, of which some may not occur."""
     counts = rows.groupBy(action).agg(F.count("*").alias("n"))
+    if known is not None:
+        every = rows.sparkSession.createDataFrame([(k,) for k in known], f"{action} {rows.schema[action].dataType.simpleString()}")
+        counts = every.join(counts, action, "left").fillna(0, ["n"])
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select(action, "n", (F.col("total") / (classes * (F.col("n") + 1))).alias("weight"))
 
@@ -21,17 +24,31 @@ def done_weight(rows: DataFrame, done: Column) -> DataFrame:
 
 
 def sampler_weights(rows: DataFrame, key: str, action: str) -> DataFrame:
-    """(key, weight): one over the action's count; counts are joined, as a window would gather an action in one task."""
+    """(key, weight): one over the action's count; counts are joined, as a window would gather an action in one task.
+
+    Few actions' counts are broadcast by their size; with many, the join splits what a frequent action has."""
     counts = rows.groupBy(action).agg(F.count("*").alias("n"))
-    return rows.join(F.broadcast(counts.limit(10_000)), action).select(key, (1.0 / F.col("n")).alias("weight"))
+    return rows.join(counts, action).select(key, (1.0 / F.col("n")).alias("weight"))
 
 
 def group_split(rows: DataFrame, group: str, share: float, seed: int = 42) -> DataFrame:
-    """(group, validation): round(share * groups) groups, those that come first by a seeded hash."""
+    """(group, validation): round(share * groups) groups, those that come first by a seeded hash.
+
+    Groups are counted by the hash's first four digits (at most 65,536 numbers), which shows where the last one lies; only
+    groups of that prefix are sorted.
+    """
     groups = rows.select(group).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))))
-    n = round(share * groups.count())
-    first = groups.orderBy("_h", group).limit(n).select(group, F.lit(True).alias("_v"))
-    return groups.join(first, group, "left").select(group, F.coalesce("_v", F.lit(False)).alias("validation"))
+    counts = sorted((r["p"], r["n"]) for r in groups.groupBy(F.substring("_h", 1, 4).alias("p")).agg(F.count("*").alias("n")).collect())
+    left, last = round(share * sum(n for _, n in counts)), ""
+    for last, n in counts:
+        if left < n:
+            break
+        left -= n
+    else:
+        return groups.select(group, F.lit(bool(counts)).alias("validation"))
+    edge = groups.where(F.substring("_h", 1, 4) == last).orderBy("_h", group).limit(left).select(group, F.lit(True).alias("_v"))
+    before = F.substring("_h", 1, 4) < last
+    return groups.join(edge, group, "left").select(group, (before | F.coalesce("_v", F.lit(False))).alias("validation"))
 
 
 def looping(log: DataFrame, by: str, order: list[str], node: str, window: int = 6, repeat: int = 3) -> DataFrame:
@@ -74,4 +91,4 @@ def learning_rate(step: Column, total: int, warmup: float = 0.05, floor: float =
     """Linear warm-up, then a cosine from 1 down to floor."""
     first = max(1, int(warmup * total))
     progress = F.least((step - first) / max(1, total - first), F.lit(1.0))
-    return F.when(step < first, (step + 1) / first).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(math.pi * progress)))
+    return F.when(step < first, F.greatest(step / first, F.lit(1e-8))).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(math.pi * progress)))

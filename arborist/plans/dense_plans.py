@@ -20,7 +20,7 @@ def _vectors(spark, sf):
 
 
 def _asked(spark, sf):
-    return C.table(spark, sf, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    return C.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _dense(spark, sf, k=TOP):
@@ -49,6 +49,11 @@ def _doc_nodes(spark, sf):
     return T.nodes_of(_doc_members(spark, sf))
 
 
+def _leaf_pairs(spark, sf):
+    leaves = T.leaves(_doc_nodes(spark, sf)).select("node_id")
+    return leaves.select(F.col("node_id").alias("x")).join(leaves.select(F.col("node_id").alias("y")), F.col("x") > F.col("y"))
+
+
 def _six(rows, *names):
     return rows.select(*names, F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -67,8 +72,8 @@ def _in_leaf(spark, sf):
 
 
 def _lexical(spark, sf):
-    """A second run for the same ids: BM25 of the benchmark's first queries over documents."""
-    return Bm25().top(C.documents(spark, sf), C.queries(spark, sf).where("query_id < 20"), TOP)
+    """A second run for the same ids: BM25 of the benchmark's items whose id is divisible by 20, over documents."""
+    return Bm25().top(C.documents(spark, sf), C.queries(spark, sf).where("query_id % 20 = 0"), TOP)
 
 
 def _rrf(spark, sf):
@@ -90,17 +95,17 @@ def _targets(spark, sf):
 
 
 _V = f"""v AS (SELECT vec_id AS doc_id, {S.unit("embedding")} AS e, embedding, label, 'c' || (label // 4) || '.c' || label AS node_id FROM embeddings),
-s AS (SELECT a.doc_id AS query_id, b.doc_id, {S.dot("a.e", "b.e")} AS score FROM (SELECT * FROM v WHERE doc_id < 20) a, v b)"""
+s AS (SELECT a.doc_id AS query_id, b.doc_id, {S.dot("a.e", "b.e")} AS score FROM (SELECT * FROM v WHERE doc_id % 20 = 0) a, v b)"""
 _DENSE = f"""{_V}, dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE query_id <> doc_id) WHERE rank <= {TOP})"""
 _PATHS = "mp AS (SELECT doc_id, embedding, unnest(['root', split_part(node_id, '.', 1), node_id]) AS node_id FROM v)"
 _CENTROIDS = f"""{_PATHS}, ce AS (SELECT node_id, list(m ORDER BY place) AS centroid FROM (SELECT node_id, place, avg(x) AS m FROM
   (SELECT node_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS place FROM mp) GROUP BY ALL) GROUP BY node_id), cu AS (SELECT node_id, {S.unit("centroid")} AS c FROM ce)"""
 _WALK = f"""{_V}, {_CENTROIDS},
 w1 AS (SELECT doc_id AS query_id, e, node_id FROM (SELECT v.doc_id, v.e, cu.node_id, row_number() OVER (PARTITION BY v.doc_id ORDER BY round({S.dot("v.e", "cu.c")}, 9) DESC, cu.node_id) AS r
-  FROM v, cu WHERE v.doc_id < 20 AND cu.node_id <> 'root' AND NOT contains(cu.node_id, '.')) WHERE r = 1),
+  FROM v, cu WHERE v.doc_id % 20 = 0 AND cu.node_id <> 'root' AND NOT contains(cu.node_id, '.')) WHERE r = 1),
 w2 AS (SELECT query_id, node_id, e FROM (SELECT w1.query_id, w1.e, cu.node_id, row_number() OVER (PARTITION BY w1.query_id ORDER BY round({S.dot("w1.e", "cu.c")}, 9) DESC, cu.node_id) AS r
   FROM w1, cu WHERE starts_with(cu.node_id, w1.node_id || '.')) WHERE r = 1)"""
-_LEXICAL = f"{S.BM25}, lx AS (SELECT query_id, doc_id, score, rank FROM {S.top('SELECT * FROM bm WHERE query_id < 20', TOP)})"
+_LEXICAL = f"{S.BM25}, lx AS (SELECT query_id, doc_id, score, rank FROM {S.top('SELECT * FROM bm WHERE query_id % 20 = 0', TOP)})"
 _AUGMENTED = f"{_LEXICAL}, {_DENSE}, au AS (SELECT query_id, doc_id, score FROM lx UNION ALL SELECT query_id, doc_id, 0.0 FROM dn WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM lx))"
 _TREE = """m AS (SELECT doc_id, lang || '.' || source AS node_id FROM documents),
 t AS (SELECT DISTINCT unnest([{'node_id': 'root', 'parent_id': NULL, 'depth': 0::BIGINT}, {'node_id': split_part(node_id, '.', 1), 'parent_id': 'root', 'depth': 1::BIGINT},
@@ -126,7 +131,7 @@ QUERIES = {
     "centroid_topk": Query(
         lambda s, d: _six(D.top(_asked(s, d), _centroids(s, d).withColumnRenamed("centroid", "embedding"), 5, "node_id"), "query_id", "node_id"),
         f"""WITH {_V}, {_CENTROIDS} SELECT query_id, node_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS rank
-            FROM (SELECT v.doc_id AS query_id, cu.node_id, {S.dot("v.e", "cu.c")} AS score FROM v, cu WHERE v.doc_id < 20)) WHERE rank <= 5""",
+            FROM (SELECT v.doc_id AS query_id, cu.node_id, {S.dot("v.e", "cu.c")} AS score FROM v, cu WHERE v.doc_id % 20 = 0)) WHERE rank <= 5""",
     ),
     "centroid_greedy_walk": Query(_walk, f"WITH {_WALK} SELECT query_id, node_id FROM w2"),
     "dense_in_leaf": Query(
@@ -151,11 +156,10 @@ QUERIES = {
     "tree_ancestors": Query(lambda s, d: T.closure(_doc_nodes(s, d)), f"WITH {_TREE} SELECT * FROM cl"),
     "tree_children": Query(lambda s, d: T.children(_doc_nodes(s, d), "root", 1), f"WITH {_TREE} SELECT node_id, distance FROM cl WHERE ancestor_id = 'root' AND distance = 1"),
     "tree_leaves": Query(lambda s, d: T.leaves(_doc_nodes(s, d)).select("node_id"), f"WITH {_TREE} SELECT node_id FROM t WHERE depth = 2"),
-    "tree_lca": Query(
-        lambda s, d: _doc_members(s, d).where("doc_id < 40").alias("a").join(F.broadcast(_doc_members(s, d).where("doc_id < 20")).alias("b"), F.col("a.doc_id") > F.col("b.doc_id"))
-        .select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), T.lowest_common_ancestor(F.col("a.node_id"), F.col("b.node_id")).alias("lca")),
-        f"""WITH {_TREE} SELECT a.doc_id AS x, b.doc_id AS y, CASE WHEN a.node_id = b.node_id THEN a.node_id WHEN split_part(a.node_id, '.', 1) = split_part(b.node_id, '.', 1) THEN split_part(a.node_id, '.', 1) ELSE 'root' END AS lca
-            FROM m a JOIN m b ON a.doc_id > b.doc_id WHERE a.doc_id < 40 AND b.doc_id < 20""",
+    "tree_lca": Query(  # of every two leaves; documents' ancestors are those of their leaves (doc_leaf)
+        lambda s, d: _leaf_pairs(s, d).select("x", "y", T.lowest_common_ancestor(F.col("x"), F.col("y")).alias("lca")),
+        f"""WITH {_TREE}, l AS (SELECT node_id FROM t WHERE depth = 2) SELECT a.node_id AS x, b.node_id AS y, CASE WHEN split_part(a.node_id, '.', 1) = split_part(b.node_id, '.', 1) THEN split_part(a.node_id, '.', 1) ELSE 'root' END AS lca
+            FROM l a JOIN l b ON a.node_id > b.node_id""",
     ),
     "tree_descent": Query(
         lambda s, d: _doc_members(s, d).select("doc_id", F.array_join(T.descent(F.lit("en"), F.col("node_id")), ">").alias("path")).where("path is not null"),

@@ -24,7 +24,7 @@ def _metrics(spark, sf, binary=False):
 
 def _overlap(spark, sf, k):
     rows = overlap_scores(C.documents(spark, sf), C.queries(spark, sf))
-    return ranked(positive_first(rows, "query_id", "score"), "query_id", "score", "doc_id", k)
+    return positive_first(rows, "query_id", "score", "doc_id", k)
 
 
 def _overlap_metrics(spark, sf):

@@ -23,8 +23,8 @@ def _turns(s, d):
 
 
 def _candidates(s, d):
-    """Eight scored candidates of each user: the values of the first events, masked and marked by their types."""
-    rows = _events(s, d).where("event_id < 4000").withColumn("n", F.expr("row_number() OVER (PARTITION BY user_id ORDER BY event_id)")).where("n <= 8")
+    """Eight scored candidates of each user: the values of the first eight events, masked and marked by their types."""
+    rows = _events(s, d).withColumn("n", F.expr("row_number() OVER (PARTITION BY user_id ORDER BY event_id)")).where("n <= 8")
     listed = F.array_sort(F.collect_list(F.struct("n", F.round(F.col("value") / 100, 6).alias("s"), (F.col("event_id") % 5 != 0).cast("int").alias("m"), (F.col("event_id") % 3 == 0).cast("int").alias("p"))))
     lists = rows.groupBy("user_id").agg(listed.alias("c"))
     return lists.select("user_id", *(F.col(f"c.{f}").alias(f) for f in "smp"))
@@ -51,7 +51,7 @@ def _cards(s, d):
 _CARDS = f"""w AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, word) AS r FROM (SELECT source, unnest({S.keywords("text")}) AS word FROM documents) GROUP BY source, word),
 c AS (SELECT source, list(word ORDER BY r) AS keywords FROM w WHERE r <= 8 GROUP BY source),
 cards AS (SELECT source, keywords, array_to_string(keywords[1:3], ' / ') AS label, 'Documents about ' || array_to_string(keywords, ', ') || '.' AS summary FROM c)"""
-_LISTS = """r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id < 4000),
+_LISTS = """r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 k AS (SELECT user_id, n, round(value / 100, 6) AS s, (event_id % 5 <> 0) AS m, (event_id % 3 = 0) AS p FROM r WHERE n <= 8)"""
 _RANKED = f"{_LISTS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, n) AS rank FROM k WHERE m), f AS (SELECT user_id, min(rank) AS r FROM o WHERE p GROUP BY user_id)"
 
@@ -86,7 +86,7 @@ QUERIES = {
     "jump_mrr": Query(lambda s, d: _ranks(s, d).agg(F.round(F.avg(1.0 / F.col("r")), 6).alias("mrr")), f"WITH {_RANKED} SELECT round(avg(1::DOUBLE / r), 6) AS mrr FROM f"),
     "learning_rates": Query(
         lambda s, d: s.range(0, 200, 1, 2).select(F.col("id").alias("step"), F.round(N.learning_rate(F.col("id"), 200), 6).alias("rate")),
-        "SELECT step, round(CASE WHEN step < 10 THEN (step + 1) / 10::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least((step - 10) / 190::DOUBLE, 1))) END, 6) AS rate FROM (SELECT unnest(range(200)) AS step)",
+        "SELECT step, round(CASE WHEN step < 10 THEN greatest(step / 10::DOUBLE, 1e-8::DOUBLE) ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least((step - 10) / 190::DOUBLE, 1))) END, 6) AS rate FROM (SELECT unnest(range(200)) AS step)",
     ),
     "latency_percentiles": Query(
         lambda s, d: _events(s, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95")),
@@ -109,9 +109,9 @@ QUERIES = {
     "action_counts": Query(lambda s, d: _events(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("bigint")).alias("high")), "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY 1"),
     "cluster_cards": Query(lambda s, d: _cards(s, d).select("source", "label", "summary"), f"WITH {_CARDS} SELECT source, label, summary FROM cards"),
     "card_lexical_score": Query(
-        lambda s, d: _cards(s, d).join(F.broadcast(C.queries(s, d).where("query_id < 10"))).select("query_id", "source", F.round(card_score(F.col("text"), F.col("label"), F.col("summary"), F.array_join("keywords", " ")), 6).alias("score")),
+        lambda s, d: _cards(s, d).join(F.broadcast(C.queries(s, d))).select("query_id", "source", F.round(card_score(F.col("text"), F.col("label"), F.col("summary"), F.array_join("keywords", " ")), 6).alias("score")),
         f"""WITH {_CARDS} SELECT query_id, source, round(len(list_intersect(q, {S.tokens("label || ' ' || summary || ' ' || array_to_string(keywords, ' ')")}))::DOUBLE / greatest(len(q), 1), 6) AS score
-            FROM cards, (SELECT item_id AS query_id, list_distinct({S.tokens("text")}) AS q FROM benchmark WHERE item_id < 10)""",
+            FROM cards, (SELECT item_id AS query_id, list_distinct({S.tokens("text")}) AS q FROM benchmark)""",
     ),
     "budgeted_cards": Query(
         lambda s, d: within_budget(_cards(s, d).withColumn("g", F.lit(1)), ["g"], ["source"], "summary", 150).select("source", F.substring("summary", 1, 1000).alias("summary")),
