@@ -41,6 +41,13 @@ def test_stages_judge_rows_whose_ids_are_null_or_recur(spark):
     assert left(corpus_pipeline.by_nearness) == sorted([(None, a), (7001, b), (7000, c), (7000, "12 34 !!"), (7001, "x")], key=str)
 
 
+def test_stages_with_clashing_names_and_empty_tables(spark, docs, clashing, empty):
+    more = clashing.selectExpr("*", "1 as DOC_ID", "2 as Lang", "'x' as Source")
+    for _, stage in corpus_pipeline.STAGES:
+        assert sorted(map(str, stage(spark, more, "").drop("sequence_id", "offset").collect())) == sorted(map(str, stage(spark, docs, "").drop("sequence_id", "offset").collect()))
+        assert stage(spark, empty, "").count() == 0
+
+
 def test_run_needs_only_documents(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
