@@ -36,7 +36,7 @@ from .packing import unit_starts
 from .spark_io import documents_only
 from .words import U, chunks, span_hashes
 
-BLOCK = 1 << 23
+BLOCK = 5 << 20
 WINDOW, STEP = 64, 32  # bytes of a long word's windows, and from one window's start to the next's
 SAMPLE_DOCS, SAMPLE_UNITS = 25_000, 1_000_000
 _A, _B = 2654435761, 2246822519  # products with pairs stay below 2 ** 63
@@ -390,8 +390,8 @@ def _texts(path: str, batches):
             tokens, of_unit = np.concatenate([old, tokens]), np.concatenate([old_cut[:-1], old_cut[-1] + of_unit])
             offsets = np.concatenate([[0], np.cumsum(n_units.to_numpy().astype(np.int64))])
             flat = np.frombuffer(pa.decompress(batch.column("numbers")[k].as_py(), int(offsets[-1]) * 4, "zstd", asbytes=True), np.int32)
-            for low in range(0, len(docs), 512):  # so that not all ids of a block are held at once
-                high = min(len(docs), low + 512)
+            for low in range(0, len(docs), 128):  # so that not all ids of a block are held at once
+                high = min(len(docs), low + 128)
                 out, at = _gather(tokens, of_unit, flat[offsets[low] : offsets[high]])
                 cut = at[offsets[low : high + 1] - offsets[low]]
                 out = out.astype(np.int32)
