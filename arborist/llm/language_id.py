@@ -129,33 +129,37 @@ class CrossParser:
         """
         order = np.argsort(start[piece] - end[piece], kind="stable")
         lang, piece = lang[order], piece[order]
-        at, size, root = start[piece], end[piece] - start[piece], roots[lang]
+        at, size, root = start[piece], end[piece] - start[piece], roots[lang] * self.width
         state = ends[lang, piece - 1] if again else np.full(len(piece), self.none, np.int32)
-        live, changed = np.arange(len(piece)), np.zeros(len(piece), bool)
-        for step in range(int(size[0]) if len(size) else 0):
-            ended = size[live] <= step
-            if ended.any():
-                live = live[~ended]
-            if not len(live):
-                break
-            sym = data[at[live] + step]
-            to = self.table[state[live] * self.width + sym]
+        flat, place = begins.reshape(-1), lang * begins.shape[1] + at
+        live, met, table = np.arange(len(piece)), np.zeros(len(piece), bool), self.table
+        longer = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # pieces longer than each step
+        for step, k in enumerate(longer.tolist()):
+            if again:
+                live = live[: np.searchsorted(live, k)]  # in order of size
+                if not len(live):
+                    break
+            now = live if again else slice(k)
+            sym = data[at[now] + step]
+            to = table[state[now] * self.width + sym]
             miss = to < 0
-            fresh = self.table[root[live[miss]] * self.width + sym[miss]]
-            to[miss] = np.where(fresh < 0, self.none, fresh)
-            state[live] = to
-            place = lang[live], at[live] + step
+            out = np.flatnonzero(miss)
+            fresh = table[(root[now] + sym)[out]]
+            fresh[fresh < 0] = self.none
+            to[out] = fresh
+            state[now] = to
             if again:
-                same = miss & begins[place]
-                begins[place] = miss
+                same = miss & flat[place[now] + step]
+                flat[place[now] + step] = miss
+                met[live[same]] = True
                 live = live[~same]
             else:
-                begins[place] = miss
-        if again:  # those that never met the first parse
-            changed[live] = ends[lang[live], piece[live]] != state[live]
-            met = np.ones(len(piece), bool)
-            met[live] = False
-            ends[lang[~met], piece[~met]] = state[~met]
+                flat[place[now] + step] = miss
+        changed = np.zeros(len(piece), bool)
+        if again:  # what has met the first parse ends as that does
+            own = ~met
+            changed[own] = ends[lang[own], piece[own]] != state[own]
+            ends[lang[own], piece[own]] = state[own]
         else:
             ends[lang, piece] = state
         out = np.zeros(len(piece), bool)
