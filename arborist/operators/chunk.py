@@ -49,39 +49,45 @@ def sentence_chunks(docs: DataFrame, size: int = 5, overlap: int = 1) -> DataFra
     return _exploded(rows, F.transform(starts, window))
 
 
+def _merged(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
+    """Pieces joined up to size; a chunk begins with the last pieces of the one before it that reach overlap, or with all of
+    them if they don't.  A running length counts a separator for each piece, but not after the pieces carried over."""
+    out, held, length = [], [], 0
+    for piece in pieces:
+        if held and length + len(piece) + len(sep) > size:
+            out.append(sep.join(held))
+            reached, first = 0, len(held)
+            while first and (reached < overlap or first == len(held)):
+                first -= 1
+                reached += len(held[first]) + len(sep)
+            held = held[first:]
+            length = sum(map(len, held)) + len(sep) * (len(held) - 1)
+        held.append(piece)
+        length += len(piece) + len(sep)
+    if held:
+        out.append(sep.join(held))
+    return [c for c in out if c]
+
+
 def split_recursively(text: str, size: int = 1000, overlap: int = 200, separators=SEPARATORS) -> list[tuple[str, int, int]]:
-    """Pieces by the first separator that makes them all small enough, merged up to size with an overlap of pieces.
+    """Pieces by the first separator that makes them all small enough, merged up to size; else windows of size.
 
     A chunk is looked for from the previous one's end, so an overlapping one may have start -1.
     """
-    if not text.strip():
-        return []
     for sep in separators:
+        if sep not in text:
+            continue
         pieces = text.split(sep) if sep else list(text)
-        if (sep and sep not in text) or max(map(len, pieces)) > size:
+        if any(len(p) > size for p in pieces):
             continue
-        merged, held, length = [], [], 0
-        for piece in pieces:
-            if held and length + len(piece) + len(sep) > size:
-                merged.append(sep.join(held))
-                kept, back = 0, len(held)
-                while back and kept < overlap:
-                    back -= 1
-                    kept += len(held[back]) + len(sep)
-                held = held[back:] if overlap else []
-                length = sum(len(p) + len(sep) for p in held)
-            held.append(piece)
-            length += len(piece) + len(sep)
-        if held:
-            merged.append(sep.join(held))
         out, at = [], 0
-        for chunk in merged:
-            if chunk.strip():
-                start = text.find(chunk, max(at, 0))
-                at = start + len(chunk)
-                out.append((chunk, start, at))
+        for chunk in _merged(pieces, sep, size, overlap):
+            start = text.find(chunk, at)
+            at = start + len(chunk)
+            out.append((chunk, start, at))
         return out
-    return [(text[a : a + size], a, min(len(text), a + size)) for a in range(0, len(text), size - overlap)]
+    windows = ((text[a : a + size], a) for a in range(0, len(text), size - overlap))
+    return [(w, a, a + size) for w, a in windows if w.strip()]
 
 
 def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -124,9 +130,9 @@ def semantic_chunks(docs: DataFrame, encode: Callable[[list[str]], object], size
     def cut(texts: pd.Series, split: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, split):
-            chunks = [" ".join(g) for g in group_sentences(list(found), encode(list(found)), size, least)] if len(found) else []
-            firsts = [text.find(c.split(" ")[0]) for c in chunks]
-            out.append([{"chunk": c, "start_idx": a, "end_idx": a + len(c)} for c, a in zip(chunks, firsts)])
+            runs = group_sentences(list(found), encode(list(found)), size, least) if len(found) else []
+            placed = [(" ".join(g), text.find(g[0])) for g in runs]
+            out.append([{"chunk": c, "start_idx": a, "end_idx": a + len(c)} for c, a in placed])
         return pd.Series(out)
 
     return _exploded(docs, cut(F.coalesce("text", F.lit("")), sentences(F.col("text"))))

@@ -65,3 +65,26 @@ def histogram(rows: DataFrame, value: str, edges=EDGES) -> DataFrame:
     for i in range(last + 1):
         bucket = bucket.when((v >= edges[i]) & (v < edges[i + 1]), i)
     return rows.select(bucket.cast("bigint").alias("bin")).where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def rank_scores(run: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of a ranked run without scores of its own: one over the rank."""
+    return run.select("query_id", "doc_id", (1.0 / F.col("rank")).alias("score"))
+
+
+def extremes(rows: DataFrame, value: str, tie: str, most: int) -> DataFrame:
+    """(kind, place, tie, value): the `most` largest ("win") and smallest ("loss") values; ties as one sorted list has them,
+    read from its end for losses."""
+    def first(kind, *order):
+        top = rows.orderBy(*order).limit(most)
+        return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select(F.lit(kind).alias("kind"), "place", tie, value)
+
+    return first("win", F.desc(value), F.asc(tie)).unionByName(first("loss", F.asc(value), F.desc(tie)))
+
+
+def table(metrics: DataFrame) -> DataFrame:
+    """(metric, value): means over queries by name and cut, to four decimals."""
+    names = {"ndcg": "NDCG", "ap": "MAP", "recall": "Recall", "precision": "P"}
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for c, n in names.items()))
+    rows = means(metrics).select("k", F.explode(pairs).alias("x"))
+    return rows.select(F.concat("x.name", F.lit("@"), F.col("k").cast("string")).alias("metric"), F.format_string("%.4f", "x.value").alias("value"))

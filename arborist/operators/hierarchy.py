@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -63,7 +62,10 @@ def build(vectors: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
         assigned = _stored(assigned)
         parts = assigned.groupBy("node_id", "c").agg(F.count("*").alias("n"))
         good = parts.groupBy("node_id").agg(F.count("*").alias("parts"), F.min("n").alias("least")).where((F.col("parts") > 1) & (F.col("least") >= config.min_leaf)).select("node_id", F.lit(True).alias("split"))
-        moved = assigned.join(good, "node_id", "left").select("doc_id", F.col("node_id").alias("_from"), "split", "c")
+        # clusters that have documents are numbered without gaps
+        occurring = parts.groupBy("node_id").agg(F.array_sort(F.collect_list("c")).alias("numbers"))
+        numbered = assigned.join(occurring, "node_id").withColumn("c", (F.array_position("numbers", F.col("c")) - 1).cast("int"))
+        moved = numbered.join(good, "node_id", "left").select("doc_id", F.col("node_id").alias("_from"), "split", "c")
         child = F.when(F.col("node_id") == ROOT, F.concat(F.lit("c"), F.col("c"))).otherwise(F.concat_ws(".", "node_id", F.col("c").cast("string")))
         rows = _stored(
             rows.join(moved, "doc_id", "left").select(
@@ -71,7 +73,3 @@ def build(vectors: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
             )
         )
     return rows.select("doc_id", "node_id")
-
-
-def levels_needed(n: int, config: BuildConfig) -> int:
-    return min(config.max_depth, max(0, math.ceil(math.log(max(1, n / config.max_leaf), config.branching))))

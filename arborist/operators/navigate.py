@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords, label, overlap, tokens
-from .lexical import Bm25
+from .lexical import Bm25, within_budget
 from .tree import ROOT, path_nodes
 
 
@@ -28,15 +28,18 @@ def cards(docs: DataFrame, members: DataFrame, words: int = 8) -> DataFrame:
     return top.select("node_id", label(F.col("keywords"), F.col("node_id")).alias("label"), summary.alias("summary"), "keywords")
 
 
-def heuristic(queries: DataFrame, nodes: DataFrame, cards_: DataFrame, branches: int = 2, first: int = 8, clusters: int = 8) -> DataFrame:
-    """(query_id, node_id, place): from the root, the `branches` best cards among the first `first` children, level by
-    level; leaves in the order of a depth-first walk, the first `clusters` of them.
+def heuristic(queries: DataFrame, nodes: DataFrame, cards_: DataFrame, branches: int = 2, first: int = 8, clusters: int = 8, max_depth: int | None = None, budget: int = 800) -> DataFrame:
+    """(query_id, node_id, place): from the root, the `branches` best cards among the first `first` children whose summaries
+    fit the budget of tokens, level by level, at most max_depth of them; the nodes reached in the order of a depth-first walk,
+    the first `clusters` of them.
 
     That equals stopping a sequential walk at its cap, as decisions don't depend on what was visited.
     """
     child = nodes.where(F.col("parent_id").isNotNull()).withColumn("nth", F.row_number().over(Window.partitionBy("parent_id").orderBy("node_id"))).where(F.col("nth") <= first)
-    scored = child.join(cards_, "node_id").select("parent_id", F.col("node_id").alias("child"), "nth", tokens(F.concat_ws(" ", "label", "summary", F.array_join("keywords", " "))).alias("card"))
+    shown = within_budget(child.join(cards_, "node_id"), ["parent_id"], ["nth"], "summary", budget)
+    scored = shown.select("parent_id", F.col("node_id").alias("child"), "nth", tokens(F.concat_ws(" ", "label", "summary", F.array_join("keywords", " "))).alias("card"))
     depth = nodes.agg(F.max("depth").alias("d")).first()["d"] or 0
+    depth = depth if max_depth is None else min(depth, max_depth)
     at = queries.select("query_id", tokens(F.col("text")).alias("q"), F.lit(ROOT).alias("node_id"), F.array().cast("array<int>").alias("path"))
     for _ in range(depth):
         step = at.join(scored.withColumnRenamed("parent_id", "node_id"), "node_id", "left")

@@ -48,8 +48,3 @@ def loop_mask(candidates: Column, mask: Column, positive: Column, node: Column,
     """1 for candidates that were visited (or are the node itself) and aren't positive."""
     rows = F.arrays_zip(candidates.alias("c"), mask.alias("m"), positive.alias("p"))
     return F.transform(rows, lambda x: ((x["m"] > 0) & (x["p"] == 0) & ((x["c"] == node) | F.array_contains(path, x["c"]))).cast("int"))
-
-
-def last_of(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """The last row of each group."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")

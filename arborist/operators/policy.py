@@ -149,15 +149,15 @@ def _node_documents(states: DataFrame, features: DataFrame, members: DataFrame,
     from .tree import path_nodes
 
     fit = states.join(features.select("node_id", "n_docs", "is_leaf"), "node_id").where(F.col("is_leaf") | (F.col("n_docs") <= config.internal_threshold)).select("query_id", "node_id", "q")
-    below = members.select("doc_id", F.explode(path_nodes(F.col("node_id"))).alias("node_id"))
+    below = members.select("doc_id", F.col("node_id").alias("leaf"), F.explode(path_nodes(F.col("node_id"))).alias("node_id"))
     rows = fit.join(below, "node_id").join(vectors.select("doc_id", normalised(F.col("embedding")).alias("v")), "doc_id").withColumn("s", F.round(dot(F.col("q"), F.col("v")), 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id"))
     rows = rows.withColumn("place", place).where(F.col("place") <= config.documents)
-    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("doc_id").alias("id"), "v"))).alias("documents"))
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("doc_id").alias("id"), "leaf", "v"))).alias("documents"))
 
 
 STATE = (
-    "query_id bigint, q array<double>, node_id string, path array<string>, recent array<string>, evidence array<bigint>, scores array<double>, "
+    "query_id bigint, q array<double>, node_id string, path array<string>, recent array<string>, evidence array<bigint>, leaves array<string>, scores array<double>, "
     "path_sum array<double>, evidence_sum array<double>, step int, retrieves int, jumps int, aggregates int, reason string, actions array<string>"
 )
 
@@ -166,14 +166,14 @@ def decide(r, weights, config: RolloutConfig, max_depth: int) -> dict:
     """A state's next state; r has the state's columns and those of its node."""
     vec = lambda v: np.zeros(len(r["q"])) if v is None else np.asarray(v, float)
     q, s = unit(vec(r["q"])), {c.split(" ")[0]: r[c.split(" ")[0]] for c in STATE.split(", ")}
-    path, recent, evidence, scores, actions = (list(s[c]) for c in ("path", "recent", "evidence", "scores", "actions"))
+    path, recent, evidence, found_in, scores, actions = (list(s[c]) for c in ("path", "recent", "evidence", "leaves", "scores", "actions"))
     found, centroid, n_docs = len(evidence), vec(r["centroid"]), int(r["n_docs"])
-    inside = {d["id"] for d in (r["documents"] if r["documents"] is not None else ())}
+    inside = sum(r["node_id"] == ROOT or leaf == r["node_id"] or leaf.startswith(r["node_id"] + ".") for leaf in s["leaves"])
     calls = s["retrieves"] + s["jumps"] + s["aggregates"]
     meta = np.array([
         min(r["depth"] / max_depth, 1), np.log1p(n_docs), r["is_leaf"], r["parent_id"] is not None, not r["is_leaf"], bool(path), bool(found), min(len(path) / 16, 1), min(found / 100, 1),
         min(s["retrieves"] / 8, 1), min(s["jumps"] / 16, 1), max(0, config.max_docs - found) / config.max_docs, max(0, config.max_calls - calls) / config.max_calls, min(s["step"] / 16, 1),
-        sum(d in inside for d in evidence) / max(1, found), float(q @ centroid),
+        inside / max(1, found), float(q @ centroid),
     ], float)
     h = encode(weights, state_vector(q, centroid, vec(r["up"]), vec(r["down"]), vec(s["path_sum"]), vec(s["evidence_sum"]), meta))
     logits, done = heads(weights, h)
@@ -209,13 +209,14 @@ def decide(r, weights, config: RolloutConfig, max_depth: int) -> dict:
             for k in np.argsort(-got, kind="stable")[: config.take]:
                 if docs[k]["id"] not in evidence:
                     evidence.append(docs[k]["id"])
+                    found_in.append(docs[k]["leaf"])
                     scores.append(float(got[k]))
                     evidence_sum = evidence_sum + vectors[k]
             s["retrieves"] += 1
-        else:  # nothing to retrieve here: the step counts, without the loop check
+        else:  # nothing to retrieve here: the step and the visit count, without the loop check
             check = False
     actions.append(("RETRIEVE", "AGGREGATE", "JUMP")[action] + (f":{guard}" if guard else ""))
-    recent = [*recent, node][-config.loop_window :] if check else recent
+    recent = [*recent, node][-config.loop_window :]
     reason = None
     if check and Counter(recent)[node] >= config.loop_repeat:
         reason = "loop_detected"
@@ -223,7 +224,7 @@ def decide(r, weights, config: RolloutConfig, max_depth: int) -> dict:
         reason = "doc_budget"
     elif s["step"] + 1 >= config.max_steps:
         reason = "max_steps"
-    new = {"node_id": node, "path": path, "recent": recent, "evidence": evidence, "scores": scores, "path_sum": path_sum, "evidence_sum": evidence_sum, "step": s["step"] + 1, "reason": reason, "actions": actions}
+    new = {"node_id": node, "path": path, "recent": recent, "evidence": evidence, "leaves": found_in, "scores": scores, "path_sum": path_sum, "evidence_sum": evidence_sum, "step": s["step"] + 1, "reason": reason, "actions": actions}
     return {**s, **new}
 
 
@@ -239,7 +240,7 @@ def rollout(queries: DataFrame, members: DataFrame, vectors: DataFrame, nodes: D
     zeros = F.transform("q", lambda _: F.lit(0.0))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     states = queries.select(F.col("query_id").cast("bigint").alias("query_id"), normalised(F.col("embedding")).alias("q")).join(root).select(
-        "query_id", "q", F.lit(ROOT).alias("node_id"), F.array(F.lit(ROOT)).alias("path"), F.array(F.lit(ROOT)).alias("recent"), empty("bigint").alias("evidence"), empty("double").alias("scores"),
+        "query_id", "q", F.lit(ROOT).alias("node_id"), F.array(F.lit(ROOT)).alias("path"), F.array(F.lit(ROOT)).alias("recent"), empty("bigint").alias("evidence"), empty("string").alias("leaves"), empty("double").alias("scores"),
         F.col("centroid").alias("path_sum"), zeros.alias("evidence_sum"), *(F.lit(0).alias(c) for c in ("step", "retrieves", "jumps", "aggregates")), F.lit(None).cast("string").alias("reason"), empty("string").alias("actions"),
     )
     shared = queries.sparkSession.sparkContext.broadcast(weights)

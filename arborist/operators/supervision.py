@@ -51,3 +51,33 @@ def violations(actions: DataFrame, nodes: DataFrame) -> DataFrame:
     before = F.lag("step").over(Window.partitionBy("query_id").orderBy("step"))
     bad = ~F.col("action").isin(JUMP, RETRIEVE, AGGREGATE) | F.col("there").isNull() | (F.coalesce(F.col("step") - F.col("_before"), F.col("step") + 1) != 1) | ((F.col("step") == 0) & (F.col("action") == AGGREGATE))
     return known.withColumn("_before", before).where(bad).select("query_id", "step", "action", "node_id")
+
+
+def repeated_retrievals(actions: DataFrame, members: DataFrame, relevant: DataFrame, repeats: int) -> DataFrame:
+    """(query_id, step, node_id, repeat, n_evidence): each retrieval as `repeats` rows of one step; the evidence is the
+    query's relevant documents of this and the nodes retrieved before."""
+    steps = actions.where(F.col("action") == RETRIEVE).select("query_id", "step", "node_id")
+    held = relevant.select("query_id", "doc_id").distinct().join(members, "doc_id").groupBy("query_id", "node_id").agg(F.count("*").alias("n"))
+    # a node that is retrieved again adds nothing
+    first = F.row_number().over(Window.partitionBy("query_id", "node_id").orderBy("step")) == 1
+    new = steps.withColumn("first", first).join(held, ["query_id", "node_id"], "left").withColumn("n", F.when(F.col("first"), F.coalesce("n", F.lit(0))).otherwise(0))
+    so_far = F.sum("n").over(Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    return new.withColumn("n_evidence", so_far).select("query_id", "step", "node_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), "n_evidence")
+
+
+def jump_positives(actions: DataFrame) -> DataFrame:
+    """(query_id, step, node_id, target, positive): for each jump from a node, the nodes of the way to its target that lie
+    below it; neither the node nor its ancestors, as jumping there is no progress."""
+    target = F.first(F.when(F.col("action") == RETRIEVE, F.col("node_id")), ignorenulls=True).over(Window.partitionBy("query_id").orderBy("step").rowsBetween(1, Window.unboundedFollowing))
+    here = F.coalesce(F.lag("node_id").over(Window.partitionBy("query_id").orderBy("step")), F.lit(ROOT))
+    jumps = actions.withColumn("target", target).withColumn("here", here).where(F.col("action") == JUMP)
+    below = F.filter(path_nodes(F.col("target")), lambda n: ~F.array_contains(path_nodes(F.col("here")), n))
+    return jumps.select("query_id", "step", F.col("here").alias("node_id"), "target", F.explode(below).alias("positive"))
+
+
+def terminal_rows(actions: DataFrame, recall: float, threshold: float = 1.0) -> DataFrame:
+    """(query_id, step, node_id, action, done): the row after a query's last step; up from where it ended, or a jump if that is
+    the root."""
+    last = actions.groupBy("query_id").agg((F.max("step") + 1).alias("step"), F.max_by("node_id", "step").alias("node_id"))
+    action = F.when(F.col("node_id") == ROOT, JUMP).otherwise(AGGREGATE)
+    return last.select("query_id", "step", "node_id", action.alias("action"), F.lit(recall + 1e-9 >= threshold).alias("done"))

@@ -71,8 +71,13 @@ def test_chunkers(spark):
     assert [(len(r.chunk), r.start_idx, r.end_idx) for r in fixed] == [(10, 0, 10), (10, 8, 18), (9, 16, 26), (1, 24, 34)]
     assert [r.chunk for r in chunk.sentence_chunks(docs.where("doc_id = 4"), 3, 1).orderBy("pos").collect()] == ["One. Two! Three?", "Three? Four. Five.", "Five. Six."]
     text = "aa bb cc dd\nee ff gg"
-    assert [c[0] for c in chunk.split_recursively(text, 11, 0)] == ["aa bb cc dd", "ee ff gg"]
-    assert chunk.split_recursively("x" * 30, 10, 0) == [("x" * 10, 0, 10), ("x" * 10, 10, 20), ("x" * 10, 20, 30)]
+    # worked by hand: the last piece is carried over even without an overlap, all pieces if they don't reach it
+    assert chunk.split_recursively(text, 11, 0) == [("aa bb cc dd", 0, 11), ("aa bb cc dd\nee ff gg", -1, 19)]
+    assert chunk.split_recursively("x" * 30, 10, 0) == [("x" * 10, 0, 10), ("x" * 10, 10, 20), ("x" * 10, 20, 30), ("xxx", -1, 2)]
+    # after a carried piece the running length counts no separator, so the second chunk holds three
+    assert chunk.split_recursively("a b c d e f g h", 5, 2) == [("a b", 0, 3), ("b c d", -1, 4), ("d e f", 6, 11), ("f g h", -1, 4)]
+    assert chunk.split_recursively("", 5, 2) == [] and chunk.split_recursively("   ", 5, 2) == [("   ", 0, 3)]
+    assert chunk.split_recursively("ab  cdef", 4, 1, ("\n",)) == [("ab  ", 0, 4), (" cde", 3, 7), ("ef", 6, 10)]
     import numpy as np
 
     assert chunk.group_sentences(["a", "b", "c"], np.array([[1, 0], [1, 0], [0, 1.0]]), 100, 0.7) == [["a", "b"], ["c"]]
@@ -84,6 +89,50 @@ def test_chunkers(spark):
         chunk.create_chunker("other")
     semantic = chunk.create_chunker("semantic", encode=lambda s: np.eye(len(s)))(docs)
     assert semantic.where("doc_id = 4").count() == 6
+    twice = spark.createDataFrame([(1, "A one b. One two. A one.")], "doc_id long, text string")
+    assert [(r.chunk, r.start_idx) for r in chunk.create_chunker("semantic", encode=lambda s: np.eye(len(s)))(twice).orderBy("pos").collect()] == [("A one b.", 0), ("One two.", 9), ("A one.", 18)]
+
+
+def test_lost_rows_stay(spark, tmp_path):
+    """Actions beyond any number keep their rows; queries of one or two tokens are judged like others."""
+    from arborist.operators import training
+    from arborist.sources import corpus
+
+    rows = spark.range(12_000).selectExpr("id as key", "cast(id as string) as action")
+    assert training.sampler_weights(rows, "key", "action").count() == 12_000
+    assert {r.action: r.n for r in training.class_weights(rows.where("key < 2"), "action", 3, ["0", "1", "2"]).collect()} == {"0": 1, "1": 1, "2": 0}
+    split = training.group_split(rows, "key", 0.1)
+    import hashlib
+
+    first = sorted(range(12_000), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))[:1200]
+    assert {r.key for r in split.where("validation").collect()} == set(first)
+    assert training.group_split(rows, "key", 1.0).where("validation").count() == 12_000 and training.group_split(rows.where("key < 0"), "key", 0.1).count() == 0
+    asked = [(1, "alpha"), (2, "alpha beta"), (3, "alpha beta gamma"), (4, "pha be"), (5, "!"), (6, "zeta alpha beta gamma")]
+    texts = [(10, "an alpha beta gamma delta!"), (11, "alpha, beta"), (12, None), (13, "")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.query_id, r.doc_id, r.rel) for r in corpus.judgements(spark, str(tmp_path)).collect()}
+    assert got == {(q, d, 2 if d == 10 else 1) for q, a in asked for d, t in texts if t and a in t}
+
+
+def test_navigator(spark):
+    from arborist.operators import navigator as N
+
+    docs = spark.createDataFrame([(1, "apple pie", "Pie", {"doc_id": "own"}), (2, "apple tart", "", {"x": "y"}), (3, "bread", None, None)], "doc_id long, text string, title string, metadata map<string,string>")
+    members = spark.createDataFrame([(1, "a.b"), (2, "a.c"), (3, "d")], "doc_id long, node_id string")
+    asked = spark.createDataFrame([(7, "bread"), (8, "nothing known")], "query_id long, text string")
+    rows = {r.doc_id: r for r in N.rag_documents(docs, members).collect()}
+    assert rows[1].metadata == {"doc_id": "own"} and rows[2].metadata == {"x": "y", "doc_id": "2"} and rows[3].title == "" and rows[3].score == 1.0
+    found = N.search(asked, docs, members, None, 2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r.title) for r in found] == [(7, 3, "Untitled"), (8, 1, "Pie"), (8, 2, "Untitled")]
+    assert [r.doc_id for r in N.search(asked.where("query_id = 7"), docs, members, "a", 5).orderBy("rank").collect()] == [1, 2]
+    nodes = tree.nodes_of(members)
+    cards = spark.createDataFrame([("a", "A", "s", ["k"])], "node_id string, label string, summary string, keywords array<string>")
+    assert N.cluster_info("a", cards, nodes).first().depth == 1
+    with pytest.raises(ValueError):
+        N.cluster_info("z", cards, nodes)
+    assert [r.doc_id for r in N.page(docs, "doc_id", 1).collect()] == [2, 3]
 
 
 def test_built_tree_keeps_its_rules(spark):
