@@ -276,6 +276,56 @@ def test_class_lm_counts_and_probabilities(spark, docs, empty, clashing, fixture
     assert all(math.isfinite(r.score) for r in class_lm.score(docs, *class_lm.fit(empty)).collect())
 
 
+def test_class_lm_scores_equal_brute_force(spark, tmp_path, fixture_rows):
+    """The registered query's scores, from the model's classes alone."""
+    from arborist.llm import queries
+
+    at = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([r[:2] for r in fixture_rows], "doc_id long, text string").repartition(4).write.parquet(at)
+    model, _ = class_lm.fit(spark.read.parquet(at).where(~held_out(10, 0)))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    words = lambda t: SPACE_WORD.findall(fold(t or ""))
+    end = int(model.of[-1])
+
+    def cls(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        h = class_lm.span_hashes(b, np.array([0]), np.array([len(b)]), True)
+        tail = int(b[-1]) + (int(b[-2]) << 8 if len(b) > 1 else 0)
+        return int(model.classes(h, np.array([tail]))[0])
+
+    of = {w: cls(w) for _, t, *_ in fixture_rows for w in words(t)}
+    k = end + 1
+    pair, c = np.zeros((k, k)), collections.Counter()
+    for i, t, *_ in fixture_rows:
+        if not held(i):
+            seq = [end, *(of[w] for w in words(t)), end]
+            np.add.at(pair, (seq[:-1], seq[1:]), 1)
+            c.update([*words(t), None])
+    share = (pair.sum(0) + 0.5) / (pair.sum() + 0.5 * k)
+    follow = (pair + 5 * share) / (pair.sum(1, keepdims=True) + 5)
+    by = collections.defaultdict(list)
+    for w, n in c.items():
+        by[end if w is None else of[w]].append(n)
+    n, v = sum(c.values()), len(c)
+    z = n + 0.1 * (v + 1)
+
+    def p(a, w):
+        b = end if w is None else of[w]
+        counts = by.get(b, [])
+        n1, n2 = counts.count(1), counts.count(2)
+        d = max(1e-3, min(0.95, n1 / max(n1 + 2 * n2, 1))) if counts else 0
+        left = (sum(counts) if w is None else c[w] - d) if c[w] else (d * len(counts) if counts else 1e-3)
+        left = c[None] - d if w is None else left
+        return 0.95 * follow[a, b] * left / max(sum(counts), 1e-3) + 0.05 * (c[w] + 0.1) / z
+
+    want = []
+    for i, t, *_ in fixture_rows:
+        seq = [None, *words(t), None]
+        want.append((str(i), round(sum(math.log10(p(end if a is None else of[a], w)) for a, w in zip(seq, seq[1:])), 5)))
+    got = sorted((str(r.doc_id), round(r.score, 5)) for r in queries.op5_brown_classes(spark, str(tmp_path)).collect())
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)] and [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], abs=2e-4)
+
+
 def test_exchange_puts_alike_units_together():
     rng = np.random.RandomState(1)
     u, v = [], []
