@@ -38,7 +38,7 @@ from .words import U, chunks, span_hashes
 
 BLOCK = 5 << 20
 WINDOW, STEP = 64, 32  # bytes of a long word's windows, and from one window's start to the next's
-SAMPLE_DOCS, SAMPLE_UNITS = 25_000, 1_000_000
+SAMPLE_DOCS, SAMPLE_UNITS = 50_000, 1_000_000
 _A, _B = 2654435761, 2246822519  # products with pairs stay below 2 ** 63
 _SLOTS, _BUCKETS = 1 << 18, 1 << 15
 NONE = 1 << 30  # the rank of a pair that isn't a token
