@@ -41,7 +41,8 @@ WINDOW, STEP = 64, 32  # bytes of a long word's windows, and from one window's s
 SAMPLE_DOCS, SAMPLE_UNITS = 25_000, 1_000_000
 _A, _B = 2654435761, 2246822519  # products with pairs stay below 2 ** 63
 _SLOTS, _BUCKETS = 1 << 18, 1 << 15
-NONE = 1 << 30  # the rank of a pair that isn't a token
+NONE = 1 << 17  # the rank of a pair that isn't a token; ids and ranks are below
+_PLACE, _RANK = 17, 24  # bits where a token's place (below 128) and its pair's rank begin
 
 
 @functools.lru_cache(2)
@@ -118,31 +119,43 @@ class FoldEncoder:
         return let(self.entries[place], lambda e: F.when(F.shiftright(e, 16) == p, e.bitwiseAND(65535).cast("int")).otherwise(F.lit(NONE)))
 
     def encode(self, word: Column) -> Column:
-        """Ids (array of int) of a word, given by its bytes (array of int, not empty).
+        """Ids (array of int) of a word, given by its bytes (array of int, at least one and at most WINDOW).
 
-        While it is folded, a word's ids stand between two edges, an id that is in no pair; so a merge always has neighbours.
-        Arrays are renewed by transform and filter, which cost a fraction of slice and concat.
+        While it is folded, a word is an array of numbers: of each token the rank of the pair that it begins, the place of its
+        first byte, and its id.  So the least number is the pair to merge, the first of equal ranks.  At both ends stands an
+        edge, an id that is in no pair; so a merge always has neighbours.
         """
-        edge, none = F.array(F.lit(self.edge)), F.lit(NONE)
-
-        def merged(acc, least):
-            def at(i):  # the place, from 0, of the pair; never the first or the last, which have an edge
-                ids, old = acc["ids"], acc["ranks"]
-                beside = F.struct(self.rank(ids[i - 1], least).alias("a"), self.rank(least, ids[i + 2]).alias("b"))
-                return F.struct(
-                    F.filter(F.transform(ids, lambda x, k: F.when(k == i, least).otherwise(x)), lambda _, k: k != i + 1).alias("ids"),
-                    let(beside, lambda r: F.filter(F.transform(old, lambda x, k: F.when(k == i - 1, r["a"]).when(k == i + 1, r["b"]).otherwise(x)), lambda _, k: k != i)).alias("ranks"),
-                )
-
-            return let((F.array_position(acc["ranks"], least) - 1).cast("int"), at)
-
-        def step(acc, _):
-            return let(F.array_min(acc["ranks"]), lambda least: F.when(least >= NONE, acc).otherwise(merged(acc, least)))
-
-        others = F.slice(word, F.lit(2), F.size(word))
-        ranks = F.concat(F.array(none), F.transform(others, lambda b, i: self.byte_pairs[word[i] * 256 + b]), F.array(none))
-        ids = F.concat(edge, F.transform(word, lambda b: self.byte_ids[b]), edge)
-        return F.aggregate(others, F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
+        edge, done = F.lit(self.edge).cast("bigint"), F.lit(NONE << _RANK)
+
+        def token(rank, place, id_):
+            return F.shiftleft(rank.cast("bigint"), _RANK) + F.shiftleft(place.cast("bigint"), _PLACE) + id_
+
+        def id_of(x):
+            return x.bitwiseAND((1 << _PLACE) - 1)
+
+        def without_rank(x):
+            return x.bitwiseAND((1 << _RANK) - 1)
+
+        def merged(tokens, least):
+            z = F.shiftright(least, _RANK)  # the joined token's id is its rank
+
+            def at(i):  # the place in the array, from 0, of the pair's first token; never the first or the last two
+                before = tokens[i - 1]
+                left = F.shiftleft(self.rank(id_of(before), z).cast("bigint"), _RANK) + without_rank(before)
+                here = F.shiftleft(self.rank(z, id_of(tokens[i + 2])).cast("bigint"), _RANK) + least.bitwiseAND(((1 << _RANK) - 1) ^ ((1 << _PLACE) - 1)) + z
+                beside = F.struct(left.alias("a"), here.alias("b"))
+                return let(beside, lambda r: F.filter(F.transform(tokens, lambda x, k: F.when(k == i, r["b"]).when(k == i - 1, r["a"]).otherwise(x)), lambda _, k: k != i + 1))
+
+            return let((F.array_position(tokens, least) - 1).cast("int"), at)
+
+        def step(tokens, _):
+            return let(F.array_min(tokens), lambda least: F.when(least >= done, tokens).otherwise(merged(tokens, least)))
+
+        end = F.array(done + edge)
+        n = F.size(word)
+        first = F.transform(word, lambda b, i: token(F.when(i + 1 < n, self.byte_pairs[b * 256 + F.get(word, i + 1)]).otherwise(F.lit(NONE)), i, self.byte_ids[b]))
+        tokens = F.aggregate(F.slice(word, F.lit(2), n), F.concat(end, first, end), step)
+        return let(tokens, lambda held: F.transform(F.slice(held, F.lit(2), F.size(held) - 2), lambda x: id_of(x).cast("int")))
 
     def decode(self, ids: Column) -> Column:
         """The binary text of ids: their literal pieces, concatenated."""
