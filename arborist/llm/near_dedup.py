@@ -10,8 +10,8 @@ that its hash gives it within its interval lies below the shingle's weight.  Eac
 random, a register keeps its earliest point, and as points depend on the shingle, interval and number alone, two bags
 agree in a register with just their weighted Jaccard similarity as probability.  Only points before a time by which all
 registers are full are made (the time is raised for the few texts where one isn't).  A band joins ROWS registers; bands
-are drawn from all registers.  Of pairs with similarity 0.8 about one in 100,000 meets in no band (fewer of more similar
-ones; see the tests), as bands are a matter of chance; whatever meets in a bucket is compared exactly, without caps.
+are drawn from all registers.  Of pairs with similarity 0.8 three in 100,000 meet in no band, and of 0.85 one in nine
+million, as bands are a matter of chance; whatever meets in a bucket is compared exactly, without caps.
 
 Bags are the rows of all steps, each with a number of its own, so texts with equal bags are compared once, and texts that
 share a doc_id are apart.  Two rounds of comparisons:
@@ -23,7 +23,7 @@ share a doc_id are apart.  Two rounds of comparisons:
    threshold one in a thousand million doesn't have so many).  Large buckets are dealt in blocks of OUTSIDERS by MEMBERS, so
    no task holds a bucket and no pairs are emitted; a member's text is sent once a block.
 
-The work of round 2 is a bucket's members times those outside its largest class, some 50 ns a pair.  Joins by band or by
+The work of round 2 is a bucket's members times those outside its largest class, some 230 ns a pair.  Joins by band or by
 bag are sort-merge joins that adaptive execution splits where one side has a hot key (one text may be a third of all rows;
 the other side has one row a key); what is aggregated by key is combined before it is shuffled.  Intermediate tables are
 written to the shared folder, and deleted as soon as they aren't needed.
