@@ -21,6 +21,13 @@ def _actions(s, d):
     return V.oracle_actions(_leaves(s, d), ["node_id"])
 
 
+def _spoilt(s, d):
+    """Oracle actions with unknown actions and nodes, and without some second steps."""
+    n = F.col("query_id") + F.col("step")
+    rows = _actions(s, d).where("not (query_id % 3 = 0 and step = 1)")
+    return rows.select("query_id", "step", F.when(n % 5 == 0, "FLY").otherwise(F.col("action")).alias("action"), F.when(n % 7 == 0, "nowhere").otherwise(F.col("node_id")).alias("node_id"))
+
+
 def _block(s, d):
     scores = Bm25().scores(C.documents(s, d), C.queries(s, d))
     rows = V.retrieve_block(_leaves(s, d), _doc_members(s, d), C.judgements(s, d), scores, 5)
@@ -38,7 +45,11 @@ ac AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY leg, o
 QUERIES = {
     "oracle_actions": Query(_actions, f"WITH {_LEGS} SELECT query_id, step, action, node_id FROM ac"),
     "oracle_action_mix": Query(lambda s, d: _actions(s, d).groupBy("action").agg(F.count("*").alias("n")), f"WITH {_LEGS} SELECT action, count(*) AS n FROM ac GROUP BY 1"),
-    "invariant_violations": Query(lambda s, d: V.violations(_actions(s, d), _doc_nodes(s, d)).agg(F.count("*").alias("violations")), "SELECT 0::BIGINT AS violations"),
+    "invariant_violations": Query(  # of rows of which some have been spoilt
+        lambda s, d: V.violations(_spoilt(s, d), _doc_nodes(s, d)).select("query_id", "step", "action", "node_id"),
+        f"""WITH {_LEGS}, sp AS (SELECT query_id, step, CASE WHEN (query_id + step) % 5 = 0 THEN 'FLY' ELSE action END AS action, CASE WHEN (query_id + step) % 7 = 0 THEN 'nowhere' ELSE node_id END AS node_id FROM ac WHERE NOT (query_id % 3 = 0 AND step = 1))
+            SELECT query_id, step, action, node_id FROM sp WHERE (query_id + step) % 5 = 0 OR (query_id + step) % 7 = 0 OR (query_id % 3 = 0 AND step = 2)""",
+    ),
     "retrieve_block": Query(
         _block,
         f"""WITH {S.BM25}, {_LEGS} SELECT query_id, node_id, doc_id, positive, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY positive DESC, round(score, 9) DESC, doc_id) AS place

@@ -225,3 +225,29 @@ def test_svg(spark):
     text = svg.render(nodes)
     assert text.count("<rect") == 4 and text.count("<path") == 3 and "&lt;two&gt;" in text
     assert svg.wrap("aa bb cc dd", 5, 1) == ["aa..."] and svg.wrap("", 5, 2) == []
+
+
+def test_stores_of_vectors_weights_and_runs(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from arborist.operators import policy
+    from arborist.sources import index_store as S
+
+    vectors = spark.createDataFrame([(1, [0.5, 1.0]), (2, [0.0, -2.0])], "query_id long, embedding array<double>")
+    S.save_vectors(vectors, "query_id", f"{tmp_path}/v")
+    assert {r.query_id: list(r.embedding) for r in S.load_vectors(spark, f"{tmp_path}/v", 2).collect()} == {1: [0.5, 1.0], 2: [0.0, -2.0]}
+    assert S.load_vectors(spark, f"{tmp_path}/v", 3) is None
+    weights = policy.init_weights(policy.PolicyConfig(dim=4, hidden=6, scorer=3), 5)
+    S.save_weights(spark, weights, f"{tmp_path}/w", {"phase": 1})
+    back, notes = S.load_weights(spark, f"{tmp_path}/w")
+    assert notes["phase"] == 1 and set(back) == set(weights) and all(np.array_equal(back[k], weights[k]) for k in weights)
+    name = next(iter(weights))
+    other = S.save_weights(spark, {**weights, name: weights[name] + 1}, f"{tmp_path}/x")
+    assert other != notes["sha256"]
+    spark.read.parquet(f"{tmp_path}/x/weights").write.mode("overwrite").parquet(f"{tmp_path}/w/weights")
+    with pytest.raises(ValueError):
+        S.load_weights(spark, f"{tmp_path}/w")
+    S.save_run(f"{tmp_path}/run", vectors, vectors.limit(1), {"ndcg": 0.5})
+    assert spark.read.json(f"{tmp_path}/run/results").count() == 2 and json.loads(spark.read.text(f"{tmp_path}/run/summary").first().value) == {"ndcg": 0.5}
