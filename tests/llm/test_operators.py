@@ -54,6 +54,45 @@ def test_rule_ensemble_without_labels(spark, docs, empty):
     assert {round(r.score, 6) for r in quality_classifier.classify(docs, quality_classifier.fit(docs, one)).collect()} == {0.99}
 
 
+def naive_statistics(t):
+    b, w = (t or "").encode(), SPACE_WORD.findall(fold(t or ""))
+    n = len(w)
+    # repeats are told apart by case, distinct words aren't
+    plain = SPACE_WORD.findall(t or "")
+    windows = collections.Counter(tuple(plain[k : k + 5]) for k in range(n - 4))
+    cover = {k + j for k in range(n - 4) if windows[tuple(plain[k : k + 5])] > 1 for j in range(5)}
+    lines = [x for x in (t or "").split("\n") if SPACE_WORD.search(x)]
+    some, size, count = max(n, 1), max(len(b), 1), lambda f: sum(map(f, b))
+    return [
+        math.log(1 + n), sum(len(x.encode()) for x in w) / some, len(set(w)) / some, max(collections.Counter(w).values(), default=0) / some, len(cover) / some, (len(lines) - len(set(lines))) / (b.count(b"\n") + 1),
+        count(lambda c: 65 <= c <= 90) / size, count(lambda c: 48 <= c <= 57) / size, count(lambda c: c >= 128) / size,
+        count(lambda c: c in b"#*$%&|<>") / some, count(lambda c: c in b"!?") / some, count(lambda c: c in b".,;:") / some, b.count(b"\n") / some, count(lambda c: c in b"@=+_/\\") / some,
+    ]
+
+
+def test_rule_ensemble_equals_brute_force(spark, clashing, fixture_rows, tmp_path):
+    """Statistics from the texts alone, and the registered query's scores from the rules over them."""
+    from arborist.llm import queries
+
+    got = collections.Counter((str(r[0]), tuple(round(x, 9) for x in r[1:])) for r in quality_classifier.statistics(clashing).collect())
+    assert got == collections.Counter((str(r[0]), tuple(round(x, 9) for x in naive_statistics(r[1]))) for r in fixture_rows)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["ant", "bee", "cat"]) + str(rng.randint(0, 99)) for _ in range(40)) if i % 3 else "SPAM!! " * rng.randint(5, 40)) for i in range(200)]
+    rows += [(300, None), (301, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 > 0), 0) for i in range(200)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r for r in queries.op1_rule_ensemble(spark, str(tmp_path)).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    e = quality_classifier.fit(docs, spark.createDataFrame([(i, q) for i, q, _ in labels if not held(i)], "doc_id long, label int"))
+    for i, t in rows:
+        x = dict(zip(quality_classifier.STATISTICS, naive_statistics(t)))
+        total = e.intercept + sum(w for rule, w in e.rules if all((x[c] >= v) == least for c, least, v in rule))
+        assert out[i].score == pytest.approx(1 / (1 + math.exp(-total))) and out[i].held_out == held(i) and out[i].predicted == (out[i].score >= 0.3)
+    assert all((out[i].score >= 0.5) == (i % 3 > 0) for i in range(200) if held(i))
+
+
 # ---- media columns
 
 def test_media_round_trip(spark, docs, empty, clashing, fixture_rows):
