@@ -29,6 +29,7 @@ from .words import chunks
 
 PIECE = 512
 GROUP = 16  # languages parsed at once
+CHUNK = 1 << 20  # bytes of text parsed at once
 BLANK = 0x20
 LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -117,8 +118,8 @@ class CrossParser:
                 changed = self._parse(data, roots, l, p, start, end, begins, ends, True)
                 todo = todo[changed] + 1
                 todo = todo[(todo % len(row) > 0) & (nth[piece[np.minimum(todo, len(piece) - 1)]] > 0)] if len(todo) else todo
-            done = np.concatenate([np.zeros((len(roots), 1), np.int64), np.cumsum(begins[:, :-1], 1)], 1)
-            total[low : low + GROUP] = done[:, chunk.offsets[1:]] - done[:, chunk.offsets[:-1]]
+            for k, own in enumerate(begins):  # one language at a time, as places take eight times their flags' memory
+                total[low + k] = np.diff(np.searchsorted(np.flatnonzero(own[:-1]), chunk.offsets))
         return (total * self.bits[:, None] / np.maximum(sizes, 1)).T
 
     def _parse(self, data, roots, lang, piece, start, end, begins, ends, again: bool) -> np.ndarray:
@@ -200,7 +201,7 @@ def predict(docs: DataFrame, references: tuple[tuple[str, bytes], ...]) -> DataF
 
     def run(batches):
         parser = _parser(references) if references else None
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, CHUNK):
             lettered = np.array([LETTER.search(t) is not None for t in chunk.texts()], bool)
             if parser:
                 h = parser.entropies(chunk)
