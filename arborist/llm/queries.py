@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, time_partitions
+from . import bpe, class_lm, collocations, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, time_partitions
 from .spark_io import held_out, table
 
 
@@ -70,5 +70,9 @@ def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_partitions.click_partitions(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op5_brown_classes, op6_sanitisation, op7_perplexity_rules, op8_bpe_fold, op9_license_notices, op10_cross_parsing, op12_time_partitions, pack_conversations)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op5_brown_classes, op6_sanitisation, op7_perplexity_rules, op8_bpe_fold, op9_license_notices, op10_cross_parsing, op12_time_partitions, op13_collocations, pack_conversations)}
 ORACLE_SQL: dict[str, str] = {}

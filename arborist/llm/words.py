@@ -1,8 +1,9 @@
 """Words of Arrow text columns as numpy arrays, without a Python object for each word.
 
 A word is a maximal run of word bytes that doesn't cross a document's end; which bytes those are is a table of 256
-flags, and a second table may fold bytes (A-Z to a-z) before they are hashed.  A word's hash is 64 bits of a polynomial
-over random values of its bytes, finished with a mixer; equal words have equal hashes in every process and version.
+flags, and A-Z may be folded to a-z before words are hashed.  A word's hash is the sum, modulo 2^64, of pseudo-random values
+of its bytes at their positions (a mixer gives a value for each byte and position, so there is no polynomial whose zeros
+are known texts), with its length mixed in; equal words have equal hashes in every process and version.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ U = np.uint64
 CHUNK_BYTES = 1 << 21  # text bytes handled at once; a longer document is a chunk of its own
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
+_GOLD = 0x9E3779B97F4A7C15
 _VALUES = np.random.RandomState(7).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U) | U(1)
-_FOLDED = _VALUES.copy()
-_FOLDED[65:91] = _VALUES[97:123]
-_POWERS = [np.ones(1, U), np.ones(1, U)]
+NEAR = 64  # positions whose values are tabulated
+_TABLES: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,23 +32,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        m = max(n, CHUNK_BYTES + 4096)
-        inverse = pow(_BASE, -1, 2**64)
-        for i, b in enumerate((_BASE, inverse)):
-            steps = np.full(m, U(b))
-            steps[0] = U(1)
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of data[start:end]; empty spans hash alike."""
-    p, q = _powers(len(data) + 1)
-    s = np.zeros(len(data) + 1, U)
-    np.cumsum((_FOLDED if fold else _VALUES)[data] * p[: len(data)], out=s[1:])
-    return mix((s[ends] - s[starts]) * q[starts])
+def _tables(seed: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all bytes, and of all bytes at each of the first positions."""
+    if (seed, fold) not in _TABLES:
+        values = mix(_VALUES + U(seed * 0xD1342543DE82EF95 % 2**64)) if seed else _VALUES.copy()
+        if fold:
+            values[65:91] = values[97:123]
+        _TABLES[seed, fold] = values, mix(values + np.arange(NEAR, dtype=U)[:, None] * U(_GOLD)).ravel()
+    return _TABLES[seed, fold]
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all bytes of all spans, one span after the other: their places in the data and in their span."""
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.repeat(starts, lengths) + inside, inside
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end]; empty spans hash alike, and so do spans that A-Z alone tells apart if fold is set."""
+    values, near = _tables(seed, fold)
+    lengths = ends - starts
+    places, inside = _places(starts, lengths)
+    found = data[places]
+    each = near[(np.minimum(inside, NEAR - 1) << 8) | found]
+    far = np.flatnonzero(inside >= NEAR)
+    if len(far):
+        each[far] = mix(values[found[far]] + inside[far].astype(U) * U(_GOLD))
+    s = np.zeros(len(each) + 1, U)
+    np.cumsum(each, out=s[1:])
+    last = np.cumsum(lengths)
+    return mix(s[last] - s[last - lengths] + lengths.astype(U) * U(_GOLD))
+
+
+def differing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """The spans whose bytes aren't those of the first span of their group."""
+    like = first[inverse]
+    others = np.flatnonzero(like != np.arange(len(starts)))
+    like, lengths = like[others], (ends - starts)[others]
+    odd = lengths != (ends - starts)[like]
+    rest = np.flatnonzero(~odd & (lengths > 0))
+    here, inside = _places(starts[others[rest]], lengths[rest])
+    unlike = data[here] != data[np.repeat(starts[like[rest]], lengths[rest]) + inside]
+    if len(rest):
+        odd[rest] = np.logical_or.reduceat(unlike, np.cumsum(lengths[rest]) - lengths[rest])
+    return others[odd]
+
+
+def unique_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first, inverse) as np.unique has them of the spans; should spans of one hash differ, another seed is taken."""
+    for seed in range(64):
+        found = np.unique(span_hashes(data, starts, ends, seed=seed), return_index=True, return_inverse=True)
+        if not len(differing(data, starts, ends, *found[1:])):
+            return found
+    raise ValueError("no seed tells the spans apart")
 
 
 @dataclass
