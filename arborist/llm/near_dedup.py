@@ -158,19 +158,36 @@ def _describe(registers: int, bands: int, rows: int):
             band = mix(band + np.arange(1, bands + 1, dtype=U)).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(band.ravel()))
             marks = pa.Array.from_buffers(pa.binary(registers), n, [None, pa.py_buffer(np.ascontiguousarray(sig.astype(np.uint8)))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(some), pa.array(a), pa.array(b), lists, marks], ["doc_id", "some", "key_a", "key_b", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), chunk.rows.column("digest"), pa.array(some), pa.array(a), pa.array(b), lists, marks], ["doc_id", "digest", "some", "key_a", "key_b", "bands", "marks"])
 
     return run
 
 
-def _own(batches):
-    """Of rows (bag, key_a, key_b, text) those whose text has these keys: a doc_id may have several texts."""
-    for chunk in chunks(batches):
-        a, b = keys_of(*bags(chunk), chunk.n)
-        yield chunk.rows.filter(pa.array((a == chunk.rows.column("key_a").to_numpy()) & (b == chunk.rows.column("key_b").to_numpy())))
+def digested(docs: DataFrame) -> DataFrame:
+    """docs with a 16-byte digest of each text."""
+    return docs.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
 
-def _verify(threshold: float):
+def _first_of_each(batches):
+    """The first of neighbouring rows of one bag: a repeated row is there several times."""
+    last = None
+    for batch in batches:
+        bag = batch.column("bag").to_numpy()
+        new = np.ones(len(bag), bool)
+        new[1:] = bag[1:] != bag[:-1]
+        if len(bag):
+            new[0], last = bag[0] != last, bag[-1]
+        yield batch.filter(pa.array(new))
+
+
+def texts_of(docs: DataFrame, bags: DataFrame) -> DataFrame:
+    """bag and text of bags (bag, id, digest), by a join on id and digest, which repeated rows alone have in common."""
+    rows = digested(docs).withColumnRenamed("digest", "of")
+    found = bags.join(rows, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("bag", "text")
+    return found.mapInArrow(_first_of_each, "bag bigint, text string")
+
+
+def _verify(threshold: float, bags):
     """Rows (pivot, share, role, bag, text) sorted so that a share's pivot (role 0) comes before its members."""
 
     def run(batches):
@@ -199,14 +216,14 @@ def _verify(threshold: float):
     return run
 
 
-def verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b; distinct) of texts (bag, text) that are similar enough, with their similarity."""
+def verified(texts: DataFrame, pairs: DataFrame, threshold: float, bags=bags) -> DataFrame:
+    """Those pairs (a, b; distinct) of texts (bag, text) that are similar enough, with their similarity; bags: what is compared of a chunk."""
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     members = pairs.join(shares, "b").select(F.col("a").alias("bag"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"))
     pivots = shares.select(F.col("b").alias("bag"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
     sent = texts.join(members.unionByName(pivots), "bag").select("pivot", "share", "role", "bag", "text")
     sent = sent.repartition(F.col("pivot"), F.col("share")).sortWithinPartitions("pivot", "share", "role")
-    return sent.mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
+    return sent.mapInArrow(_verify(threshold, bags), "a bigint, b bigint, similarity double")
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
@@ -297,17 +314,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     """doc_id, class_id (the least doc_id of its class) and kept (doc_id is class_id) for every document."""
     docs = documents_only(docs)
     scratch = Scratch(docs.sparkSession, "near_dedup")
-    described = scratch.store(docs.mapInArrow(_describe(registers, bands, rows), "doc_id bigint, some boolean, key_a bigint, key_b bigint, bands array<bigint>, marks binary"), "described")
+    described = digested(docs).mapInArrow(_describe(registers, bands, rows), "doc_id bigint, digest binary, some boolean, key_a bigint, key_b bigint, bands array<bigint>, marks binary")
+    described = scratch.store(described.withColumn("bag", F.monotonically_increasing_id()), "described")
     full = described.where("some")
-    same = full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    same = scratch.store(same.withColumn("bag", F.monotonically_increasing_id()), "bags")
+    least = full.groupBy("key_a", "key_b").agg(F.min("bag").alias("bag"), F.min("doc_id").alias("least_id"))
+    same = scratch.store(full.join(least.select("bag", "least_id"), "bag"), "bags")
     members = same.select("bag", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = scratch.store(members.join(sizes, "band"), "shared")
     reach = shared.groupBy("bag").agg(F.sum("n").alias("reach"))
-    candidates = same.join(reach.select("bag"), "bag", "left_semi").select("bag", "key_a", "key_b", F.col("doc_id").alias("id"))
-    texts = candidates.join(docs, F.col("id").eqNullSafe(F.col("doc_id"))).select("bag", "key_a", "key_b", "text").mapInArrow(_own, "bag bigint, key_a bigint, key_b bigint, text string")
-    texts = scratch.store(texts.select("bag", "text"), "texts")
+    candidates = same.join(reach.select("bag"), "bag", "left_semi").select("bag", F.col("doc_id").alias("id"), "digest")
+    texts = scratch.store(texts_of(docs, candidates), "texts")
     pivots = shared.join(reach, "bag").groupBy("band").agg(F.max(F.struct("reach", (-F.col("bag")).alias("bag"))).alias("pivot")).select("band", (-F.col("pivot.bag")).alias("b"))
     pairs = scratch.store(shared.join(pivots, "band").where(F.col("bag") != F.col("b")).select(F.col("bag").alias("a"), "b").distinct(), "pairs")
     links = scratch.store(verified(texts, pairs, threshold), "links")
@@ -316,8 +333,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     further = scratch.store(between_classes(described_texts, shared, labels, threshold, registers), "further")
     known = labels.select(F.col("doc").alias("a"), F.col("label").alias("b")).where("a <> b")
     labels = components(known.unionByName(further.select("a", "b")), scratch)
-    labelled = same.select("bag", "key_a", "key_b", "doc_id").join(labels.withColumnRenamed("doc", "bag"), "bag", "left").withColumn("label", F.coalesce("label", "bag"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    labelled = same.select("bag", "key_a", "key_b", "least_id").join(labels.withColumnRenamed("doc", "bag"), "bag", "left").withColumn("label", F.coalesce("label", "bag"))
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("class_id"))
     classes = scratch.store(labelled.join(least, "label").select("key_a", "key_b", "class_id"), "classes")
     out = full.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "class_id")
     out = scratch.store(out.unionByName(described.where("not some").select("doc_id", F.col("doc_id").alias("class_id"))), "result")

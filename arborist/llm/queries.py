@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, collocations, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, time_partitions
+from . import bpe, class_lm, collocations, jaccard_join, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, time_partitions
 from .spark_io import held_out, table
 
 
@@ -66,6 +66,10 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("score"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_partitions.click_partitions(table(spark, sf_dir, "clicks"))
 
@@ -74,5 +78,5 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op5_brown_classes, op6_sanitisation, op7_perplexity_rules, op8_bpe_fold, op9_license_notices, op10_cross_parsing, op12_time_partitions, op13_collocations, pack_conversations)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_media_columns, op3_vector_packing, op4_bag_minhash, op5_brown_classes, op6_sanitisation, op7_perplexity_rules, op8_bpe_fold, op9_license_notices, op10_cross_parsing, op11_jaccard_join, op12_time_partitions, op13_collocations, pack_conversations)}
 ORACLE_SQL: dict[str, str] = {}
