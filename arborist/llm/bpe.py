@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .packing import unit_starts
 from .spark_io import documents_only
-from .words import U, chunks, span_hashes
+from .words import U, chunks, span_hashes, unique_spans
 
 BLOCK = 5 << 20
 WINDOW, STEP = 64, 32  # bytes of a long word's windows, and from one window's start to the next's
@@ -163,20 +163,33 @@ class FoldEncoder:
 
 
 class Known:
-    """Ids of some units by the hash of their bytes: sorted hashes, and lists of ids."""
+    """Ids of some units: sorted hashes of their bytes, the bytes, and lists of ids."""
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, offsets: np.ndarray):
+    def __init__(self, units: list[bytes], ids: np.ndarray, offsets: np.ndarray):
+        data, ends = np.frombuffer(b"".join(units), np.uint8), np.cumsum([0, *map(len, units)])
+        hashes = span_hashes(data, ends[:-1], ends[1:]) if units else np.zeros(0, U)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         flat, cut = _gather(ids, offsets, order)
         self.ids, self.offsets = flat.astype(np.uint16), cut.astype(np.int32)
+        data, ends = _gather(data, ends, order)
+        self.data, self.ends = data, ends.astype(np.int32)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """The places of hashes, -1 where one isn't known."""
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places of units data[start:end], -1 where one isn't known; hashes find them, bytes confirm them."""
         if not len(self.hashes):
-            return np.full(len(hashes), -1)
+            return np.full(len(starts), -1)
+        hashes = span_hashes(data, starts, ends)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        size = ends - starts
+        found = np.flatnonzero((self.hashes[at] == hashes) & (np.diff(self.ends)[at] == size))
+        n = size[found]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        odd = data[np.repeat(starts[found], n) + inside] != self.data[np.repeat(self.ends[at[found]], n) + inside]
+        out = np.full(len(starts), -1)
+        out[found] = at[found]
+        out[found[np.repeat(np.arange(len(found)), n)[odd]]] = -1
+        return out
 
 
 class Words:
@@ -208,12 +221,12 @@ class Words:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _units(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all units; of each distinct unit its hash, start and end; the distinct unit of each."""
+def _units(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all units; start and end of each distinct unit; the distinct unit of each."""
     starts = unit_starts(chunk)
     ends = np.append(starts[1:], len(chunk.data))
-    key, first, inverse = np.unique(span_hashes(chunk.data, starts, ends), return_index=True, return_inverse=True)
-    return starts, key, starts[first], ends[first], inverse
+    _, first, inverse = unique_spans(chunk.data, starts, ends)
+    return starts, starts[first], ends[first], inverse
 
 
 def _one(values: pa.Array) -> pa.ListArray:
@@ -230,33 +243,33 @@ _TABLE_NAMES = [x.split()[0] for x in _TABLES.split(", ")]
 
 
 def _spelt(batches):
-    """hash and bytes of the distinct units of each BLOCK bytes of text, but for units of over WINDOW bytes."""
+    """The distinct units of each BLOCK bytes of text, but for units of over WINDOW bytes."""
     for held in _blocks(batches):
-        units = {}
+        units = set()
         for chunk in held:
-            _, key, starts, ends, _ = _units(chunk)
+            _, starts, ends, _ = _units(chunk)
             data = chunk.data.tobytes()
-            units.update((h, data[a:b]) for h, a, b in zip(key.tolist(), starts.tolist(), ends.tolist()) if b - a <= WINDOW)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(units), U).view(np.int64)), pa.array(list(units.values()), pa.binary())], ["hash", "unit"])
+            units.update(data[a:b] for a, b in zip(starts.tolist(), ends.tolist()) if b - a <= WINDOW)
+        yield pa.RecordBatch.from_arrays([pa.array(list(units), pa.binary())], ["unit"])
 
 
 def _sampled(path: str, batches):
-    """A row of hashes, units (their words' numbers) and words for each batch of units."""
+    """A row of units' bytes, units (their words' numbers) and words for each batch of units."""
     for batch in batches:
         words = Words()
         units = pa.array([words.unit(u) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([_one(batch.column("hash")), _one(units), _one(words.arrays()), *_tables(path)], ["hashes", "units", "words", *_TABLE_NAMES])
+        yield pa.RecordBatch.from_arrays([_one(batch.column("unit")), _one(units), _one(words.arrays()), *_tables(path)], ["spelt", "units", "words", *_TABLE_NAMES])
 
 
 def _joined(batches):
-    """hash and ids of each unit of _sampled's rows with their words' ids."""
+    """Bytes and ids of each unit of _sampled's rows with their words' ids."""
     for batch in batches:
         for k in range(batch.num_rows):
-            hashes, units, words = (batch.column(c)[k].values for c in ("hashes", "units", "ids"))
+            spelt, units, words = (batch.column(c)[k].values for c in ("spelt", "units", "ids"))
             numbers, offsets = _flat(units)
             ids, of_word = _gather(*_flat(words), numbers)
             lists = pa.ListArray.from_arrays(pa.array(of_word[offsets].astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([hashes, lists], ["hash", "ids"])
+            yield pa.RecordBatch.from_arrays([spelt, lists], ["unit", "ids"])
 
 
 def _blocks(batches):
@@ -278,15 +291,15 @@ def _block_rows(path: str, known, batches):
     for held in _blocks(batches):
         words, number, units, docs, texts, sizes, old = Words(), {}, [], [], [], [], []
         for chunk in held:
-            starts, key, low, high, inverse = _units(chunk)
-            data, place = chunk.data.tobytes(), known.value.places(key)
+            starts, low, high, inverse = _units(chunk)
+            data, place = chunk.data.tobytes(), known.value.places(chunk.data, low, high)
             local = -1 - place  # known units get a negative number for now
             for i in np.flatnonzero(place < 0).tolist():
-                h = int(key[i])
-                k = number.get(h)
+                unit = data[low[i] : high[i]]
+                k = number.get(unit)
                 if k is None:
-                    k = number[h] = len(units)
-                    units.append(words.unit(data[low[i] : high[i]]))
+                    k = number[unit] = len(units)
+                    units.append(words.unit(unit))
                 local[i] = k
             texts.append(local.astype(np.int32)[inverse])
             sizes.append(np.diff(np.searchsorted(starts, chunk.offsets)))
@@ -418,13 +431,13 @@ def known_units(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> K
     folder = FoldEncoder(path)
     n = docs.count()
     sample = docs.sample(min(1.0, sample_docs / n), 1) if n > sample_docs else docs
-    spelt = sample.mapInArrow(_spelt, "hash bigint, unit binary").groupBy("hash").agg(F.first("unit").alias("unit")).limit(SAMPLE_UNITS).repartition("hash")
-    rows = spelt.mapInArrow(functools.partial(_sampled, path), f"hashes array<bigint>, units array<array<int>>, words array<array<int>>, {_TABLES}")
-    folded = rows.select("hashes", "units", F.transform("words", folder.encode).alias("ids"))
-    units = folded.mapInArrow(_joined, "hash bigint, ids array<int>").toArrow().combine_chunks()
+    spelt = sample.mapInArrow(_spelt, "unit binary").distinct().limit(SAMPLE_UNITS).repartition("unit")
+    rows = spelt.mapInArrow(functools.partial(_sampled, path), f"spelt array<binary>, units array<array<int>>, words array<array<int>>, {_TABLES}")
+    folded = rows.select("spelt", "units", F.transform("words", folder.encode).alias("ids"))
+    units = folded.mapInArrow(_joined, "unit binary, ids array<int>").toArrow().combine_chunks()
     if not units.num_rows:
-        return Known(np.zeros(0, U), np.zeros(0, np.int32), np.zeros(1, np.int64))
-    return Known(units["hash"].chunk(0).to_numpy().view(U), *_flat(units["ids"].chunk(0)))
+        return Known([], np.zeros(0, np.int32), np.zeros(1, np.int64))
+    return Known(units["unit"].to_pylist(), *_flat(units["ids"].chunk(0)))
 
 
 def encode(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

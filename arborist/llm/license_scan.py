@@ -144,6 +144,9 @@ def _phrases(chunk, starts, ends, rows, h):
         for k, key in enumerate(keys):
             hit &= (h[k : k + m] == key) & (ends[k : k + m] - starts[k : k + m] == len(words[k]))
         at = np.flatnonzero(hit)
+        for k, word in enumerate(words):  # hashes find places, bytes confirm them
+            found = _BLANKED[chunk.data[starts[at + k][:, None] + np.arange(len(word))]]
+            at = at[(found == word).all(1)]
         yield label, at[rows[at] == rows[at + len(keys) - 1]] if len(at) else at
 
 

@@ -310,8 +310,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels = new
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and kept (doc_id is class_id) for every document."""
+def _classified(docs: DataFrame, threshold: float, registers: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """Rows with the keys of their bags, and key_a, key_b, label and class_id of all bags."""
     docs = documents_only(docs)
     scratch = Scratch(docs.sparkSession, "near_dedup")
     described = digested(docs).mapInArrow(_describe(registers, bands, rows), "doc_id bigint, digest binary, some boolean, key_a bigint, key_b bigint, bands array<bigint>, marks binary")
@@ -335,11 +335,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = RE
     labels = components(known.unionByName(further.select("a", "b")), scratch)
     labelled = same.select("bag", "key_a", "key_b", "least_id").join(labels.withColumnRenamed("doc", "bag"), "bag", "left").withColumn("label", F.coalesce("label", "bag"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    classes = scratch.store(labelled.join(least, "label").select("key_a", "key_b", "class_id"), "classes")
-    out = full.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "class_id")
+    classes = scratch.store(labelled.join(least, "label").select("key_a", "key_b", "label", "class_id"), "classes")
+    return described, classes, scratch
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and kept (doc_id is class_id) for every document."""
+    described, classes, scratch = _classified(docs, threshold, registers, bands, rows)
+    out = described.where("some").select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "class_id")
     out = scratch.store(out.unionByName(described.where("not some").select("doc_id", F.col("doc_id").alias("class_id"))), "result")
     scratch.keep_only(out)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-__all__ = ["bags", "between_classes", "components", "near_duplicates", "signatures", "verified", "weighted_jaccard"]
+def text_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """digest and label: a row for the digest of each text that has words (see digested()); near-duplicates have one label."""
+    described, classes, scratch = _classified(docs, threshold, REGISTERS, BANDS, ROWS)
+    texts = described.where("some").groupBy("digest").agg(F.min("key_a").alias("key_a"), F.min("key_b").alias("key_b"))
+    out = scratch.store(texts.join(classes, ["key_a", "key_b"]).select("digest", "label"), "result")
+    scratch.keep_only(out)
+    return out
+
+
+__all__ = ["bags", "between_classes", "components", "digested", "near_duplicates", "signatures", "text_classes", "texts_of", "verified", "weighted_jaccard"]

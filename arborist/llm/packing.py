@@ -12,7 +12,8 @@ and a carry of under a few sequences, and a task that is run again gives the sam
 
 Tokens: as the tokenizer's pattern never joins characters over certain places (before white space that follows other
 characters, between an ASCII letter and other ASCII punctuation), texts are cut there, and each distinct unit is encoded
-once a chunk; a bounded cache keeps units between chunks.
+once a chunk; a bounded cache keeps units between chunks, by their bytes.  The file's added tokens, such as <|endoftext|>, are
+found first, as the library does, and are one id where they stand.
 
 Cases: a null text counts as empty and is END alone; repeated rows and null ids are packed like others; an empty table
 gives an empty result; columns other than doc_id and text aren't read.
@@ -21,6 +22,7 @@ gives an empty result; columns other than doc_id and text aren't read.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_io import documents_only, pick
-from .words import SPACES, chunks, span_hashes
+from .words import SPACES, chunks, unique_spans
 
 END = 1
 TOKENS, SEGMENTS = 2048, 128
@@ -71,39 +73,56 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         # the visible characters that byte-level files use for bytes
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            assert json.load(f)["model"]["type"] == "BPE"
+            file = json.load(f)
+        assert file["model"]["type"] == "BPE"
+        self.added = {t["content"].encode(): array("I", [t["id"]]).tobytes() for t in file["added_tokens"]}
+        self.find_added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or b"(?!)").finditer
 
     def encode(self, unit: bytes) -> bytes:
+        if unit in self.added:
+            return self.added[unit]
         out: list[int] = []
         for piece in self.split(unit.decode("utf-8", "replace")):
             out += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
         return array("I", out).tobytes()
 
+    def _around_added(self, chunk, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """Units' starts with those of added tokens, and of what follows them; a token's own string isn't cut further."""
+        spans = np.array([m.span() for m in self.find_added(data)], np.int64).reshape(-1, 2)
+        spans = spans[chunk.row_of(spans[:, 0]) == chunk.row_of(spans[:, 1] - 1)]
+        if not len(spans):
+            return starts
+        before = np.searchsorted(spans[:, 0], starts, "right") - 1
+        inside = (before >= 0) & (starts > spans[before, 0]) & (starts < spans[before, 1])
+        ends = spans[:, 1]
+        return np.unique(np.concatenate([starts[~inside], spans[:, 0], ends[ends < len(data)]]))
+
     def ids(self, chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's texts one after another, and the offsets of its rows."""
-        starts = unit_starts(chunk)
+        data = chunk.data.tobytes()
+        starts = self._around_added(chunk, data, unit_starts(chunk))
         ends = np.append(starts[1:], len(chunk.data))
-        key, first, inverse = np.unique(span_hashes(chunk.data, starts, ends), return_index=True, return_inverse=True)
-        data, found = chunk.data.tobytes(), []
-        for h, a, b in zip(key.tolist(), starts[first].tolist(), ends[first].tolist()):
-            ids = self.new.get(h)
+        _, first, inverse = unique_spans(chunk.data, starts, ends)
+        found = []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist()):
+            unit = data[a:b]
+            ids = self.new.get(unit)
             if ids is None:
-                ids = self.old.pop(h, None)
+                ids = self.old.pop(unit, None)
                 if ids is None:
-                    ids = self.encode(data[a:b])
+                    ids = self.encode(unit)
                 if len(self.new) >= CACHE:
                     self.old, self.new = self.new, {}
-                self.new[h] = ids
+                self.new[unit] = ids
             found.append(ids)
         size = np.array([len(x) for x in found], np.int64) // 4
         flat, at = np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size
