@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, mean_vector, normalised
+from ..sources.layout import stored as _stored
 from .tree import ROOT
 
 
@@ -19,22 +18,10 @@ class BuildConfig:
     max_depth: int = 4
     min_leaf: int = 25
     max_leaf: int = 250
-    iterations: int = 10
+    iterations: int = 20
     seed: int = 42
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read again."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='arborist-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/arborist/tree-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def build(vectors: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     """(doc_id, node_id) leaf memberships of vectors (doc_id, embedding); the root alone if nothing can be split.
 

@@ -7,6 +7,7 @@ task holds the tree or the documents, and a step that is lost is run again from
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, mean_vector, normalised
-from .hierarchy import _stored
+from ..sources.layout import stored as _stored
 from .tree import ROOT, leaves, parent, subtree_counts
 
 RETRIEVE, AGGREGATE, JUMP = 0, 1, 2
@@ -79,14 +80,37 @@ def n_parameters(weights: dict[str, np.ndarray]) -> int:
     return sum(a.size for a in weights.values())
 
 
-_erf = np.vectorize(__import__("math").erf, otypes=[float])
+_GRID = np.arange(6 * 512 + 2) / 512
+_ERF = np.array([math.erf(x) for x in _GRID])
+_SLOPE = 2 / np.sqrt(np.pi) * np.exp(-_GRID**2) / 512
 
 
-def _layer(w, name, x):
-    """Linear, layer norm, exact GELU."""
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function, by cubic pieces with its values and slopes at the ends of a grid (to 1e-12)."""
+    at = np.minimum(np.abs(x), 6.0) * 512
+    i = at.astype(int)
+    t = at - i
+    u = 1 - t
+    return np.sign(x) * (u * u * ((1 + 2 * t) * _ERF[i] + t * _SLOPE[i]) + t * t * ((3 - 2 * t) * _ERF[i + 1] - u * _SLOPE[i + 1]))
+
+
+def gelu(y: np.ndarray, derivative: int = 0) -> np.ndarray:
+    """The exact GELU, or its derivative."""
+    below = 0.5 * (1 + erf(y / np.sqrt(2)))
+    return below + y * np.exp(-0.5 * y * y) / np.sqrt(2 * np.pi) if derivative else y * below
+
+
+def layer(w, name, x) -> tuple[np.ndarray, tuple]:
+    """Linear, layer norm, exact GELU; and what the gradient needs: input, normalised values, their scale, GELU's input."""
     z = x @ w[f"{name}.w"] + w[f"{name}.b"]
-    z = (z - z.mean(-1, keepdims=True)) / np.sqrt(z.var(-1, keepdims=True) + 1e-5) * w[f"{name}.norm.g"] + w[f"{name}.norm.o"]
-    return 0.5 * z * (1 + _erf(z / np.sqrt(2)))
+    inverse = 1 / np.sqrt(z.var(-1, keepdims=True) + 1e-5)
+    n = (z - z.mean(-1, keepdims=True)) * inverse
+    y = n * w[f"{name}.norm.g"] + w[f"{name}.norm.o"]
+    return gelu(y), (x, n, inverse, y)
+
+
+def _layer(w, name, x):
+    return layer(w, name, x)[0]
 
 
 def encode(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -95,7 +119,7 @@ def encode(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def heads(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Action logits and the probability of being done."""
-    return h @ w["action.w"] + w["action.b"], 1 / (1 + np.exp(-(h @ w["done.w"] + w["done.b"])[..., 0]))
+    return h @ w["action.w"] + w["action.b"], 1 / (1 + np.exp(-np.clip((h @ w["done.w"] + w["done.b"])[..., 0], -700, 700)))
 
 
 def candidate_scores(w, kind: str, h: np.ndarray, vectors: np.ndarray, sims: np.ndarray) -> np.ndarray:
@@ -109,6 +133,13 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / n if n > 1e-12 else v
 
 
+def meta_features(depth, n_docs, is_leaf, has_parent, path, found, retrieves, jumps, docs_left, calls_left, step, inside, similarity) -> np.ndarray:
+    """The sixteen numbers of a state: depth and budgets as shares, counts as shares of what is usual, flags."""
+    return np.array([
+        min(depth, 1), np.log1p(n_docs), is_leaf, has_parent, not is_leaf, path > 0, found > 0, min(path / 16, 1), min(found / 100, 1), min(retrieves / 8, 1), min(jumps / 16, 1), docs_left, calls_left, min(step / 16, 1), inside / max(1, found), similarity,
+    ], float)
+
+
 def state_vector(q, node, up, down, path_sum, evidence_sum, meta) -> np.ndarray:
     return np.concatenate([unit(q), node, up, down, unit(path_sum), unit(evidence_sum), meta])
 
@@ -170,11 +201,7 @@ def decide(r, weights, config: RolloutConfig, max_depth: int) -> dict:
     found, centroid, n_docs = len(evidence), vec(r["centroid"]), int(r["n_docs"])
     inside = sum(r["node_id"] == ROOT or leaf == r["node_id"] or leaf.startswith(r["node_id"] + ".") for leaf in s["leaves"])
     calls = s["retrieves"] + s["jumps"] + s["aggregates"]
-    meta = np.array([
-        min(r["depth"] / max_depth, 1), np.log1p(n_docs), r["is_leaf"], r["parent_id"] is not None, not r["is_leaf"], bool(path), bool(found), min(len(path) / 16, 1), min(found / 100, 1),
-        min(s["retrieves"] / 8, 1), min(s["jumps"] / 16, 1), max(0, config.max_docs - found) / config.max_docs, max(0, config.max_calls - calls) / config.max_calls, min(s["step"] / 16, 1),
-        inside / max(1, found), float(q @ centroid),
-    ], float)
+    meta = meta_features(r["depth"] / max_depth, n_docs, bool(r["is_leaf"]), r["parent_id"] is not None, len(path), found, s["retrieves"], s["jumps"], max(0, config.max_docs - found) / config.max_docs, max(0, config.max_calls - calls) / config.max_calls, s["step"], inside, float(q @ centroid))
     h = encode(weights, state_vector(q, centroid, vec(r["up"]), vec(r["down"]), vec(s["path_sum"]), vec(s["evidence_sum"]), meta))
     logits, done = heads(weights, h)
     end = lambda reason: {**s, "reason": reason, "actions": [*actions, "DONE"]}
