@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import overlap, tokens
 from ..sources.layout import spread
+from . import postings
+from .postings import Postings, idf
 
 
 def ranked(rows: DataFrame, by: str, score: str, tie: str, limit: int | None = None) -> DataFrame:
@@ -34,40 +36,30 @@ class Bm25:
     b: float = 0.75
     floor: float = 0.25  # terms of negative idf get this share of the mean idf
 
-    def document_terms(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        return spread(docs.select("doc_id", text)).select("doc_id", tokens(F.col(text)).alias("tokens"))
+    def term_stats(self, docs: DataFrame | Postings) -> DataFrame:
+        """(term, df, idf) over all documents."""
+        index = _index(docs)
+        return index.terms().select("term", "df", idf(index, self.floor).alias("idf"))
 
-    def term_stats(self, docs: DataFrame) -> DataFrame:
-        """(term, df, idf) over all docs; documents' terms are counted before the shuffle."""
-        rows = self.document_terms(docs)
-        df = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        n = rows.agg(F.count("*").cast("double").alias("n"))
-        raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg(F.avg("raw").alias("mean"))
-        idf = F.when(F.col("raw") < 0, self.floor * F.col("mean")).otherwise(F.col("raw"))
-        return raw.join(F.broadcast(mean)).select("term", F.col("df").cast("bigint").alias("df"), idf.alias("idf"))
+    def scores(self, docs: DataFrame | Postings, queries: DataFrame, within: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, score) of all pairs that share a term, from an index (built of docs if it is a table).
 
-    def scores(self, docs: DataFrame, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of all pairs that share a term.
-
-        Tokens meet the queries' terms first, so only matching ones are counted and shuffled.
+        within (doc_id, or query_id and doc_id) restricts what is scored, before it is scored; statistics stay the corpus's.
         """
-        rows = self.document_terms(docs).withColumn("size", F.size("tokens"))
-        mean = rows.agg((F.sum("size") / F.count("*")).alias("mean"))
-        asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        terms = asked.select("term").distinct().join(self.term_stats(docs), "term")
-        counts = rows.select("doc_id", "size", F.explode("tokens").alias("term")).join(terms.select("term"), "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
-        weight = self.k1 * (1 - self.b + self.b * F.col("size") / F.col("mean"))
-        part = F.col("times") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + weight)
-        matched = asked.join(terms, "term").join(counts, "term").join(F.broadcast(mean))
-        return matched.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-    def top(self, docs: DataFrame, queries: DataFrame, limit: int, candidates: DataFrame | None = None) -> DataFrame:
+        return postings.scores(_index(docs), queries, self.k1, self.b, self.floor, within)
+
+    def top(self, docs: DataFrame | Postings, queries: DataFrame, limit: int, candidates: DataFrame | None = None) -> DataFrame:
         """Ranked (query_id, doc_id, score, rank); candidates (query_id, doc_id) restrict what is ranked, not the statistics."""
-        scores = self.scores(docs, queries)
-        if candidates is not None:
-            scores = candidates.select("query_id", "doc_id").distinct().join(scores, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
-        return positive_first(scores, "query_id", "score", "doc_id", limit)
+        if candidates is None:
+            found = postings.best(_index(docs), queries, self.k1, self.b, self.floor, limit)
+        else:
+            pairs = candidates.select("query_id", "doc_id").distinct()
+            found = pairs.join(self.scores(docs, queries, pairs), ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
+        return positive_first(found, "query_id", "score", "doc_id", limit)
+
+
+def _index(docs: DataFrame | Postings) -> Postings:
+    return docs if isinstance(docs, Postings) else postings.build(docs)
 
 
 def overlap_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:

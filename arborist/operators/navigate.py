@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords, label, overlap, tokens
-from .lexical import Bm25, within_budget
+from .lexical import Bm25, Postings, within_budget
 from .tree import ROOT, path_nodes
 
 
@@ -51,7 +51,7 @@ def heuristic(queries: DataFrame, nodes: DataFrame, cards_: DataFrame, branches:
     return at.select("query_id", "node_id", place.cast("bigint").alias("place")).where(F.col("place") <= clusters)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, members: DataFrame, visited: DataFrame, limit: int) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame | Postings, members: DataFrame, visited: DataFrame, limit: int) -> DataFrame:
     """BM25 with corpus-wide statistics among the documents of the visited nodes."""
     candidates = visited.select("query_id", "node_id").join(members, "node_id").select("query_id", "doc_id")
     return Bm25().top(docs, queries, limit, candidates)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..functions.vector import dot, normalised
-from .lexical import Bm25, ranked
+from ..sources.layout import numbered
+from .lexical import Bm25, Postings, ranked
 from .tree import ROOT, path_nodes
 
 
@@ -53,21 +54,21 @@ def subtree(members: DataFrame, node_id: str | None) -> DataFrame:
     return members.where((F.col("node_id") == node_id) | F.col("node_id").startswith(f"{node_id}."))
 
 
-def search(queries: DataFrame, docs: DataFrame, members: DataFrame, node_id: str | None, limit: int = 20) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, members: DataFrame, node_id: str | None, limit: int = 20, index: Postings | None = None) -> DataFrame:
     """(query_id, doc_id, title, snippet, score, metadata, cluster_id, rank) of a node's documents by BM25 with the corpus's
-    statistics.
+    statistics, from the index (built of docs without one); only the node's documents are scored.
 
     If no score of a query is positive, all the node's documents are ranked, those without a shared term at 0.  Of these only
-    the first by id can be shown, so a query meets as many of them as it may need, and not the whole node.
+    the first by id can be shown, so a query meets as many of them, by number, as it may need.
     """
     inside = subtree(members, node_id).select("doc_id", F.col("node_id").alias("cluster_id"))
-    scored = Bm25().scores(docs, queries).join(inside.select("doc_id"), "doc_id")
+    scored = Bm25().scores(index or docs, queries, inside.select("doc_id") if node_id not in (None, ROOT) else None)
     good = ranked(scored.where("score > 0"), "query_id", "score", "doc_id", limit).select("query_id", "doc_id", "score")
     dull = queries.select("query_id").join(good.select("query_id").distinct(), "query_id", "left_anti")
     low = scored.join(dull, "query_id", "left_semi").select("query_id", "doc_id", "score")
-    most = low.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    first = inside.orderBy("doc_id").limit(limit + most).select("doc_id")
-    fill = dull.join(F.broadcast(first)).join(low.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    most = dull.join(low.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("n", F.lit(0)) + limit - 1)).alias("number"))
+    fill = most.join(numbered(inside.select("doc_id").distinct(), "doc_id", "number"), "number").select("query_id", "doc_id")
+    fill = fill.join(low.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     rows = ranked(good.unionByName(low).unionByName(fill), "query_id", "score", "doc_id", limit)
     shown = docs.select("doc_id", F.when(_title(docs) == "", "Untitled").otherwise(_title(docs)).alias("title"), snippet(F.col("text")).alias("snippet"), _metadata(docs).alias("metadata"))
     return rows.join(shown, "doc_id").join(inside, "doc_id")

@@ -73,7 +73,7 @@ def _in_leaf(spark, sf):
 
 def _lexical(spark, sf):
     """A second run for the same ids: BM25 of the benchmark's items whose id is divisible by 20, over documents."""
-    return Bm25().top(C.documents(spark, sf), C.queries(spark, sf).where("query_id % 20 = 0"), TOP)
+    return Bm25().top(C.index(spark, sf), C.queries(spark, sf).where("query_id % 20 = 0"), TOP)
 
 
 def _rrf(spark, sf):

@@ -15,7 +15,7 @@ TOP = 100
 
 
 def _bm25(spark, sf, k=10):
-    return Bm25().top(C.documents(spark, sf), C.queries(spark, sf), k)
+    return Bm25().top(C.index(spark, sf), C.queries(spark, sf), k)
 
 
 def _metrics(spark, sf, binary=False):
@@ -86,7 +86,7 @@ QUERIES = {
         f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)",
     ),
     "term_stats": Query(
-        lambda s, d: Bm25().term_stats(C.documents(s, d)).select("term", "df", F.round("idf", 6).alias("idf")),
+        lambda s, d: Bm25().term_stats(C.index(s, d)).select("term", "df", F.round("idf", 6).alias("idf")),
         f"WITH {S.BM25} SELECT term, df, round(idf, 6) AS idf FROM i",
     ),
     "doc_length_stats": Query(

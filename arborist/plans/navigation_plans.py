@@ -21,13 +21,13 @@ def _visited(s, d):
 
 
 def _navigated(s, d):
-    rows = G.retrieve(C.queries(s, d), C.documents(s, d), _doc_members(s, d), _visited(s, d), 10)
+    rows = G.retrieve(C.queries(s, d), C.index(s, d), _doc_members(s, d), _visited(s, d), 10)
     return rows.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _in_subtree(s, d):
     below = _doc_members(s, d).where(F.col("node_id").startswith("en."))
-    rows = Bm25().scores(C.documents(s, d), C.queries(s, d)).join(below, "doc_id")
+    rows = Bm25().scores(C.index(s, d), C.queries(s, d), below.select("doc_id"))
     rows = ranked(rows, "query_id", "score", "doc_id", 10)
     return rows.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -57,7 +57,7 @@ def _jump_candidates(s, d):
 
 def _done(s, d):
     """Done labels: whether the top results hold all relevant documents."""
-    run = Bm25().top(C.documents(s, d), C.queries(s, d), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("evidence"))
+    run = Bm25().top(C.index(s, d), C.queries(s, d), 10).groupBy("query_id").agg(F.collect_set("doc_id").alias("evidence"))
     judged = C.judgements(s, d).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
     share = F.size(F.array_intersect("evidence", "relevant")) / F.size("relevant")
     return judged.join(run, "query_id").select("query_id", F.round(share, 6).alias("recall"), (share + 1e-9 >= 1.0).alias("done"))

@@ -27,7 +27,7 @@ def _cards(s, d):
 
 
 def _search(s, d, node, limit):
-    rows = N.search(C.queries(s, d), C.documents(s, d).select("doc_id", "text"), _doc_members(s, d), node, limit)
+    rows = N.search(C.queries(s, d), C.documents(s, d).select("doc_id", "text"), _doc_members(s, d), node, limit, C.index(s, d))
     return rows.select("query_id", "doc_id", "title", "snippet", F.round("score", 6).alias("score"), F.col("metadata")["doc_id"].alias("beir_id"), "cluster_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -64,7 +64,7 @@ def _greedy_bm25(s, d):
     """BM25 among the documents of the leaf that the walk ends in; queries and documents by their numbers."""
     inside = _walk(s, d).join(_vector_members(s, d).select("doc_id", "node_id"), "node_id").select("query_id", "doc_id")
     asked = C.queries(s, d).where("query_id % 20 = 0")
-    rows = Bm25().scores(C.documents(s, d), asked).join(inside, ["query_id", "doc_id"])
+    rows = Bm25().scores(C.index(s, d), asked, inside)
     return ranked(rows, "query_id", "score", "doc_id", 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -105,7 +105,7 @@ QUERIES = {
             SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) WHERE rank <= 10""",
     ),
     "rank_scores": Query(
-        lambda s, d: E.rank_scores(Bm25().top(C.documents(s, d), C.queries(s, d), 10)).select("query_id", "doc_id", F.round("score", 6).alias("score")),
+        lambda s, d: E.rank_scores(Bm25().top(C.index(s, d), C.queries(s, d), 10)).select("query_id", "doc_id", F.round("score", 6).alias("score")),
         f"WITH {S.BM25} SELECT query_id, doc_id, round(1::DOUBLE / rank, 6) AS score FROM {S.top('SELECT * FROM bm', 10)}",
     ),
     "top_wins_losses": Query(

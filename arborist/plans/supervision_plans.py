@@ -29,7 +29,7 @@ def _spoilt(s, d):
 
 
 def _block(s, d):
-    scores = Bm25().scores(C.documents(s, d), C.queries(s, d))
+    scores = Bm25().scores(C.index(s, d), C.queries(s, d))
     rows = V.retrieve_block(_leaves(s, d), _doc_members(s, d), C.judgements(s, d), scores, 5)
     return rows.withColumn("place", F.col("place").cast("bigint"))
 

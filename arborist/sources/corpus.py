@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .layout import spread
+from .layout import fingerprint, spread, stored
 
 SHORT_BLOCK = 10_000
 
@@ -22,30 +24,42 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark: SparkSession, sf_dir: str):
+    """The stored postings of the documents, built once in an application."""
+    from ..operators.postings import of_table
+
+    return of_table(spark, f"{sf_dir}/documents.parquet")
+
+
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id, rel): documents that contain the query's text; rel is 1 and the document's quality label.
 
-    A containing text has all the query's tokens; so pairs are found by joining on the query's rarest token, and only
-    those are compared as texts.  Queries of one or two tokens, which may stand within longer ones, are compared with all
-    texts, in blocks.
+    Found once in an application, as long as the tables' files stay the same.
     """
+    files = tuple(fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark", "labels"))
+    return _judged(spark, spark.sparkContext.applicationId, files, sf_dir)
+
+
+@functools.lru_cache(16)
+def _judged(spark: SparkSession, _application: str, _files: tuple, sf_dir: str) -> DataFrame:
+    """A containing text has all the query's tokens; so pairs are found by the postings of the query's rarest inner token
+    (the first and the last may be cut out of longer ones), and only those are compared as texts.  Queries of one or two
+    tokens, which may stand within longer ones, are compared with all texts, in blocks."""
     from ..functions.text import tokens
 
-    docs, asked = spread(documents(spark, sf_dir).select("doc_id", "text")), queries(spark, sf_dir)
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    # the first and the last token may be cut out of longer ones, so an inner one is the key
-    inner = asked.select("query_id", F.explode(F.slice(tokens(F.col("text")), F.lit(2), F.greatest(F.size(tokens(F.col("text"))) - 2, F.lit(0)))).alias("term")).distinct()
-    df = words.join(inner.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    key = inner.join(df, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("key")).select("query_id", F.col("key.term").alias("term"))
-    pairs = key.join(words, "term").join(asked, "query_id").withColumnRenamed("text", "asked")
+    docs, asked, postings = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir), index(spark, sf_dir)
+    words = tokens(F.col("text"))
+    inner = asked.select("query_id", F.explode(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).alias("term")).distinct()
+    key = inner.join(postings.terms(), "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("key")).select("query_id", F.col("key.term").alias("term"))
+    pairs = key.join(postings.blocks(), "term").select("query_id", F.explode("docs").alias("doc_id")).join(asked, "query_id").withColumnRenamed("text", "asked")
     found = pairs.join(docs, "doc_id").where(F.col("text").contains(F.col("asked"))).select("query_id", "doc_id")
-    short = asked.where(F.size(tokens(F.col("text"))) < 3).withColumnRenamed("text", "asked")
+    short = asked.where(F.size(words) < 3).withColumnRenamed("text", "asked")
     blocks = -(-short.count() // SHORT_BLOCK)
     for k in range(blocks):
         block = short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        found = found.unionByName(docs.join(F.broadcast(block), F.col("text").contains(F.col("asked"))).select("query_id", "doc_id"))
+        found = found.unionByName(spread(docs).join(F.broadcast(block), F.col("text").contains(F.col("asked"))).select("query_id", "doc_id"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return found.join(labels, "doc_id", "left").select("query_id", "doc_id", (F.lit(1) + F.coalesce("quality", F.lit(0))).cast("int").alias("rel"))
+    return stored(found.join(labels, "doc_id", "left").select("query_id", "doc_id", (F.lit(1) + F.coalesce("quality", F.lit(0))).cast("int").alias("rel")))
 
 
 def evaluable(asked: DataFrame, judged: DataFrame) -> DataFrame:

@@ -28,10 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/arborist/{what}-{uuid.uuid4().hex}"
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files, which tell whether what was made of it is still up to date."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """df written to the shared folder, a folder for each value of `by`, and read again: its lineage is cut."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arborist/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
