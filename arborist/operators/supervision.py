@@ -45,8 +45,9 @@ def retrieve_block(targets: DataFrame, members: DataFrame, relevant: DataFrame,
 
 
 def violations(actions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of actions that break an invariant: a known action, a node of the tree, no retrieval first, no aggregation
-    to below the root's parent, and steps without gaps."""
+    """Rows of actions that aren't steps of a walk: unknown actions and nodes, gaps between steps, aggregation at the start.
+
+    What records must hold is in records.violations()."""
     known = actions.join(nodes.select("node_id", F.lit(True).alias("there")), "node_id", "left")
     before = F.lag("step").over(Window.partitionBy("query_id").orderBy("step"))
     bad = ~F.col("action").isin(JUMP, RETRIEVE, AGGREGATE) | F.col("there").isNull() | (F.coalesce(F.col("step") - F.col("_before"), F.col("step") + 1) != 1) | ((F.col("step") == 0) & (F.col("action") == AGGREGATE))
@@ -74,10 +75,3 @@ def jump_positives(actions: DataFrame) -> DataFrame:
     below = F.filter(path_nodes(F.col("target")), lambda n: ~F.array_contains(path_nodes(F.col("here")), n))
     return jumps.select("query_id", "step", F.col("here").alias("node_id"), "target", F.explode(below).alias("positive"))
 
-
-def terminal_rows(actions: DataFrame, recall: float, threshold: float = 1.0) -> DataFrame:
-    """(query_id, step, node_id, action, done): the row after a query's last step; up from where it ended, or a jump if that is
-    the root."""
-    last = actions.groupBy("query_id").agg((F.max("step") + 1).alias("step"), F.max_by("node_id", "step").alias("node_id"))
-    action = F.when(F.col("node_id") == ROOT, JUMP).otherwise(AGGREGATE)
-    return last.select("query_id", "step", "node_id", action.alias("action"), F.lit(recall + 1e-9 >= threshold).alias("done"))

@@ -79,6 +79,29 @@ def listwise_loss(scores: Column, mask: Column, positive: Column) -> Column:
     return F.when(F.size(held) > 0, total(rows) - total(held))
 
 
+def loop_penalty(scores: Column, mask: Column, loops: Column) -> Column:
+    """-log(1 - the masked candidates' share that would loop), at most that of 1 - 1e-6; null if none would."""
+    rows = F.filter(F.arrays_zip(scores.alias("s"), mask.alias("m"), loops.alias("l")), lambda x: x["m"] > 0)
+    most = F.array_max(F.transform(rows, lambda x: x["s"]))
+    total = lambda items: F.aggregate(F.transform(items, lambda x: F.exp(x["s"] - most)), F.lit(0.0), lambda a, v: a + v)
+    bad = F.filter(rows, lambda x: x["l"] > 0)
+    return F.when(F.size(bad) > 0, -F.log1p(-F.least(total(bad) / total(rows), F.lit(1 - 1e-6))))
+
+
+def done_loss(logit: Column, label: Column, positive_weight: float) -> Column:
+    """Binary cross-entropy of a logit, positives weighted."""
+    soft = F.log1p(F.exp(-F.abs(logit)))
+    return positive_weight * label * (soft + F.greatest(-logit, F.lit(0.0))) + (1 - label) * (soft + F.greatest(logit, F.lit(0.0)))
+
+
+def action_loss(logits: list[Column], label: Column, weights: list[float]) -> Column:
+    """Cross-entropy of an action's logits times its class's weight; a mean divides by the sum of the weights."""
+    most = F.greatest(*logits)
+    total = sum((F.exp(x - most) for x in logits[1:]), F.exp(logits[0] - most))
+    own, weight = F.get(F.array(*logits), label), F.get(F.array(*(F.lit(float(w)) for w in weights)), label)
+    return weight * (most + F.log(total) - own)
+
+
 def first_positive_rank(scores: Column, mask: Column, positive: Column) -> Column:
     """Rank (from 1) of the best positive among masked candidates, ties by place; null without one."""
     zipped = F.filter(F.arrays_zip(scores.alias("s"), mask.alias("m"), positive.alias("p")), lambda x: x["m"] > 0)

@@ -140,8 +140,4 @@ QUERIES = {
             p AS (SELECT query_id, step, taken, target, unnest(list_distinct([taken, target])) AS positive FROM jp)
             SELECT query_id, step, CASE WHEN contains(taken, '.') THEN split_part(taken, '.', 1) ELSE 'root' END AS node_id, positive FROM p""",
     ),
-    "terminal_rows": Query(
-        lambda s, d: V.terminal_rows(_actions(s, d), 1.0),
-        f"""WITH {_LEGS} SELECT query_id, max(step) + 1 AS step, arg_max(node_id, step) AS node_id, CASE WHEN arg_max(node_id, step) = 'root' THEN 'JUMP' ELSE 'AGGREGATE' END AS action, true AS done FROM ac GROUP BY query_id""",
-    ),
 }

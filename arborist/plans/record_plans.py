@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vector import dot, normalised
 from ..operators import dense as D
 from ..operators import policy as P
 from ..operators import trainer as N
+from ..operators import training as T_
 from ..operators import navigator as G
 from ..operators import records as R
 from ..operators import tree as T
-from ..operators.training import group_split
 from ..sources.layout import stored
 from . import sql as S
 from .dense_plans import _CENTROIDS, _DENSE, _asked, _centroids, _dense, _vector_members, _vectors
@@ -65,7 +66,7 @@ def _rows(s, d):
     vectors = _vectors(s, d).select("doc_id", "embedding")
     features = P.node_features(members, vectors, T.nodes_of(members))
     records = _records(s, d)
-    held = group_split(records.select("query_id"), "query_id", 0.1)
+    held = T_.group_split(records.select("query_id"), "query_id", 0.1)
     rows = records.join(held, "query_id")
     made = lambda part: N.training_rows(part, features, _asked(s, d), vectors, members, CONFIG, 2)
     return made(rows.where("not validation")), made(rows.where("validation"))
@@ -80,6 +81,34 @@ def _trained(s, d):
     return s.createDataFrame([(h["epoch"], h["steps"], *(float(h[k]) for k in shown)) for h in history], "epoch int, steps int, " + ", ".join(f"{k} double" for k in shown))
 
 
+def _scored(s, d):
+    """The jumps' candidates as lists: score (the query's cosine with the node), mask, positive, would loop."""
+    setting = _setting(s, d)
+    jumps = R.records(*setting, CONFIG).where(F.col("action") == R.JUMP)
+    rows = jumps.select("query_id", "trajectory_id", "step", "node_id", "path", "positives", F.posexplode("candidates").alias("place", "c")).where("c <> ''")
+    centroids = _centroids(s, d).select(F.col("node_id").alias("c"), normalised(F.col("centroid")).alias("v"))
+    rows = rows.join(centroids, "c").join(_asked(s, d).select("query_id", normalised(F.col("embedding")).alias("q")), "query_id")
+    positive = F.array_contains("positives", F.col("place"))
+    loop = ~positive & ((F.col("c") == F.col("node_id")) | F.array_contains("path", F.col("c")))
+    item = F.struct("place", dot(F.col("q"), F.col("v")).alias("s"), F.lit(1).alias("m"), positive.cast("int").alias("p"), loop.cast("int").alias("l"))
+    lists = rows.groupBy("trajectory_id", "step").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    return lists.select("trajectory_id", F.col("step").cast("bigint").alias("step"), *(F.col(f"x.{k}").alias(k) for k in "smpl"))
+
+
+def _losses(s, d):
+    rows = _scored(s, d)
+    return rows.select("trajectory_id", "step", T_.listwise_loss(F.col("s"), F.col("m"), F.col("p")).alias("loss"), T_.loop_penalty(F.col("s"), F.col("m"), F.col("l")).alias("loop"), T_.first_positive_rank(F.col("s"), F.col("m"), F.col("p")).alias("r"))
+
+
+def _heads(s, d):
+    """Losses of the heads for logits made of a record's state: its evidence and its path's length."""
+    rows = _records(s, d).withColumn("n", F.size("evidence").cast("double")).withColumn("m", F.size("path").cast("double"))
+    label = F.when(F.col("action") == R.RETRIEVE, 0).when(F.col("action") == R.AGGREGATE, 1).otherwise(2)
+    action = T_.action_loss([F.col("n") * 0.5, F.col("m") * 0.25 + 0.1, F.col("n") - F.col("m")], label, [1.5, 0.5, 1.0])
+    done = T_.done_loss(F.col("n") - 0.5 * F.col("m"), F.col("done").cast("double"), 3.0)
+    return rows.select("trajectory_id", F.col("step").cast("bigint").alias("step"), F.round(done, 6).alias("done_loss"), F.round(action, 6).alias("action_loss"))
+
+
 _SETTING = f"""{_DENSE}, {_CENTROIDS},
 re AS (SELECT query_id, doc_id FROM dn WHERE rank <= 5),
 nd AS (SELECT DISTINCT unnest([{{'n': 'root', 'p': NULL}}, {{'n': split_part(node_id, '.', 1), 'p': 'root'}}, {{'n': node_id, 'p': split_part(node_id, '.', 1)}}], recursive := true) FROM v),
@@ -117,7 +146,30 @@ cc AS (SELECT trajectory_id, step, string_agg(c, '>' ORDER BY place) AS candidat
 rr AS (SELECT trajectory_id, step, node_id, array_to_string(path, '>') AS path, action, n_evidence, done, coalesce(candidates, '') AS candidates, coalesce(positives, '') AS positives, off FROM ro LEFT JOIN cc USING (trajectory_id, step))"""
 _COLUMNS = "trajectory_id, step, node_id, path, action, n_evidence, done, candidates, positives"
 
+_SCORED = f"""{_SETTING}, sc AS (SELECT cb.trajectory_id, cb.step, place, {S.dot("v.e", "cu.c")} AS s, (cb.c = gold OR (list_contains(ahead, cb.c) AND cb.c <> ro.node_id AND (ro.node_id = 'root' OR starts_with(cb.c, ro.node_id || '.')))) IS TRUE AS p0,
+    cb.c = ro.node_id OR list_contains(path, cb.c) AS seen, gold IS NULL AND cb.o.s = 1 AS may FROM cb JOIN ro USING (trajectory_id, step) JOIN v ON v.doc_id = ro.query_id JOIN cu ON cu.node_id = cb.c),
+sd AS (SELECT *, p0 OR (may AND NOT bool_or(p0) OVER w AND place = min(CASE WHEN may THEN place END) OVER w) AS p FROM sc WINDOW w AS (PARTITION BY trajectory_id, step)),
+sl AS (SELECT trajectory_id, step, CASE WHEN bool_or(p) THEN ln(sum(exp(s))) - ln(sum(exp(s)) FILTER (WHERE p)) END AS loss, -ln(1 - sum(exp(s)) FILTER (WHERE seen AND NOT p) / sum(exp(s))) AS loop FROM sd GROUP BY ALL),
+sr AS (SELECT trajectory_id, step, min(r) FILTER (WHERE p) AS r FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id, step ORDER BY s DESC, place) AS r FROM sd) GROUP BY ALL)"""
+
 QUERIES = {
+    "listwise_ce": Query(lambda s, d: _losses(s, d).select("trajectory_id", "step", F.round("loss", 6).alias("loss")).where("loss is not null"), f"WITH {_SCORED} SELECT trajectory_id, step, round(loss, 6) AS loss FROM sl WHERE loss IS NOT NULL"),
+    "loop_penalty": Query(lambda s, d: _losses(s, d).select("trajectory_id", "step", F.round("loop", 6).alias("loss")).where("loss is not null"), f"WITH {_SCORED} SELECT trajectory_id, step, round(loop, 6) AS loss FROM sl WHERE loop IS NOT NULL"),
+    "head_losses": Query(
+        _heads,
+        f"""WITH {_SETTING}, h AS (SELECT *, n_evidence::DOUBLE AS n, len(path)::DOUBLE AS k FROM ro), g AS (SELECT *, n - 0.5::DOUBLE * k AS x, ln(exp(n * 0.5::DOUBLE) + exp(k * 0.25::DOUBLE + 0.1::DOUBLE) + exp(n - k)) AS z FROM h)
+            SELECT trajectory_id, step, round(CASE WHEN done THEN 3 * ln(1 + exp(-x)) ELSE ln(1 + exp(x)) END, 6) AS done_loss,
+              round(CASE action WHEN 'RETRIEVE' THEN 1.5::DOUBLE * (z - n * 0.5::DOUBLE) WHEN 'AGGREGATE' THEN 0.5::DOUBLE * (z - k * 0.25::DOUBLE - 0.1::DOUBLE) ELSE z - n + k END, 6) AS action_loss FROM g""",
+    ),
+    "jump_topk_acc": Query(
+        lambda s, d: _losses(s, d).where("r is not null").agg(F.round(F.avg((F.col("r") <= 1).cast("double")), 6).alias("top1"), F.round(F.avg((F.col("r") <= 3).cast("double")), 6).alias("top3")),
+        f"WITH {_SCORED} SELECT round(avg((r <= 1)::INT::DOUBLE), 6) AS top1, round(avg((r <= 3)::INT::DOUBLE), 6) AS top3 FROM sr WHERE r IS NOT NULL",
+    ),
+    "jump_mrr": Query(lambda s, d: _losses(s, d).where("r is not null").agg(F.round(F.avg(1.0 / F.col("r")), 6).alias("mrr")), f"WITH {_SCORED} SELECT round(avg(1::DOUBLE / r), 6) AS mrr FROM sr WHERE r IS NOT NULL"),
+    "terminal_rows": Query(
+        lambda s, d: _records(s, d).where("terminal").select("query_id", F.col("step").cast("bigint").alias("step"), "node_id", "action", "done"),
+        f"WITH {_SETTING} SELECT query_id, step, node_id, action, done FROM ev WHERE m = 'END'",
+    ),
     "policy_training": Query(_trained),
     "supervision_rows": Query(lambda s, d: _shown(_records(s, d).where("not is_off_path")), f"WITH {_SETTING} SELECT {_COLUMNS} FROM rr WHERE NOT off"),
     "off_path_rows": Query(lambda s, d: _shown(_records(s, d).where("is_off_path")), f"WITH {_SETTING} SELECT {_COLUMNS} FROM rr WHERE off"),

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk as K
+from ..operators import navigator as G
 from ..operators import replay as R
 from ..operators import training as N
 from ..operators.lexical import card_score, within_budget
 from ..sources import corpus as C
 from . import sql as S
+from .dense_plans import _doc_members
 from .query import Query
 
 
@@ -22,17 +24,9 @@ def _turns(s, d):
     return C.table(s, d, "conversations")
 
 
-def _candidates(s, d):
-    """Eight scored candidates of each user: the values of the first eight events, masked and marked by their types."""
-    rows = _events(s, d).withColumn("n", F.expr("row_number() OVER (PARTITION BY user_id ORDER BY event_id)")).where("n <= 8")
-    listed = F.array_sort(F.collect_list(F.struct("n", F.round(F.col("value") / 100, 6).alias("s"), (F.col("event_id") % 5 != 0).cast("int").alias("m"), (F.col("event_id") % 3 == 0).cast("int").alias("p"))))
-    lists = rows.groupBy("user_id").agg(listed.alias("c"))
-    return lists.select("user_id", *(F.col(f"c.{f}").alias(f) for f in "smp"))
-
-
-def _ranks(s, d):
-    rows = _candidates(s, d).withColumn("r", N.first_positive_rank(F.col("s"), F.col("m"), F.col("p"))).where("exists(arrays_zip(m, p), x -> x.m > 0 and x.p > 0)")
-    return rows.select("user_id", F.col("r").cast("bigint").alias("r"))
+def _rates(s, d):
+    steps = _events(s, d).select(F.expr("event_id div 100").alias("step")).distinct()
+    return steps.select("step", F.round(N.learning_rate(F.col("step"), steps.count()), 6).alias("rate"))
 
 
 def _registry(s, d):
@@ -51,10 +45,6 @@ def _cards(s, d):
 _CARDS = f"""w AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, word) AS r FROM (SELECT source, unnest({S.keywords("text")}) AS word FROM documents) GROUP BY source, word),
 c AS (SELECT source, list(word ORDER BY r) AS keywords FROM w WHERE r <= 8 GROUP BY source),
 cards AS (SELECT source, keywords, array_to_string(keywords[1:3], ' / ') AS label, 'Documents about ' || array_to_string(keywords, ', ') || '.' AS summary FROM c)"""
-_LISTS = """r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-k AS (SELECT user_id, n, round(value / 100, 6) AS s, (event_id % 5 <> 0) AS m, (event_id % 3 = 0) AS p FROM r WHERE n <= 8)"""
-_RANKED = f"{_LISTS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, n) AS rank FROM k WHERE m), f AS (SELECT user_id, min(rank) AS r FROM o WHERE p GROUP BY user_id)"
-
 QUERIES = {
     "class_weights": Query(lambda s, d: N.class_weights(_events(s, d), "event_type").select("event_type", "n", F.round("weight", 6).alias("weight")), "SELECT event_type, n, round(sum(n) OVER () / (3::DOUBLE * (n + 1)), 6) AS weight FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)"),
     "done_pos_weight": Query(
@@ -75,18 +65,10 @@ QUERIES = {
         lambda s, d: _events(s, d).groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("k")).select("user_id", *(F.round(c, 6).alias(a) for c, a in zip(N.state_features(F.col("k"), F.col("n"), F.col("k"), F.col("n"), F.col("n")), ("depth", "evidence", "children", "step", "log_size")))),
         "SELECT user_id, round(least(k / 16.0::DOUBLE, 1), 6) AS depth, round(least(n / 100.0::DOUBLE, 1), 6) AS evidence, round(least(k / 8.0::DOUBLE, 1), 6) AS children, round(least(n / 16.0::DOUBLE, 1), 6) AS step, round(ln(1 + n), 6) AS log_size FROM (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY 1)",
     ),
-    "listwise_ce": Query(
-        lambda s, d: _candidates(s, d).select("user_id", F.round(N.listwise_loss(F.col("s"), F.col("m"), F.col("p")), 6).alias("loss")).where("loss is not null"),
-        f"WITH {_LISTS} SELECT user_id, round(ln(sum(exp(s)) FILTER (WHERE m)) - ln(sum(exp(s)) FILTER (WHERE m AND p)), 6) AS loss FROM k GROUP BY user_id HAVING count(*) FILTER (WHERE m AND p) > 0",
-    ),
-    "jump_topk_acc": Query(
-        lambda s, d: _ranks(s, d).agg(F.round(F.avg((F.col("r") <= 1).cast("double")), 6).alias("top1"), F.round(F.avg((F.col("r") <= 3).cast("double")), 6).alias("top3")),
-        f"WITH {_RANKED} SELECT round(avg((r <= 1)::INT::DOUBLE), 6) AS top1, round(avg((r <= 3)::INT::DOUBLE), 6) AS top3 FROM f",
-    ),
-    "jump_mrr": Query(lambda s, d: _ranks(s, d).agg(F.round(F.avg(1.0 / F.col("r")), 6).alias("mrr")), f"WITH {_RANKED} SELECT round(avg(1::DOUBLE / r), 6) AS mrr FROM f"),
-    "learning_rates": Query(
-        lambda s, d: s.range(0, 200, 1, 2).select(F.col("id").alias("step"), F.round(N.learning_rate(F.col("id"), 200), 6).alias("rate")),
-        "SELECT step, round(CASE WHEN step < 10 THEN greatest(step / 10::DOUBLE, 1e-8::DOUBLE) ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least((step - 10) / 190::DOUBLE, 1))) END, 6) AS rate FROM (SELECT unnest(range(200)) AS step)",
+    "learning_rates": Query(  # a step for each hundred events
+        lambda s, d: _rates(s, d),
+        """WITH x AS (SELECT DISTINCT event_id // 100 AS step FROM events), n AS (SELECT count(*) AS n, greatest(1, floor(0.05::DOUBLE * count(*))) AS f FROM x)
+            SELECT step, round(CASE WHEN step < f THEN greatest(step / f::DOUBLE, 1e-8::DOUBLE) ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * least((step - f) / greatest(1, n - f)::DOUBLE, 1))) END, 6) AS rate FROM x, n""",
     ),
     "latency_percentiles": Query(
         lambda s, d: _events(s, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95")),
@@ -124,8 +106,8 @@ QUERIES = {
             SELECT doc_id, ((a - 1) // 4)::BIGINT AS pos, array_to_string(s[a:a + 4], ' ') AS chunk, (strpos(text, s[a]) - 1)::BIGINT AS start_idx, (strpos(text, s[a]) - 1 + length(array_to_string(s[a:a + 4], ' ')))::BIGINT AS end_idx FROM w""",
     ),
     "recursive_chunks": Query(lambda s, d: K.recursive_chunks(C.documents(s, d))),
-    "fetch_documents": Query(
-        lambda s, d: s.createDataFrame([(0, 7), (1, -1), (2, 3), (3, 5)], "pos int, doc_id long").join(C.documents(s, d), "doc_id").select(F.col("pos").cast("bigint").alias("pos"), "doc_id", F.concat_ws(".", "lang", "source").alias("leaf"), T.snippet(F.col("text")).alias("snippet")),
-        "SELECT pos::BIGINT AS pos, doc_id::BIGINT AS doc_id, lang || '.' || source AS leaf, CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS snippet FROM (VALUES (0, 7), (1, -1), (2, 3), (3, 5)) v(pos, doc_id) JOIN documents USING (doc_id)",
+    "fetch_documents": Query(  # an event's user as the number of a document
+        lambda s, d: G.fetch(_events(s, d).select(F.col("event_id").alias("pos"), F.col("user_id").alias("doc_id")), C.documents(s, d), _doc_members(s, d)).select("pos", "doc_id", "title", "cluster_id", "score", T.snippet(F.col("text")).alias("snippet")),
+        "SELECT event_id AS pos, doc_id, '' AS title, lang || '.' || d.source AS cluster_id, 1.0::DOUBLE AS score, CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS snippet FROM events e JOIN documents d ON d.doc_id = e.user_id",
     ),
 }
