@@ -30,6 +30,13 @@ def scores(queries: DataFrame, items: DataFrame, item: str = "doc_id") -> DataFr
     return out
 
 
+def pair_scores(pairs: DataFrame, queries: DataFrame, items: DataFrame, item: str = "doc_id") -> DataFrame:
+    """(query_id, item, score) of given pairs alone: they meet their two vectors by joins."""
+    rows = pairs.select("query_id", item).distinct()
+    rows = rows.join(items.select(item, normalised(F.col("embedding")).alias("_d")), item)
+    return rows.join(queries.select("query_id", normalised(F.col("embedding")).alias("_q")), "query_id").select("query_id", item, dot(F.col("_q"), F.col("_d")).alias("score"))
+
+
 def top(queries: DataFrame, items: DataFrame, limit: int, item: str = "doc_id", exclude: DataFrame | None = None) -> DataFrame:
     """The limit best items of each query by score, ties by id; exclude (query_id, item) are left out first."""
     rows = scores(queries, items, item)

@@ -9,6 +9,7 @@ from ..operators import dense as D
 from ..operators import tree as T
 from ..operators.lexical import Bm25, ranked
 from ..sources import corpus as C
+from ..sources.layout import stored
 from . import sql as S
 from .query import Query
 
@@ -85,7 +86,8 @@ def _augmented(spark, sf):
 
 
 def _blend(spark, sf):
-    rows = D.blended(_augmented(spark, sf), D.scores(_asked(spark, sf), _vectors(spark, sf)), 0.9)
+    run = stored(_augmented(spark, sf))
+    rows = D.blended(run, D.pair_scores(run, _asked(spark, sf), _vectors(spark, sf)), 0.9)
     return ranked(rows, "query_id", "score", "doc_id", 20)
 
 
