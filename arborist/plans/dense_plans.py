@@ -51,8 +51,9 @@ def _doc_nodes(spark, sf):
 
 
 def _leaf_pairs(spark, sf):
-    leaves = T.leaves(_doc_nodes(spark, sf)).select("node_id")
-    return leaves.select(F.col("node_id").alias("x")).join(leaves.select(F.col("node_id").alias("y")), F.col("x") > F.col("y"))
+    """The leaves of each two documents whose ids follow one another."""
+    one = _doc_members(spark, sf).select("doc_id", F.col("node_id").alias("x"))
+    return one.join(_doc_members(spark, sf).select((F.col("doc_id") - 1).alias("doc_id"), F.col("node_id").alias("y")), "doc_id")
 
 
 def _six(rows, *names):
@@ -158,10 +159,10 @@ QUERIES = {
     "tree_ancestors": Query(lambda s, d: T.closure(_doc_nodes(s, d)), f"WITH {_TREE} SELECT * FROM cl"),
     "tree_children": Query(lambda s, d: T.children(_doc_nodes(s, d), "root", 1), f"WITH {_TREE} SELECT node_id, distance FROM cl WHERE ancestor_id = 'root' AND distance = 1"),
     "tree_leaves": Query(lambda s, d: T.leaves(_doc_nodes(s, d)).select("node_id"), f"WITH {_TREE} SELECT node_id FROM t WHERE depth = 2"),
-    "tree_lca": Query(  # of every two leaves; documents' ancestors are those of their leaves (doc_leaf)
-        lambda s, d: _leaf_pairs(s, d).select("x", "y", T.lowest_common_ancestor(F.col("x"), F.col("y")).alias("lca")),
-        f"""WITH {_TREE}, l AS (SELECT node_id FROM t WHERE depth = 2) SELECT a.node_id AS x, b.node_id AS y, CASE WHEN split_part(a.node_id, '.', 1) = split_part(b.node_id, '.', 1) THEN split_part(a.node_id, '.', 1) ELSE 'root' END AS lca
-            FROM l a JOIN l b ON a.node_id > b.node_id""",
+    "tree_lca": Query(
+        lambda s, d: _leaf_pairs(s, d).select("doc_id", "x", "y", T.lowest_common_ancestor(F.col("x"), F.col("y")).alias("lca")),
+        f"""WITH {_TREE} SELECT a.doc_id, a.node_id AS x, b.node_id AS y, CASE WHEN a.node_id = b.node_id THEN a.node_id WHEN split_part(a.node_id, '.', 1) = split_part(b.node_id, '.', 1) THEN split_part(a.node_id, '.', 1) ELSE 'root' END AS lca
+            FROM m a JOIN m b ON b.doc_id = a.doc_id + 1""",
     ),
     "tree_descent": Query(
         lambda s, d: _doc_members(s, d).select("doc_id", F.array_join(T.descent(F.lit("en"), F.col("node_id")), ">").alias("path")).where("path is not null"),

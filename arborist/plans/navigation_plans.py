@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import dense as D
 from ..operators import hierarchy as H
 from ..operators import navigate as G
+from ..operators import policy as P
 from ..operators import tree as R
 from ..operators.lexical import Bm25, ranked
 from ..sources import corpus as C
 from . import sql as S
-from .dense_plans import _asked, _centroids, _doc_members, _vector_members, _vectors
+from .dense_plans import _CENTROIDS, _DENSE, _asked, _doc_members, _vector_members, _vectors
 from .query import Query
 
 
@@ -39,20 +40,14 @@ def _kmeans(s, d):
 
 
 def _jump_candidates(s, d):
-    """From each query's leaf: the nearest centroids, then parent and siblings; without the path, the first source wins."""
-    from ..operators import dense as D
-
-    asked = _asked(s, d)
-    here = asked.select("query_id").join(_vector_members(s, d).select(F.col("doc_id").alias("query_id"), F.col("node_id").alias("leaf")), "query_id")
-    near = D.top(asked, _centroids(s, d).withColumnRenamed("centroid", "embedding"), 4, "node_id").select("query_id", "node_id", F.lit(1).alias("source"), F.col("rank").alias("place"))
-    up = here.select("query_id", R.parent(F.col("leaf")).alias("node_id"), F.lit(2).alias("source"), F.lit(1).alias("place"))
-    nodes = R.nodes_of(_vector_members(s, d)).select("node_id", "parent_id")
-    side = here.withColumn("parent_id", R.parent(F.col("leaf"))).join(nodes, "parent_id").where("node_id <> leaf")
-    side = side.select("query_id", "node_id", F.lit(3).alias("source"), F.row_number().over(Window.partitionBy("query_id").orderBy("node_id")).alias("place"))
-    rows = near.unionByName(up).unionByName(side).join(here, "query_id").where(~F.array_contains(F.slice(R.path_nodes(F.col("leaf")), 3, 1), F.col("node_id")))
-    best = rows.groupBy("query_id", "node_id").agg(F.min(F.struct("source", "place")).alias("b"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("b.source", "b.place", "node_id"))
-    return best.select("query_id", "node_id", F.col("b.source").cast("bigint").alias("source"), place.cast("bigint").alias("place")).where("place <= 6")
+    """From each query's own leaf, reached from the root: the nearest centroids, then children, parent and siblings, none of them on
+    the path."""
+    asked, members = _asked(s, d), _vector_members(s, d).select("doc_id", "node_id")
+    features = P.node_features(members, _vectors(s, d).select("doc_id", "embedding"), R.nodes_of(members))
+    states = asked.select("query_id").join(members.select(F.col("doc_id").alias("query_id"), "node_id"), "query_id").withColumn("path", R.path_nodes(F.col("node_id")))
+    near = D.top(asked, features.select("node_id", F.col("centroid").alias("embedding")), 4, "node_id").select("query_id", "node_id", "rank")
+    rows = P.jump_candidates(states, features, near, 6)
+    return rows.select("query_id", F.explode("candidates").alias("x")).select("query_id", F.col("x.place").cast("bigint").alias("place"), F.col("x.id").alias("node_id"))
 
 
 def _done(s, d):
@@ -95,6 +90,12 @@ QUERIES = {
         f"""WITH {S.BM25}, {S.JUDGED}, t AS (SELECT query_id, doc_id FROM {S.top("SELECT * FROM bm", 10)}), g AS (SELECT j.query_id, count(DISTINCT j.doc_id) AS n, count(DISTINCT t.doc_id) AS h FROM j LEFT JOIN t ON t.query_id = j.query_id AND t.doc_id = j.doc_id GROUP BY 1)
             SELECT query_id, round(h::DOUBLE / n, 6) AS recall, h::DOUBLE / n + 1e-9 >= 1 AS done FROM g""",
     ),
-    "jump_candidates": Query(_jump_candidates),
+    "jump_candidates": Query(
+        _jump_candidates,
+        f"""WITH {_DENSE}, {_CENTROIDS}, an AS (SELECT * FROM (SELECT v.doc_id AS query_id, v.node_id AS leaf, cu.node_id AS c, row_number() OVER (PARTITION BY v.doc_id ORDER BY round({S.dot("v.e", "cu.c")}, 9) DESC, cu.node_id) AS r FROM v, cu WHERE v.doc_id % 20 = 0) WHERE r <= 4),
+            a AS (SELECT query_id, c, [1, r] AS o FROM an WHERE c NOT IN ('root', split_part(leaf, '.', 1), leaf)
+              UNION ALL SELECT v.doc_id, x.node_id, [4, 0] FROM v JOIN (SELECT DISTINCT node_id FROM v) x ON split_part(x.node_id, '.', 1) = split_part(v.node_id, '.', 1) AND x.node_id <> v.node_id WHERE v.doc_id % 20 = 0)
+            SELECT query_id, place, c AS node_id FROM (SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY min(o), c) AS place FROM a GROUP BY query_id, c) WHERE place <= 6""",
+    ),
     "kmeans_hierarchy": Query(_kmeans),
 }

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dense as D
 from ..operators import supervision as V
-from ..operators.lexical import Bm25
 from ..sources import corpus as C
 from ..streaming.promotion import reward_windows
 from . import sql as S
-from .dense_plans import _TREE, _doc_members, _doc_nodes
+from .dense_plans import _DENSE, _TREE, _asked, _dense, _doc_members, _doc_nodes, _vector_members, _vectors
 from .query import Query
 
 
@@ -29,9 +29,11 @@ def _spoilt(s, d):
 
 
 def _block(s, d):
-    scores = Bm25().scores(C.index(s, d), C.queries(s, d))
-    rows = V.retrieve_block(_leaves(s, d), _doc_members(s, d), C.judgements(s, d), scores, 5)
-    return rows.withColumn("place", F.col("place").cast("bigint"))
+    """Leaves of each query's five nearest vectors, with these and then the most similar of their documents."""
+    members, relevant = _vector_members(s, d).select("doc_id", "node_id"), _dense(s, d, 5).select("query_id", "doc_id")
+    targets = relevant.join(members, "doc_id").select("query_id", "node_id").distinct()
+    scores = D.pair_scores(targets.join(members, "node_id").select("query_id", "doc_id"), _asked(s, d), _vectors(s, d))
+    return V.retrieve_block(targets, members, relevant, scores, 8).withColumn("place", F.col("place").cast("bigint"))
 
 
 _LEGS = f"""{_TREE}, {S.JUDGED}, tg AS (SELECT DISTINCT query_id, node_id FROM j JOIN m USING (doc_id)),
@@ -52,9 +54,9 @@ QUERIES = {
     ),
     "retrieve_block": Query(
         _block,
-        f"""WITH {S.BM25}, {_LEGS} SELECT query_id, node_id, doc_id, positive, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY positive DESC, round(score, 9) DESC, doc_id) AS place
-            FROM (SELECT tg.query_id, tg.node_id, m.doc_id, EXISTS (SELECT 1 FROM j WHERE j.query_id = tg.query_id AND j.doc_id = m.doc_id) AS positive, coalesce(bm.score, 0) AS score
-            FROM tg JOIN m ON m.node_id = tg.node_id LEFT JOIN bm ON bm.query_id = tg.query_id AND bm.doc_id = m.doc_id)) WHERE place <= 5""",
+        f"""WITH {_DENSE}, re AS (SELECT query_id, doc_id FROM dn WHERE rank <= 5), tg AS (SELECT DISTINCT query_id, node_id FROM re JOIN v USING (doc_id))
+            SELECT query_id, node_id, doc_id, positive, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY positive DESC, round(score, 9) DESC, doc_id) AS place
+            FROM (SELECT tg.query_id, tg.node_id, v.doc_id, (tg.query_id, v.doc_id) IN (SELECT (query_id, doc_id) FROM re) AS positive, s.score FROM tg JOIN v ON v.node_id = tg.node_id JOIN s ON s.query_id = tg.query_id AND s.doc_id = v.doc_id)) WHERE place <= 8""",
     ),
     "reward_windows": Query(
         lambda s, d: reward_windows(C.table(s, d, "events"), "ts", "value", "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("mean", 6).alias("mean")),
