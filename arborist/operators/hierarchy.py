@@ -60,3 +60,38 @@ def build(vectors: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
             )
         )
     return rows.select("doc_id", "node_id")
+
+
+def checked(docs: DataFrame, vectors: DataFrame) -> None:
+    """ValueError unless there are documents, their ids differ, and each has one vector, all of one length."""
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if not n:
+        raise ValueError("there are no documents to build a hierarchy of")
+    if ids != n:
+        raise ValueError("document ids recur or are null")
+    lengths = docs.select("doc_id").join(vectors.select("doc_id", F.size("embedding").alias("size")), "doc_id").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).first()
+    if lengths["n"] != n:
+        raise ValueError(f"{n} documents have {lengths['n']} vectors")
+    if lengths["least"] != lengths["most"] or lengths["least"] < 1:
+        raise ValueError(f"vectors have {lengths['least']} to {lengths['most']} numbers")
+
+
+def index(docs: DataFrame, encoder=None, vectors: DataFrame | None = None, config: BuildConfig = BuildConfig(), words: int = 8) -> dict[str, DataFrame]:
+    """A hierarchy as one product: documents, embeddings (by the encoder if no vectors are given), nodes with parent, depth, size,
+    label, summary, keywords and unit centroid, and members of the nodes of every level."""
+    from ..sources.encoders import passage
+    from .navigate import cards
+    from .tree import nodes_of, path_nodes, subtree_counts
+
+    if vectors is None:
+        if docs.isEmpty():
+            raise ValueError("there are no documents to build a hierarchy of")
+        vectors = encoder.encode(docs, "doc_id", passage(docs))[0]
+    vectors = _stored(vectors.select("doc_id", "embedding"))
+    checked(docs, vectors)
+    leaves = _stored(build(vectors, config))
+    members = _stored(leaves.select(F.explode(path_nodes(F.col("node_id"))).alias("node_id"), "doc_id"))
+    middle = mean_vector(members.join(vectors.select("doc_id", normalised(F.col("embedding")).alias("v")), "doc_id"), ["node_id"], "v").select("node_id", normalised(F.col("centroid")).alias("centroid"))
+    named = cards(docs.select("doc_id", F.col("text")), leaves, words)
+    nodes = nodes_of(leaves).join(subtree_counts(leaves), "node_id").join(named, "node_id", "left").join(middle, "node_id")
+    return {"documents": docs, "embeddings": vectors, "nodes": _stored(nodes), "members": members}
