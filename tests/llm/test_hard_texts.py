@@ -59,22 +59,39 @@ def test_words_lines_and_phrases(spark):
     assert sorted((r.doc_id, r.n_base) for r in found) == [(0, 2), (1, 1), (2, 0)]
 
 
-@pytest.mark.parametrize("what", ["null ids", "repeated rows"])
-def test_recurring_rows_cost_no_square(spark, what):
-    """20,000 null ids, or repetitions of a row, in about the time of as many distinct ones."""
+N = 20_000
+
+
+def rows_of(spark, doc_id, text):
+    rows = spark.range(N).select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("bigint").alias("n_chars"))
+    return rows.select(*[f.name for f in spark.createDataFrame([], SCHEMA).schema]).repartition(4)
+
+
+def timed(spark, rows):
     import corpus_pipeline
 
-    n = 20_000
+    began = time.time()
+    return corpus_pipeline.by_nearness(spark, rows, "").count(), time.time() - began
+
+
+@pytest.fixture(scope="module")
+def distinct(spark):
+    """Texts in groups of seven copies with ids of their own: the rows kept, and the seconds of a second run."""
     text = F.concat(F.lit("w"), (F.col("id") % 400).cast("string"), F.lit(" a b c d e f g h i "), F.floor(F.col("id") / 7).cast("string"))
-    rows = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("bigint").alias("n_chars"))
-    odd = rows.withColumn("doc_id", F.lit(None).cast("bigint")) if what == "null ids" else spark.range(n).select(F.lit(5).cast("bigint").alias("doc_id"), F.lit("one row that is here again and again").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("bigint").alias("n_chars"))
-    took = []
-    for df in (rows, rows, odd):
-        began = time.time()
-        kept = corpus_pipeline.by_nearness(spark, df.select(*[f.name for f in spark.createDataFrame([], SCHEMA).schema]).repartition(4), "").count()
-        took.append(time.time() - began)
-    assert took[2] < 2 * took[1] + 10
-    assert kept == (1 if what == "repeated rows" else corpus_pipeline.by_nearness(spark, rows.repartition(4), "").count())
+    rows = rows_of(spark, F.col("id"), text)
+    timed(spark, rows)
+    return text, *timed(spark, rows)
+
+
+def test_null_ids_cost_no_square(spark, distinct):
+    text, kept, took = distinct
+    got, seconds = timed(spark, rows_of(spark, F.lit(None), text))
+    assert got == kept and seconds < 2 * took + 10
+
+
+def test_repeated_rows_cost_no_square(spark, distinct):
+    got, seconds = timed(spark, rows_of(spark, F.lit(5), F.lit("one row that is here again and again")))
+    assert got == 1 and seconds < 2 * distinct[2] + 10
 
 
 def test_span_hash_is_the_same_in_every_version():

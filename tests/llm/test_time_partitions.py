@@ -104,7 +104,7 @@ def ids_sha(rows):
     return hashlib.sha256(",".join("" if r[0] is None else str(r[0]) for r in rows).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("n, hot, share", [(900, 0, 200), (1500, 500, 40), (40, 0, 650), (500, 400, 20)])
+@pytest.mark.parametrize("n, hot, share", [(500, 0, 100), (900, 300, 30), (40, 0, 650), (300, 240, 15)])
 def test_against_plain(spark, n, hot, share):
     rows = clicks(n, hot=hot)
     got = tp.click_partitions(spark.createDataFrame(rows, SCHEMA).repartition(4), share).collect()
