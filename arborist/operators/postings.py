@@ -28,6 +28,7 @@ from ..functions.text import tokens
 from ..sources.layout import new_folder, spread
 
 BLOCK_DOCS = 2048
+FEW_BLOCKS = 8  # an index of so few is scored as a whole, as finding out what may be skipped costs more
 _COUNTED = "doc_id {id}, size int, term string, tf int"
 
 
@@ -43,6 +44,11 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), pa.array(size[of], pa.int32()), words.dictionary.take(pa.array(term)), pa.array(tf, pa.int32())], ["doc_id", "size", "term", "tf"])
 
 
+def _parts(spark: SparkSession) -> int:
+    """Partitions by number, as a small index, which adaptive execution would gather in one task, is many rows to score."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @dataclass(frozen=True)
 class Postings:
     """An index in a folder: n documents of `mean` tokens; mean_raw is the mean idf of all terms before the floor."""
@@ -52,6 +58,7 @@ class Postings:
     n: int
     mean: float
     mean_raw: float
+    n_blocks: int = 1
 
     def blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/blocks")
@@ -68,16 +75,18 @@ def build(docs: DataFrame, text: str = "text", folder: str | None = None, block_
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = spread(docs.select("doc_id", text)).select("doc_id", tokens(F.col(text)).alias("tokens")).mapInArrow(_counts, _COUNTED.format(id=kind))
     n = docs.select("doc_id").count()
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // block_docs)))).cast("int").alias("block")
+    n_blocks = max(1, -(-n // block_docs))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
     entry = F.struct("doc_id", "tf", "size")
-    rows = counted.groupBy("term", block).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("size").alias("least_size"), F.sum("tf").alias("total"), F.collect_list(entry).alias("x"))
+    counted = counted.withColumn("block", block).repartition(_parts(spark), "term", "block")
+    rows = counted.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("size").alias("least_size"), F.sum("tf").alias("total"), F.collect_list(entry).alias("x"))
     split = [F.col(f"x.{f}").alias(name) for f, name in (("doc_id", "docs"), ("tf", "tfs"), ("size", "sizes"))]
     rows.select("term", "block", "n", "most_tf", "least_size", "total", *split).sortWithinPartitions("term", "block").write.parquet(f"{folder}/blocks")
     written = spark.read.parquet(f"{folder}/blocks")
     raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     written.groupBy("term").agg(F.sum("n").cast("bigint").alias("df"), F.sum("total").alias("total")).select("term", "df", "total", raw.alias("raw")).write.parquet(f"{folder}/terms")
     sums = spark.read.parquet(f"{folder}/terms").agg(F.sum("total").alias("total"), F.avg("raw").alias("raw")).first()
-    return Postings(spark, folder, n, (sums["total"] or 0) / n if n else 0.0, sums["raw"] or 0.0)
+    return Postings(spark, folder, n, (sums["total"] or 0) / n if n else 0.0, sums["raw"] or 0.0, n_blocks)
 
 
 @functools.lru_cache(64)
@@ -116,14 +125,16 @@ def _scored(index: Postings, matched: DataFrame, k1: float, b: float, within: Da
 
 def scores(index: Postings, queries: DataFrame, k1: float, b: float, floor: float, within: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all pairs that share a term; within: (doc_id), or (query_id, doc_id), that are scored."""
-    matched = _asked(index, queries, floor).join(index.blocks(), "term")
-    return _scored(index, matched, k1, b, within)
+    asked = _asked(index, queries, floor).repartition(_parts(index.spark), "term")
+    return _scored(index, asked.join(index.blocks(), "term"), k1, b, within)
 
 
 def best(index: Postings, queries: DataFrame, k1: float, b: float, floor: float, limit: int) -> DataFrame:
     """(query_id, doc_id, score) that hold each query's first `limit`; blocks that can't are skipped."""
     from ..sources.layout import stored
 
+    if index.n_blocks <= FEW_BLOCKS:
+        return scores(index, queries, k1, b, floor)
     asked = stored(_asked(index, queries, floor))
     bound = F.greatest(F.col("weight"), F.lit(0.0)) * _part(index, k1, b, F.col("most_tf"), F.col("least_size"))
     light = asked.join(index.blocks().select("term", "block", "n", "most_tf", "least_size"), "term")
@@ -133,7 +144,8 @@ def best(index: Postings, queries: DataFrame, k1: float, b: float, floor: float,
     bounds = stored(bounds.withColumn("first", before < limit))
 
     def of(chosen):
-        return _scored(index, asked.join(chosen, "query_id").join(index.blocks(), ["term", "block"]), k1, b, None)
+        pairs = asked.join(chosen, "query_id").repartition(_parts(index.spark), "term", "block")
+        return _scored(index, pairs.join(index.blocks(), ["term", "block"]), k1, b, None)
 
     first = stored(of(bounds.where("first").select("query_id", "block")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
