@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dense as D
 from ..operators import supervision as V
 from ..sources import corpus as C
+from ..sources.layout import stored
 from ..streaming.promotion import reward_windows
 from . import sql as S
 from .dense_plans import _DENSE, _TREE, _asked, _dense, _doc_members, _doc_nodes, _vector_members, _vectors
@@ -30,10 +31,10 @@ def _spoilt(s, d):
 
 def _block(s, d):
     """Leaves of each query's five nearest vectors, with these and then the most similar of their documents."""
-    members, relevant = _vector_members(s, d).select("doc_id", "node_id"), _dense(s, d, 5).select("query_id", "doc_id")
-    targets = relevant.join(members, "doc_id").select("query_id", "node_id").distinct()
-    scores = D.pair_scores(targets.join(members, "node_id").select("query_id", "doc_id"), _asked(s, d), _vectors(s, d))
-    return V.retrieve_block(targets, members, relevant, scores, 8).withColumn("place", F.col("place").cast("bigint"))
+    members, relevant = _vector_members(s, d).select("doc_id", "node_id"), stored(_dense(s, d, 5).select("query_id", "doc_id"))
+    targets = stored(relevant.join(members, "doc_id").select("query_id", "node_id").distinct())
+    rows = V.nearest_block(targets, _vector_members(s, d), relevant, _asked(s, d), 8)
+    return rows.withColumn("place", F.col("place").cast("bigint"))
 
 
 _LEGS = f"""{_TREE}, {S.JUDGED}, tg AS (SELECT DISTINCT query_id, node_id FROM j JOIN m USING (doc_id)),

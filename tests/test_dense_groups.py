@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborist.operators import dense as D
+from arborist.operators import policy as P
+from arborist.operators import supervision as V
 from arborist.operators.lexical import ranked
 
 
@@ -56,3 +58,22 @@ def test_empty_tables(spark):
     items = vectors(spark, 5, 5)
     asked = items.withColumnRenamed("doc_id", "query_id")
     assert D.top(asked.limit(0), items, 3).count() == D.top(asked, items.limit(0), 3).count() == 0
+
+
+def test_block_of_a_node(spark, small_groups):
+    items = vectors(spark, 150, 6).withColumn("node_id", F.concat(F.lit("n"), F.col("doc_id") % 2))
+    asked = vectors(spark, 9, 7).withColumnRenamed("doc_id", "query_id")
+    relevant = asked.select("query_id", F.explode(F.array(F.col("query_id"), F.col("query_id") + 60, F.lit(999).cast("long"))).alias("doc_id"))
+    targets = asked.select("query_id", F.explode(F.array(F.lit("n0"), F.lit("n1"), F.lit("gone"))).alias("node_id"))
+    scores = D.pair_scores(targets.join(items, "node_id").select("query_id", "doc_id"), asked, items)
+    want = V.retrieve_block(targets, items.select("doc_id", "node_id"), relevant, scores, 4)
+    same(V.nearest_block(targets, items, relevant, asked, 4), want, ["query_id", "node_id", "doc_id", "positive", "place"])
+
+
+def test_documents_of_a_state_carry_no_pairs(spark):
+    items = vectors(spark, 40, 8)
+    features = spark.createDataFrame([("a", 40, True)], "node_id string, n_docs long, is_leaf boolean")
+    states = items.limit(3).select(F.col("doc_id").alias("query_id"), F.lit("a").alias("node_id"), F.col("embedding").cast("array<double>").alias("q"))
+    found = P._node_documents(states, features, items.select("doc_id", F.lit("a").alias("node_id")), items, P.RolloutConfig(documents=5))
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert all(len(r.documents) == 5 for r in found.collect())
