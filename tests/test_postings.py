@@ -90,3 +90,26 @@ def test_odd_tables(spark):
     index = P.build(rows)
     assert index.n == 4 and index.mean == 1.0
     assert {(r.doc_id, r.term, r.tf) for r in index.blocks().select("term", F.explode(F.arrays_zip("docs", "tfs")).alias("x")).select("term", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf")).collect()} == {(None, "a", 2), (7, "a", 1), (7, "b", 1)}
+
+
+def test_blocks_stay_where_they_are(spark, texts):
+    docs, queries = texts
+    index = P.build(spark.createDataFrame(docs, "doc_id bigint, text string"), block_docs=20)
+    asked = spark.createDataFrame(queries, "query_id bigint, text string")
+    plan = Bm25().scores(index, asked, spark.range(9).withColumnRenamed("id", "doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [term" in plan and "hashpartitioning(term" not in plan
+
+
+def test_blocks_are_bounded_by_tokens(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "BLOCK_TOKENS", 6)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["a"] * n for n in (2, 9, 0, 3, 3, 1)])], ["doc_id", "tokens"])
+    assert [part.column("doc_id").to_pylist() for part in P._blocks(batch, 4)] == [[0], [1], [2, 3, 4], [5]]
+
+
+def test_rows_of_one_id_score_together(spark, monkeypatch):
+    rows = [(i % 40, f"a w{i}") for i in range(80)]
+    index = P.build(spark.createDataFrame(rows, "doc_id bigint, text string"), block_docs=3)
+    top = Bm25().top(index, spark.createDataFrame([(1, "w7 w47")], "query_id bigint, text string"), 1).collect()
+    assert index.repeated and [r.doc_id for r in top] == [7] and len(index.blocks().where("term = 'w7' or term = 'w47'").collect()) == 2
