@@ -9,7 +9,7 @@ from ..operators import chunk as K
 from ..operators import navigator as G
 from ..operators import replay as R
 from ..operators import training as N
-from ..operators.lexical import overlap_scores, within_budget
+from ..operators.lexical import card_score, within_budget
 from ..sources import corpus as C
 from . import sql as S
 from .dense_plans import _doc_members
@@ -45,6 +45,14 @@ def _cards(s, d):
 _CARDS = f"""w AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, word) AS r FROM (SELECT source, unnest({S.keywords("text")}) AS word FROM documents) GROUP BY source, word),
 c AS (SELECT source, list(word ORDER BY r) AS keywords FROM w WHERE r <= 8 GROUP BY source),
 cards AS (SELECT source, keywords, array_to_string(keywords[1:3], ' / ') AS label, 'Documents about ' || array_to_string(keywords, ', ') || '.' AS summary FROM c)"""
+
+
+def _card_scores(s, d):
+    """Each query with each source's card, of which there are few; what shares no token has 0."""
+    score = card_score(F.col("text"), F.col("label"), F.col("summary"), F.array_join("keywords", " "))
+    return C.queries(s, d).crossJoin(F.broadcast(_cards(s, d))).select("query_id", "source", F.round(score, 6).alias("score"))
+
+
 QUERIES = {
     "class_weights": Query(lambda s, d: N.class_weights(_events(s, d), "event_type").select("event_type", "n", F.round("weight", 6).alias("weight")), "SELECT event_type, n, round(sum(n) OVER () / (3::DOUBLE * (n + 1)), 6) AS weight FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)"),
     "done_pos_weight": Query(
@@ -90,10 +98,10 @@ QUERIES = {
     ),
     "action_counts": Query(lambda s, d: _events(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("bigint")).alias("high")), "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY 1"),
     "cluster_cards": Query(lambda s, d: _cards(s, d).select("source", "label", "summary"), f"WITH {_CARDS} SELECT source, label, summary FROM cards"),
-    "card_lexical_score": Query(  # cards that share a token with a query
-        lambda s, d: overlap_scores(_cards(s, d).select(F.col("source").alias("doc_id"), F.concat_ws(" ", "label", "summary", F.array_join("keywords", " ")).alias("text")), C.queries(s, d)).select("query_id", F.col("doc_id").alias("source"), F.round("score", 6).alias("score")),
-        f"""WITH {_CARDS} SELECT * FROM (SELECT query_id, source, round(len(list_intersect(q, {S.tokens("label || ' ' || summary || ' ' || array_to_string(keywords, ' ')")}))::DOUBLE / greatest(len(q), 1), 6) AS score
-            FROM cards, (SELECT item_id AS query_id, list_distinct({S.tokens("text")}) AS q FROM benchmark)) WHERE score > 0""",
+    "card_lexical_score": Query(  # every card for every query
+        _card_scores,
+        f"""WITH {_CARDS} SELECT query_id, source, round(len(list_intersect(q, {S.tokens("label || ' ' || summary || ' ' || array_to_string(keywords, ' ')")}))::DOUBLE / greatest(len(q), 1), 6) AS score
+            FROM cards, (SELECT item_id AS query_id, list_distinct({S.tokens("text")}) AS q FROM benchmark)""",
     ),
     "budgeted_cards": Query(
         lambda s, d: within_budget(_cards(s, d).withColumn("g", F.lit(1)), ["g"], ["source"], "summary", 150).select("source", F.substring("summary", 1, 1000).alias("summary")),

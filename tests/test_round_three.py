@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from arborist.operators import evaluate as E
+from arborist.plans import catalogue
 
 
 def test_four_decimals_are_those_of_the_binary_value(spark):
@@ -11,3 +12,10 @@ def test_four_decimals_are_those_of_the_binary_value(spark):
     for row in rows:
         got = {r.metric: r.value for r in E.table(spark.createDataFrame([row], names)).collect()}
         assert got["P@10"] == "%.4f" % row[2], row
+
+
+def test_every_card_has_a_score(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = catalogue.QUERIES["card_lexical_score"].run(spark, sf).collect()
+    sources = spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().count()
+    assert len(rows) == sources * spark.read.parquet(f"{sf}/benchmark.parquet").count() and any(r.score == 0 for r in rows)
