@@ -77,3 +77,52 @@ def test_documents_of_a_state_carry_no_pairs(spark):
     found = P._node_documents(states, features, items.select("doc_id", F.lit("a").alias("node_id")), items, P.RolloutConfig(documents=5))
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert all(len(r.documents) == 5 for r in found.collect())
+
+
+def table(name, rows, first=0):
+    import pyarrow as pa
+
+    return pa.table({name: pa.array(range(first, first + len(rows)), pa.int64()), "_v": pa.array([None if r is None else [float(x) for x in r] for r in rows], pa.list_(pa.float32()))})
+
+
+@pytest.mark.parametrize("limit", [1, 5, 40])
+def test_few_pairs_are_computed_again(monkeypatch, limit):
+    """Of copies and of all others only what can be among the first is looked at in double precision."""
+    rng, seen = np.random.RandomState(9), [0]
+    rows = rng.randn(3000, 16).astype(np.float32)
+    rows[1000:2500] = rows[7]
+    asked = np.concatenate([rows[:20], rng.randn(20, 16)]).astype(np.float32)
+    queries, items = table("query_id", asked), table("doc_id", rows, 100)
+    plain = D._dots
+    monkeypatch.setattr(D, "_dots", lambda a, b: (seen.__setitem__(0, seen[0] + len(a)), plain(a, b))[1])
+    found = D._nearest(limit, ["query_id"], "doc_id")(queries, items).to_pydict()
+    assert seen[0] <= len(asked) + len(rows) + 4 * limit * len(asked) + 100  # each vector's length, and the first
+    unit = [x.astype(float) / np.sqrt(plain(x.astype(float), x.astype(float)))[:, None] for x in (asked, rows)]
+    want = []
+    for k, v in enumerate(unit[0]):
+        s = plain(np.tile(v, (len(rows), 1)), unit[1])
+        want += [(k, 100 + i, s[i]) for i in np.lexsort((np.arange(len(rows)), -np.round(s, 9)))[:limit]]
+    assert sorted(zip(found["query_id"], found["doc_id"], found["score"])) == sorted(want)
+
+
+def test_nearly_equal_vectors_and_numbers_of_items(monkeypatch):
+    monkeypatch.setattr(D, "_MANY", 10)
+    monkeypatch.setattr(D, "_NUMBERS", 700)
+    rng = np.random.RandomState(10)
+    near = (np.ones((1500, 8)) + rng.randn(1500, 8) * 1e-6).astype(np.float32)
+    rows = [None, [1.0, 2.0], *near, [float("nan")] * 8]
+    asked = [near[3], None, [2.0, 1.0], near[9] * 2]
+    for asked_ in (asked, asked[1:2]):
+        found = D._nearest(6, ["query_id"], "doc_id", 64, 2)(table("query_id", asked_), table("doc_id", rows)).to_pydict()
+        old = D._masked(*D._unit(table("query_id", asked_)["_v"].chunk(0), 8, -1), *D._unit(table("doc_id", rows)["_v"].chunk(0), 8, -2), np.arange(len(rows)), 6, 64)
+        want = sorted(zip(old[0].tolist(), old[1].tolist(), old[2].tolist()), key=str)
+        got = sorted(((q, i, -np.inf if s is None else s) for q, i, s in zip(found["query_id"], found["doc_id"], found["score"])), key=str)
+        assert str(got) == str(want)
+
+
+def test_larger_groups_move_less(spark, monkeypatch):
+    """Items go to as few groups of queries as cores need, not to one of every 2,048 queries."""
+    monkeypatch.setattr(D, "_nearest", lambda limit, asked, item, *_: lambda q, i: q.slice(0, 1).select(asked).append_column(item, [[i.num_rows]]).append_column("score", [[float(q.num_rows)]]))
+    asked = spark.range(9000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding"))
+    found = D.top_within(asked, asked.withColumnRenamed("query_id", "doc_id"), 5, []).collect()
+    assert sum(r.doc_id for r in found) < 4 * 9000
