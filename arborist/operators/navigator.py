@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..functions.vector import dot, normalised
-from ..sources.layout import numbered
+from ..sources.layout import numbered, stored
 from .lexical import Bm25, Postings, ranked
+from .postings import build
 from .tree import ROOT, path_nodes
 
 
@@ -62,10 +63,11 @@ def search(queries: DataFrame, docs: DataFrame, members: DataFrame, node_id: str
     the first by id can be shown, so a query meets as many of them, by number, as it may need.
     """
     inside = subtree(members, node_id).select("doc_id", F.col("node_id").alias("cluster_id"))
-    scored = Bm25().scores(index or docs, queries, inside.select("doc_id") if node_id not in (None, ROOT) else None)
-    good = ranked(scored.where("score > 0"), "query_id", "score", "doc_id", limit).select("query_id", "doc_id", "score")
+    index, within = index or build(docs), inside.select("doc_id") if node_id not in (None, ROOT) else None
+    good = ranked(Bm25().first(index, queries, limit, within).where("score > 0"), "query_id", "score", "doc_id", limit).select("query_id", "doc_id", "score")
+    good = stored(good)
     dull = queries.select("query_id").join(good.select("query_id").distinct(), "query_id", "left_anti")
-    low = scored.join(dull, "query_id", "left_semi").select("query_id", "doc_id", "score")
+    low = stored(Bm25().scores(index, queries.join(dull, "query_id", "left_semi"), within).select("query_id", "doc_id", "score"))
     most = dull.join(low.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("n", F.lit(0)) + limit - 1)).alias("number"))
     fill = most.join(numbered(inside.select("doc_id").distinct(), "doc_id", "number"), "number").select("query_id", "doc_id")
     fill = fill.join(low.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))

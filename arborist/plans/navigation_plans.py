@@ -28,7 +28,7 @@ def _navigated(s, d):
 
 def _in_subtree(s, d):
     below = _doc_members(s, d).where(F.col("node_id").startswith("en."))
-    rows = Bm25().scores(C.index(s, d), C.queries(s, d), below.select("doc_id"))
+    rows = Bm25().first(C.index(s, d), C.queries(s, d), 10, below.select("doc_id"))
     rows = ranked(rows, "query_id", "score", "doc_id", 10)
     return rows.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 

@@ -113,3 +113,59 @@ def test_rows_of_one_id_score_together(spark, monkeypatch):
     index = P.build(spark.createDataFrame(rows, "doc_id bigint, text string"), block_docs=3)
     top = Bm25().top(index, spark.createDataFrame([(1, "w7 w47")], "query_id bigint, text string"), 1).collect()
     assert index.repeated and [r.doc_id for r in top] == [7] and len(index.blocks().where("term = 'w7' or term = 'w47'").collect()) == 2
+
+
+def test_a_block_gives_few_pairs(spark, texts):
+    """A top-k search moves postings and a block's first, not a row for each query and document."""
+    docs, queries = texts
+    rows, asked = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(queries, "query_id bigint, text string")
+    index = P.build(rows, block_docs=100)
+    within = rows.where("doc_id % 3 = 0").select("doc_id")
+    want, blocks = plain(docs, queries), index.places().select("block").distinct().count()
+    for given, kept in ((None, want), (within, {k: s for k, s in want.items() if k[1] % 3 == 0})):
+        got = {(r.query_id, r.doc_id): r.score for r in Bm25().first(index, asked, 4, given).collect()}
+        assert got == pytest.approx({k: kept[k] for k in got}) and len(got) <= 4 * len(queries) * blocks and len(got) < len(kept)
+        for q, _ in queries:
+            first = sorted((-round(s, 9), i) for (a, i), s in kept.items() if a == q)[:4]
+            assert {i for _, i in first} <= {i for a, i in got if a == q}
+    plan = Bm25().first(index, asked, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(block" in plan
+
+
+def test_slices_of_queries_and_shared_terms(spark, texts, monkeypatch):
+    from arborist.operators.lexical import overlap_scores, ranked
+
+    monkeypatch.setattr(P, "SLICE", 7)
+    docs, queries = texts
+    rows, asked = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(queries, "query_id bigint, text string")
+    index = P.build(rows, block_docs=50)
+    pairs = spark.createDataFrame([(q, i) for q in range(9) for i in range(q, 600, 7)], "query_id bigint, doc_id bigint")
+    want = plain(docs, queries)
+    got = {(r.query_id, r.doc_id): r.score for r in Bm25().scores(index, asked, pairs).collect()}
+    assert got == pytest.approx({(q, i): s for (q, i), s in want.items() if q < 9 and i >= q and (i - q) % 7 == 0})
+    a, b = (sorted(map(tuple, ranked(x, "query_id", "score", "doc_id", 5).collect())) for x in (overlap_scores(rows, asked), P.shared_terms(index, asked, 5)))
+    assert a == b and a
+
+
+def test_places_hold_every_document(spark):
+    index = P.build(spark.createDataFrame([(1, "a b"), (2, None), (3, "!"), (None, "c")], "doc_id bigint, text string"), block_docs=2)
+    assert sorted(str(r.doc_id) for r in index.places().collect()) == ["1", "2", "3", "None"] and index.terms().where("term is null").isEmpty()
+
+
+def test_judgements_do_not_move_texts(spark, tmp_path, monkeypatch):
+    from arborist.sources import corpus as C
+
+    docs = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 12))) for i in range(300)]
+    asked = [(i, " ".join(docs[7 * i][1].split()[2:7])) for i in range(20)] + [(50, "w1")]
+    for name, rows, kind in (("documents", docs, "doc_id bigint, text string"), ("benchmark", asked, "item_id bigint, text string"), ("labels", [(3, 1)], "doc_id bigint, quality int")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    plans, plain_stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain_stored(df))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are large
+    try:
+        got = {(r.query_id, r.doc_id) for r in C.judgements(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(q, i) for q, text in asked for i, whole in docs if text in whole} and got
+    assert "BroadcastHashJoin [doc_id" in plans[-1] and "SortMergeJoin [doc_id" not in plans[-1]
