@@ -15,7 +15,6 @@ with a null or repeated doc_id are rows like others; further columns aren't read
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_io import documents_only, pick, stored
-from .words import chunks
+from .words import chunks, held
 
 PIECE = 512
 GROUP = 16  # languages parsed at once
@@ -168,9 +167,8 @@ class CrossParser:
         return out
 
 
-@functools.lru_cache(2)
 def _parser(references: tuple[tuple[str, bytes], ...]) -> CrossParser:
-    return CrossParser(references)
+    return held(("language", references), lambda: CrossParser(references))
 
 
 def fit(train: DataFrame, docs_per_lang: int = 16, short: int = 8_000) -> tuple[tuple[str, bytes], ...]:

@@ -21,7 +21,6 @@ gives an empty result; columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_io import documents_only, pick
-from .words import SPACES, chunks, unique_spans
+from .words import SPACES, chunks, held, unique_spans
 
 END = 1
 TOKENS, SEGMENTS = 2048, 128
@@ -132,9 +131,8 @@ class UnitEncoder:
         return ids, done[np.searchsorted(starts, chunk.offsets)]
 
 
-@functools.lru_cache(1)
 def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+    return held(("encoder", path), lambda: UnitEncoder(path))
 
 
 def choose(demand: np.ndarray, left: np.ndarray, limits: np.ndarray) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_io import documents_only, plain, stored
-from .words import SPACES, U, chunks, mix, span_hashes
+from .words import SMALL_CHUNK, SPACES, U, chunks, let_go, mix, span_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST = 3
@@ -163,7 +163,8 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def _first(batches):
-    for chunk in chunks(batches):
+    let_go()
+    for chunk in chunks(batches, SMALL_CHUNK):
         spans = _spans(chunk)
         terms = Terms(chunk, spans)
         some = np.array([bool(s) for s in spans], bool)
@@ -212,8 +213,9 @@ def _frequencies(bits):
     """(words, term) of the filtered terms, each once a text."""
 
     def run(batches):
+        let_go()
         pick = _picker(bits.value)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, SMALL_CHUNK):
             terms = Terms(chunk, _spans(chunk), pick)
             row, h = terms.distinct(np.ones(chunk.n, bool))
             yield pa.RecordBatch.from_arrays([pa.array(terms.text[row].view(np.int64)), pa.array(h.view(np.int64))], ["words", "term"])
@@ -223,8 +225,9 @@ def _frequencies(bits):
 
 def _places(bits):
     def run(batches):
+        let_go()
         pick = _picker(bits.value)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, SMALL_CHUNK):
             t = Terms(chunk, _spans(chunk), pick)
             ids, keys = (chunk.rows.column(c).take(pa.array(t.row)) for c in ("doc_id", "text_key"))
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(t.hash.view(np.int64)), pa.array(t.start), pa.array(t.end)], ["doc_id", "text_key", "term", "start", "end"])
