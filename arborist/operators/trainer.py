@@ -345,7 +345,7 @@ def gradient(rows: DataFrame, weights: dict, class_weights: np.ndarray, positive
             yield pd.DataFrame({"slice": range(len(parts)), "values": parts})
 
     added = rows.mapInPandas(run, "slice int, values array<double>").groupBy("slice").applyInPandas(_added, "slice int, values array<double>")
-    parts = {r["slice"]: np.array(r["values"]) for r in added.toLocalIterator()}
+    parts = {r["slice"]: np.array(r["values"], float) for r in added.toLocalIterator()}  # a NaN comes back as null
     shared.unpersist()
     sums = dict(zip(LOSSES, parts[0]))
     return {k: sums[k] / divisors[k] if divisors[k] > 0 else 0.0 for k in LOSSES}, _shaped(np.concatenate([parts[i + 1] for i in range(SLICES)]), weights)
