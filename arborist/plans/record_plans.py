@@ -20,11 +20,11 @@ from .query import Query
 CONFIG = R.RecordConfig(nearest=5, k_max=12, random=0)
 
 
-def _setting(s, d):
-    """Targets in order, members, relevant documents (a query's five nearest), nodes and nearest nodes."""
+def _setting(s, d, centroids=None):
+    """Targets in order, members, relevant documents (a query's five nearest), nodes and nearest nodes; by stored centroids, if there are any."""
     members = _vector_members(s, d).select("doc_id", "node_id")
     relevant = stored(_dense(s, d, 5).select("query_id", "doc_id"))
-    centroids = stored(_centroids(s, d))
+    centroids = centroids or stored(_centroids(s, d))
     targets = relevant.join(members, "doc_id").select("query_id", "node_id").distinct()
     placed = G.targets_in_order(targets, _asked(s, d), centroids)
     nearest = D.top(_asked(s, d), centroids.withColumnRenamed("centroid", "embedding"), CONFIG.nearest, "node_id").select("query_id", "node_id", "rank")
@@ -83,11 +83,10 @@ def _trained(s, d):
 
 def _scored(s, d):
     """The jumps' candidates as lists: score (the query's cosine with the node), mask, positive, would loop."""
-    setting = _setting(s, d)
-    jumps = R.records(*setting, CONFIG).where(F.col("action") == R.JUMP)
+    centroids = stored(_centroids(s, d))
+    jumps = R.records(*_setting(s, d, centroids), CONFIG).where(F.col("action") == R.JUMP)
     rows = jumps.select("query_id", "trajectory_id", "step", "node_id", "path", "positives", F.posexplode("candidates").alias("place", "c")).where("c <> ''")
-    centroids = _centroids(s, d).select(F.col("node_id").alias("c"), normalised(F.col("centroid")).alias("v"))
-    rows = rows.join(centroids, "c").join(_asked(s, d).select("query_id", normalised(F.col("embedding")).alias("q")), "query_id")
+    rows = rows.join(centroids.select(F.col("node_id").alias("c"), normalised(F.col("centroid")).alias("v")), "c").join(_asked(s, d).select("query_id", normalised(F.col("embedding")).alias("q")), "query_id")
     positive = F.array_contains("positives", F.col("place"))
     loop = ~positive & ((F.col("c") == F.col("node_id")) | F.array_contains("path", F.col("c")))
     item = F.struct("place", dot(F.col("q"), F.col("v")).alias("s"), F.lit(1).alias("m"), positive.cast("int").alias("p"), loop.cast("int").alias("l"))

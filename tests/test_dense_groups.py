@@ -126,3 +126,11 @@ def test_larger_groups_move_less(spark, monkeypatch):
     asked = spark.range(9000).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("embedding"))
     found = D.top_within(asked, asked.withColumnRenamed("query_id", "doc_id"), 5, []).collect()
     assert sum(r.doc_id for r in found) < 4 * 9000
+
+
+def test_few_pairs_are_one_group(spark, monkeypatch):
+    """A group's first pairs cost most, so some millions of pairs aren't split for every core."""
+    monkeypatch.setattr(D, "_nearest", lambda limit, asked, item, *_: lambda q, i: q.slice(0, 1).select(asked).append_column(item, [[i.num_rows]]).append_column("score", [[float(q.num_rows)]]))
+    asked, items = (spark.range(5000).select(F.col("id").alias(name), F.array(F.lit(1.0)).alias("embedding"), (F.col("id") % 2).alias("part")) for name in ("query_id", "doc_id"))
+    assert [(r.doc_id, r.score) for r in D.top_within(asked, items, 5, []).collect()] == [(5000, 5000.0)]
+    assert [(r.doc_id, r.score) for r in D.top_within(asked, items, 5, ["part"]).collect()] == [(2500, 2500.0)] * 2
