@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 
 import numpy as np
 import pytest
@@ -69,3 +70,14 @@ def test_what_tasks_hold_in_part_asks_for_the_rest(docs):
     held, asked = part.look_up(5, grams)
     assert (asked > 0).any() and (asked >> 40 <= 5).all()
     assert held[asked == 0] == pytest.approx(p[asked == 0], abs=1e-9) and not held[np.isin(asked, (5 << 40) | grams)].any()
+
+
+def test_every_language_has_a_band_of_its_own(spark):
+    rng = random.Random(4)
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(2)) for _ in range(n))
+    usual = ["th", "er", "on", "an", "ed", "ha", "ti", "qu"]
+    rows = [(i, text(usual, 12), "en") for i in range(10_100)]
+    rows += [(20_000 + i, text(usual, 400), f"rare{i}") for i in range(30)]
+    rows += [(30_000, " ".join("".join(rng.sample("bcdfgjklmpvwxyz", 5)) for _ in range(400)), "other")]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).where("doc_id >= 20000").collect()
+    assert len(out) == 31 and all(r.kept and r.q1 == r.q3 == pytest.approx(r.log_ppl) for r in out)
