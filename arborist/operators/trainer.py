@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, normalised
+from ..functions.vector import normalised
 from ..sources.layout import stored
 from . import supervision as V
 from .policy import AGGREGATE, JUMP, RETRIEVE, gelu, layer, meta_features, state_vector, unit
@@ -279,10 +279,9 @@ def training_rows(records: DataFrame, features: DataFrame, queries: DataFrame, v
     options = options.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("i", "v", F.col("p").cast("int").alias("p"), loop.cast("int").alias("l")))).alias("options"))
     retrieved = rows.where(F.col("action") == V.RETRIEVE)
     at = retrieved.select("query_id", "node_id").distinct()
-    below = docs.select("doc_id", F.explode(path_nodes(F.col("leaf"))).alias("node_id"), "v")
-    near = at.join(below, "node_id").join(asked, "query_id").select("query_id", "node_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
+    below = members.select("doc_id", F.explode(path_nodes(F.col("node_id"))).alias("node_id")).join(vectors.select("doc_id", "embedding"), "doc_id")
     wanted = retrieved.select("query_id", F.explode("relevant").alias("doc_id")).distinct()
-    block = V.retrieve_block(at, near.select("doc_id", "node_id").distinct(), wanted, near.select("query_id", "doc_id", "score").distinct(), most).join(docs, "doc_id")
+    block = V.nearest_block(at, below, wanted, queries, most).join(docs, "doc_id")
     block = block.groupBy("query_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("place", "v", F.col("positive").cast("int").alias("p")))).alias("block"))
     up = parent(F.col("node_id"))
     back = F.coalesce((F.size("path") > 1) & (F.get("path", F.size("path") - 2) == up) & (F.col("action") != V.AGGREGATE), F.lit(False))

@@ -65,7 +65,7 @@ def _rows(s, d):
     members = _vector_members(s, d).select("doc_id", "node_id")
     vectors = _vectors(s, d).select("doc_id", "embedding")
     features = P.node_features(members, vectors, T.nodes_of(members))
-    records = _records(s, d)
+    records = stored(_records(s, d))  # read several times
     held = T_.group_split(records.select("query_id"), "query_id", 0.1)
     rows = records.join(held, "query_id")
     made = lambda part: N.training_rows(part, features, _asked(s, d), vectors, members, CONFIG, 2)
